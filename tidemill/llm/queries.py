@@ -2,19 +2,82 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemill.llm import packing
+from tidemill.llm import chat_format, exact_dedup, html_extract, language_id, near_dedup, packing, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.deduplicate(_table(spark, sf_dir, "documents"))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predict(_table(spark, sf_dir, "documents"))
+
+
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.deduplicate(_table(spark, sf_dir, "documents"), shingle=4, percent=80)
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_best_fit_packing,)}
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = "</s>[INST] ok [/INST]"
+    planted = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], given.schema)
+    formatted = chat_format.format_turns(given.unionByName(planted))
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Reads the rendered turns back; the rows of a conversation come one after the other."""
+        names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+        kind, here, state = None, None, None
+
+        def closed(rows: list) -> pa.RecordBatch:
+            columns = list(zip(*((c, n, a.hexdigest(), k, b.hexdigest(), f) for c, (n, a, k, b, f) in rows), strict=True)) or [()] * 6
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, [kind, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()], strict=True)], names=names)
+
+        for batch in batches:
+            kind, done = batch["conv_id"].type, []
+            for conv, text, a, b in zip(*(batch[c].to_pylist() for c in ("conv_id", "rendered", "loss_start", "loss_end")), strict=True):
+                if state is None or conv != here:
+                    if state is not None:
+                        done.append((here, state))
+                    here, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                for role, said, _, _ in chat_format.parse(text):
+                    state[0] += 1
+                    state[1].update(f"{role}\n{said}\n".encode())
+                under = chat_format.unescape(text[a:b])
+                state[2] += len(under)
+                state[3].update(under.encode())
+                state[4] += len(text)
+            yield closed(done)
+        if state is not None:
+            yield closed([(here, state)])
+
+    conv_id = given.schema["conv_id"].dataType.simpleString()
+    return formatted.mapInArrow(digest, f"conv_id {conv_id}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.shard(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", sharding.size_of().alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_minhash_near_dedup, op5_best_fit_packing, op7_html_extraction, op9_chat_format, op10_sharding)}
 
 ORACLE_SQL: dict[str, str] = {}
