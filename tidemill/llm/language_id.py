@@ -29,6 +29,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemill.llm import scratch, words
 
@@ -219,9 +220,10 @@ def _scorer(model: Model) -> Scorer:
     return _scorers[model.key]
 
 
-def identify(docs: DataFrame, model: Model | None) -> DataFrame:
-    """``doc_id, held_out, lang_pred, score`` of every row, from its whole text alone."""
-    doc_id = docs.schema["doc_id"].dataType.simpleString()
+def annotate(docs: DataFrame, model: Model | None) -> DataFrame:
+    """``docs`` with ``lang_pred`` and ``score`` (replaced if there), from each whole text alone."""
+    docs = docs.drop("lang_pred", "score")
+    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -233,12 +235,12 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
                     best = odds.argmax(1)
                     lang = [model.languages[b] if n else "und" for b, n in zip(best.tolist(), count.tolist(), strict=True)]
                     score = np.where(count > 0, 1 / odds.sum(1), 0.0)
-                yield pa.RecordBatch.from_arrays([part["doc_id"], part["held_out"], pa.array(lang), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang), pa.array(score)], names=[*part.schema.names, "lang_pred", "score"])
 
-    given = docs.select("doc_id", held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
-    return given.mapInArrow(work, f"doc_id {doc_id}, held_out boolean, lang_pred string, score double")
+    return docs.mapInArrow(work, schema)
 
 
 def predict(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """Train on ``docs`` and identify the language of all of them."""
-    return identify(docs, train(docs, train_rows))
+    """``doc_id, held_out, lang_pred, score`` of every row, by a model trained on ``docs``."""
+    given = docs.select("doc_id", held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
+    return annotate(given, train(docs, train_rows)).select("doc_id", "held_out", "lang_pred", "score")
