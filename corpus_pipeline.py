@@ -1,19 +1,59 @@
-"""A corpus pipeline of the training-data operators."""
+"""A corpus pipeline: language ID, line dedup, near-dedup, packing.
+
+``STAGES`` are (name, function) pairs; a function takes (spark, docs, sf_dir) and
+returns what the next stage gets as its docs. All but the last return the columns
+of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemill.llm import language_id, line_dedup, near_dedup, packing, scratch
+
+#: A document whose language is less likely than this, or that has no letter, is rejected.
+LEAST_SCORE = 0.5
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a recognised language, with that language in ``lang``."""
+    found = language_id.annotate(docs, language_id.train(docs))
+    kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    return kept.select(*(F.col("lang_pred").alias("lang") if c == "lang" else c for c in docs.columns))
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that come earlier in the corpus; those that lose all their lines go."""
+    cleaned = line_dedup.deduplicate(docs)
+    kept = cleaned.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"\S"))
+    return kept.select(*(F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars") if c == "n_chars" else c for c in docs.columns))
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the one with the smallest doc_id."""
+    found = near_dedup.deduplicate(docs)
+    gone = scratch.table(found.where("not kept").select(F.col("doc_id").alias("gone_id")).distinct(), "dropped_documents")
+    return docs.join(scratch.sized(gone), docs["doc_id"] == F.col("gone_id"), "left_anti")
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
 
-from tidemill.llm import packing, scratch
 
-STAGES = [("best-fit packing", lambda spark, docs, sf_dir: packing.pack(docs))]
+STAGES = [
+    ("language ID", language_stage),
+    ("line dedup", line_stage),
+    ("MinHash near-dedup", near_stage),
+    ("best-fit packing", packing_stage),
+]
 
-#: No stage can be expressed in SQL; tests hold the stages against brute force.
+#: Language ID, sketches and tokenizers can't be expressed in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``; each result is written and read again."""
+    """Apply the stages to ``documents``; each result is written as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for number, (_, stage) in enumerate(STAGES):
         docs = scratch.table(stage(spark, docs, sf_dir), f"stage{number}")
