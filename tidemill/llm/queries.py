@@ -5,11 +5,12 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import chat_format, exact_dedup, html_extract, language_id, line_dedup, near_dedup, packing, sharding
+from tidemill.llm import chat_format, exact_dedup, fingerprint, html_extract, language_id, line_dedup, near_dedup, packing, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +33,24 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fingerprint.fingerprint(_table(spark, sf_dir, "documents"))
+
+    @F.pandas_udf("double")
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([fingerprint.likeness(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    return out.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        "fingerprint",
+        "edited_fingerprint",
+        alike("fingerprint", "edited_fingerprint").alias("near_edited"),
+        alike("fingerprint", "next_fingerprint").alias("near_next"),
+    )
+
+
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
@@ -83,6 +102,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", sharding.size_of().alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_minhash_near_dedup, op5_best_fit_packing, op7_html_extraction, op8_line_dedup, op9_chat_format, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_minhash_near_dedup, op5_best_fit_packing, op6_fingerprints, op7_html_extraction, op8_line_dedup, op9_chat_format, op10_sharding)}
 
 ORACLE_SQL: dict[str, str] = {}
