@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import chat_format, exact_dedup, fingerprint, html_extract, language_id, line_dedup, near_dedup, packing, sharding
+from tidemill.llm import chat_format, exact_dedup, fingerprint, html_extract, language_id, line_dedup, near_dedup, packing, sentencepieces, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,12 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.deduplicate(_table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    out = sentencepieces.decode(sentencepieces.encode(docs))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"), F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.col("text")).alias("round_trip"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -102,6 +108,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", sharding.size_of().alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_minhash_near_dedup, op5_best_fit_packing, op6_fingerprints, op7_html_extraction, op8_line_dedup, op9_chat_format, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_minhash_near_dedup, op4_sentencepiece, op5_best_fit_packing, op6_fingerprints, op7_html_extraction, op8_line_dedup, op9_chat_format, op10_sharding)}
 
 ORACLE_SQL: dict[str, str] = {}
