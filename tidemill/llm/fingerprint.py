@@ -33,8 +33,8 @@ from tidemill.llm import words
 
 LEAST_SHARE, MOST_SHARE = 0.001, 0.3
 #: Chains of nested subsets; each subset of a chain has a quarter of the terms of the one before.
-CHAINS, LEVELS = 8, 8
-MOST_TERMS = 3
+CHAINS, LEVELS = 24, 8
+MOST_TERMS = 2
 #: Terms of the lexicon that may be sent to the tasks (8 bytes each).
 LEXICON_LIMIT = 4_000_000
 _M = np.random.default_rng(7)
@@ -106,7 +106,7 @@ def lexicon(docs: DataFrame, least: float = LEAST_SHARE, most: float = MOST_SHAR
 
 
 def fingerprints(texts: pa.Array, terms: np.ndarray) -> list[str]:
-    """The fingerprint of each text: subset (chain and level, a digit each) and hash, by subset."""
+    """The fingerprint of each text: subset (a letter for the chain, a digit for the level) and hash, by subset."""
     owner, term = distinct_terms(texts)
     at = np.searchsorted(terms, term)
     there = (at < len(terms)) & (terms[np.minimum(at, len(terms) - 1)] == term) if len(terms) else np.zeros(len(term), bool)
@@ -122,7 +122,7 @@ def fingerprints(texts: pa.Array, terms: np.ndarray) -> list[str]:
         held = (top[:, :, None] <= _EDGES).sum(0)  # terms in each subset, as far as it matters
         parts = []
         for chain, level in zip(*np.nonzero((held > 0) & (held <= MOST_TERMS)), strict=True):
-            parts.append(f"{chain}{level}{hashlib.blake2b(top[: held[chain, level], chain].tobytes(), digest_size=5).hexdigest()}")
+            parts.append(f"{chr(97 + chain)}{level}{hashlib.blake2b(top[: held[chain, level], chain].tobytes(), digest_size=4).hexdigest()}")
         out.append(" ".join(parts) or "=" + hashlib.sha256(term[a:b].tobytes()).hexdigest()[:32])
     return out
 
