@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-
-def agg_pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return lines.groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
-
-
-QUERIES = {"agg_pricing_summary": agg_pricing_summary}
-ORACLE_SQL = {"agg_pricing_summary": "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ALL"}
+from tidemill.functions import scalar
+from tidemill.operators import analytic, relational
+from tidemill.sources import files
+from tidemill.streaming import events
+
+_PARTS = (relational, analytic, scalar, files, events)
+QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+ORACLE_SQL = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}
