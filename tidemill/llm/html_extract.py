@@ -86,7 +86,7 @@ def count(page: str) -> Counter:
 
 
 def weights(counts: dict[tuple[str, str, bool], int]) -> dict[tuple[str, str], float]:
-    """A score for each feature. Unseen words score 1 (minus 1 where the element holds no content), unseen tags minus 1."""
+    """A score for each feature, from how often it stands in content and how often elsewhere."""
     out = {}
     for kind, feature in {k[:2] for k in counts}:
         odds = math.log((counts.get((kind, feature, True), 0) + 0.5) / (counts.get((kind, feature, False), 0) + 0.5))
@@ -94,15 +94,22 @@ def weights(counts: dict[tuple[str, str, bool], int]) -> dict[tuple[str, str], f
     return out
 
 
+def score(kind: str, feature: str, skipped: bool, scores: dict[tuple[str, str], float]) -> float:
+    """The learned score; else a word counts 1 (minus 1 where the element holds no content) and a tag a little less than nothing."""
+    if (kind, feature) in scores:
+        return scores[kind, feature]
+    if kind == "w":
+        return -1.0 if skipped else 1.0
+    name = feature.lstrip("/")
+    return TAG_MOST if name in INLINE or name in VOID else -1.0 if name in SKIPPED else -0.5
+
+
 def main_text(page: str, scores: dict[tuple[str, str], float]) -> str:
     """The text of the region with the highest score."""
     found = list(tokens(page))
     best, best_span, total, begin = 0.0, (0, 0), 0.0, 0
     for at, (kind, feature, text, skipped) in enumerate(found):
-        if kind == "w":
-            total += scores.get((kind, feature), -1.0 if skipped else 1.0) * len(text.split())
-        else:
-            total += scores.get((kind, feature), -1.0)
+        total += score(kind, feature, skipped, scores) * (len(text.split()) if kind == "w" else 1)
         if total <= 0:
             total, begin = 0.0, at + 1
         elif total > best:
