@@ -14,7 +14,8 @@ the lexicon is sent to the tasks.
 
 Defined results: null counts as empty; a document without a term of the lexicon has
 the hash of its whole text as fingerprint, which is like no other but an equal one;
-equal texts have equal fingerprints; repeated rows give repeated results; an empty
+equal texts have equal fingerprints; a null doc_id comes last in the order; rows with
+one doc_id are ordered by their texts; an empty
 table gives no rows; further columns are ignored.
 """
 
@@ -48,11 +49,15 @@ class Terms:
     """Term hashes of the strings between white space; 0 stands for no term. The worker remembers them."""
 
     def __init__(self) -> None:
+        self.forget()
+
+    def forget(self) -> None:
         self.known: dict[str, int] = {}
 
     def __call__(self, strings: list[str]) -> np.ndarray:
+        words.hold(self)
         if len(self.known) > words.CACHE_PIECES:
-            self.known.clear()
+            self.forget()
         if new := [x for x in strings if x not in self.known]:
             terms = np.array([x.strip(_EDGE_SIGNS).lower() for x in new], object)
             codes = pd.util.hash_array(terms, categorize=False) | np.uint64(1)
@@ -140,26 +145,31 @@ def successors(docs: DataFrame, buckets: int) -> DataFrame:
     So each document's next one, by descending doc_id, follows it in its partition.
     Driver and tasks share the buckets' edges and heads, a number for each bucket.
     """
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
     given = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     wanted = [k / buckets for k in range(1, buckets)]
-    edges = np.unique(given.agg(F.percentile_approx("doc_id", wanted, 10_000).alias("e")).first()["e"] or []) if wanted else np.zeros(0)
+    edges = given.agg(F.percentile_approx(key, wanted, 10_000).alias("e")).first()["e"] if wanted else None
+    edges = np.unique(np.array(edges or [], np.int64))
+
+    @F.pandas_udf("int")
+    def bucket(keys: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(edges, keys.to_numpy(), side="left")).astype("int32")
+
+    placed = given.withColumn("key", key).withColumn("bucket", bucket("key"))
+    heads = placed.select("key", "bucket").groupBy("bucket").agg(F.max("key").alias("head")).orderBy("bucket").collect()
+    head = np.array([r["head"] for r in heads], np.int64)
+    # the bucket whose last document is followed by this head: the next higher one, and for the highest the lowest
+    before = np.array([r["bucket"] for r in heads[1:] + heads[:1]], np.int32)
 
     @F.pandas_udf("int")
-    def bucket(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(edges, ids.to_numpy(), side="left")).astype("int32")
-
-    number = F.when(F.col("doc_id").isNull(), -1).otherwise(bucket(F.coalesce("doc_id", F.lit(0))))
-    placed = given.withColumn("bucket", number)
-    heads = {r["bucket"]: r["head"] for r in given.select("doc_id").withColumn("bucket", number).groupBy("bucket").agg(F.max("doc_id").alias("head")).collect()}
-    order = sorted(heads, reverse=True)
-    before = {b: a for a, b in zip(order[-1:] + order[:-1], order, strict=True)}  # the bucket whose last document is followed by this one's head
-    own = F.struct(F.col("bucket"), F.lit(False).alias("tail"))
-    if not order:
-        return placed.select("bucket", F.lit(False).alias("tail"), "doc_id", "text")
-    of = F.create_map(*(F.lit(x) for b in order for x in (b, before[b])))[F.col("bucket")]
-    head = F.create_map(*(F.lit(x).cast("long") for b in order for x in (b, heads[b])))[F.col("bucket").cast("long")]
-    places = F.when(F.col("doc_id").cast("long").eqNullSafe(head), F.array(own, F.struct(of.alias("bucket"), F.lit(True).alias("tail")))).otherwise(F.array(own))
-    return placed.select(F.explode(places).alias("p"), "doc_id", "text").select("p.bucket", "p.tail", "doc_id", "text").repartition("bucket").sortWithinPartitions("bucket", "tail", F.desc_nulls_last("doc_id"), F.xxhash64("text"), "text")
+    def followed(keys: pd.Series) -> pd.Series:
+        at = np.minimum(np.searchsorted(head, keys.to_numpy()), len(head) - 1)
+        return pd.Series(np.where(head[at] == keys.to_numpy(), before[at], -1)).astype("int32")
+
+    placed = placed.withColumn("after", followed("key"))
+    own, tail = F.struct("bucket", F.lit(False).alias("tail")), F.struct(F.col("after").alias("bucket"), F.lit(True).alias("tail"))
+    dealt = placed.select(F.explode(F.when(F.col("after") >= 0, F.array(own, tail)).otherwise(F.array(own))).alias("p"), "key", "doc_id", "text")
+    return dealt.select("p.bucket", "p.tail", "key", "doc_id", "text").repartition("bucket").sortWithinPartitions("bucket", "tail", F.desc("key"), F.xxhash64("text"), "text")
 
 
 def fingerprint(docs: DataFrame, least: float = LEAST_SHARE, most: float = MOST_SHARE, buckets: int | None = None) -> DataFrame:
