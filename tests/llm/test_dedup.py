@@ -7,8 +7,9 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tidemill.llm import exact_dedup, graph, line_dedup, near_dedup
+from tidemill.llm import exact_dedup, graph, line_dedup, near_dedup, queries
 
 from .conftest import odd_texts, words
 
@@ -117,6 +118,15 @@ def distance(a, b):
     return last[-1]
 
 
+@pytest.mark.parametrize("edits", [0, 1, 2, 3])
+def test_bit_parallel_distance(spark, edits):
+    rng = random.Random(edits)
+    pairs = [("".join(rng.choice("ab🙂") for _ in range(rng.randint(1, 9))), "".join(rng.choice("ab🙂") for _ in range(rng.randint(1, 9)))) for _ in range(400)]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    got = df.select("a", "b", line_dedup.within(F.split("a", ""), F.split("b", ""), edits).alias("near")).collect()
+    assert all(r.near == (distance(r.a, r.b) <= edits) for r in got) and len({r.near for r in got}) == 2
+
+
 @pytest.mark.parametrize("edits", [1, 2])
 def test_line_dedup(spark, edits):
     rng = random.Random(1)
@@ -160,6 +170,16 @@ def test_line_dedup_on_odd_rows(odd):
     assert by_id[91].text == "second own line of some length, longer" and by_id[92].text == ""
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_equals_sql(name, spark, small, oracle):
+    got = queries.QUERIES[name](spark, small)
+    names = sorted(got.columns)
+    want = oracle.execute(queries.ORACLE_SQL[name])
+    order = [c[0] for c in want.description]
+    assert sorted(order) == names
+    assert sorted(tuple(r[c] for c in names) for r in got.collect()) == sorted(tuple(r[order.index(c)] for c in names) for r in want.fetchall())
+
+
 def test_empty_tables(nothing):
     assert exact_dedup.deduplicate(nothing).count() == 0
     assert near_dedup.deduplicate(nothing).count() == 0
