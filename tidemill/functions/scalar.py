@@ -50,6 +50,26 @@ def fn_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").withColumn("m", F.map_filter(letters, lambda k, v: v > 0)).select("c_custkey", F.size("m").alias("n"), F.element_at("m", F.lit("length")).alias("size"))
 
 
+def fn_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts, substitutions and distances of names and brands."""
+    name = F.col("p_name")
+    return table(spark, sf_dir, "part").select("p_partkey", F.split_part(name, F.lit(" "), F.lit(2)).alias("second"), F.translate("p_brand", "rand", "RAND").alias("swapped"), F.levenshtein("p_brand", F.lit("Brand#11")).alias("apart"), F.size(F.regexp_extract_all("p_type", F.lit("[A-Z]+"), 0)).alias("n_words"), F.initcap(name).alias("title"), F.reverse("p_brand").alias("backward"))
+
+
+def fn_url(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.parse_url("url", F.lit("HOST")).alias("host"), F.parse_url("url", F.lit("PATH")).alias("path"), F.parse_url("url", F.lit("PROTOCOL")).alias("protocol"))
+
+
+def fn_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON kept as a variant, of which one field is taken."""
+    events = table(spark, sf_dir, "events").select("event_id", F.parse_json("props").alias("v"))
+    return events.select("event_id", F.variant_get("v", "$.k", "bigint").alias("k"))
+
+
+def fn_posexplode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("place", "item")).where("place < 4").select("vec_id", "place", F.round(F.col("item").cast("double"), 5).alias("item"))
+
+
 @F.pandas_udf(T.StringType())
 def normalized(text: pd.Series) -> pd.Series:
     """NFKD without marks, which Spark has no function for."""
@@ -88,7 +108,7 @@ def udf_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.lateralJoin(Pieces(F.col("p_name").outer())).select("p_partkey", "k", "piece")
 
 
-QUERIES = {f.__name__: f for f in (fn_string, fn_regex, fn_hash, fn_date, fn_math, fn_json, fn_array, fn_map, udf_vectorized, udf_grouped, udf_partition, udf_table)}
+QUERIES = {f.__name__: f for f in (fn_string, fn_regex, fn_hash, fn_date, fn_math, fn_json, fn_array, fn_map, fn_text, fn_url, fn_variant, fn_posexplode, udf_vectorized, udf_grouped, udf_partition, udf_table)}
 
 ORACLE_SQL = {
     "fn_string": "SELECT c_custkey, upper(c_name) AS up, CAST(length(c_name) AS INTEGER) AS n, substring(c_name, 3, 4) AS part, replace(c_mktsegment, 'U', '_') AS swapped, lpad(CAST(c_nationkey AS VARCHAR), 3, '0') AS padded FROM customer",
@@ -99,6 +119,10 @@ ORACLE_SQL = {
     "fn_json": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.k') AS k_text FROM events",
     "fn_array": "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))), 4) AS squared, round(CAST(list_max(embedding) AS DOUBLE), 6) AS top, CAST(len(embedding) AS INTEGER) AS n FROM embeddings",
     "fn_map": "SELECT c_custkey, CAST(1 + CASE WHEN contains(c_mktsegment, 'U') THEN 1 ELSE 0 END AS INTEGER) AS n, CAST(length(c_mktsegment) AS INTEGER) AS size FROM customer",
+    "fn_text": "SELECT p_partkey, split_part(p_name, ' ', 2) AS second, translate(p_brand, 'rand', 'RAND') AS swapped, CAST(levenshtein(p_brand, 'Brand#11') AS INTEGER) AS apart, CAST(len(regexp_extract_all(p_type, '[A-Z]+')) AS INTEGER) AS n_words, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1:1]) || lower(w[2:])), ' ') AS title, reverse(p_brand) AS backward FROM part",
+    "fn_url": r"SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path, regexp_extract(url, '^([a-z]+):', 1) AS protocol FROM pages",
+    "fn_variant": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
+    "fn_posexplode": "SELECT vec_id, CAST(i - 1 AS INTEGER) AS place, round(CAST(embedding[i] AS DOUBLE), 5) AS item FROM embeddings, (SELECT unnest(range(1, 5)) AS i)",
     "udf_vectorized": "SELECT conv_id, turn, role FROM conversations",
     "udf_grouped": "SELECT s_suppkey, round(s_acctbal - avg(s_acctbal) OVER (PARTITION BY s_nationkey), 4) AS off FROM supplier",
     "udf_partition": "SELECT n_nationkey, length(n_name) AS n FROM nation",

@@ -61,6 +61,20 @@ def agg_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.hll_sketch_estimate(F.hll_sketch_agg("user_id")).alias("users"), F.percentile_approx("value", 0.5).alias("p50"))
 
 
+def agg_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").groupBy("l_linestatus").agg(F.round(F.regr_slope("l_extendedprice", "l_quantity"), 4).alias("slope"), F.round(F.regr_r2("l_extendedprice", "l_quantity"), 6).alias("r2"), F.max_by("l_orderkey", F.struct("l_extendedprice", "l_orderkey")).alias("dearest"))
+
+
+def agg_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct values of a column with few of them, in order."""
+    return table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.array_join(F.array_sort(F.collect_set("o_orderpriority")), "|").alias("priorities"), F.bool_and(F.col("o_totalprice") > 0).alias("paid"))
+
+
+def agg_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of fixed size, whose estimates depend on the engine, so there is no SQL to compare with."""
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.theta_sketch_estimate(F.theta_sketch_agg("l_partkey")).alias("parts"), F.kll_sketch_get_quantile_double(F.kll_sketch_agg_double("l_extendedprice"), F.lit(0.5)).alias("median"))
+
+
 def _by_user() -> object:
     return Window.partitionBy("user_id").orderBy("ts", "event_id")
 
@@ -104,7 +118,7 @@ def window_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (agg_pricing_summary, agg_distinct, agg_rollup, agg_cube, agg_grouping_sets, agg_filtered, agg_percentile, agg_statistics, agg_having, agg_collect, agg_approximate, window_rank, window_lag_lead, window_ntile, window_rows, window_range, window_first_last, window_sessions)
+    for f in (agg_pricing_summary, agg_distinct, agg_rollup, agg_cube, agg_grouping_sets, agg_filtered, agg_percentile, agg_statistics, agg_having, agg_collect, agg_regression, agg_list, agg_sketches, agg_approximate, window_rank, window_lag_lead, window_ntile, window_rows, window_range, window_first_last, window_sessions)
 }
 
 _U = "PARTITION BY user_id ORDER BY ts, event_id"
@@ -119,6 +133,8 @@ ORACLE_SQL = {
     "agg_statistics": "SELECT l_returnflag, round(corr(l_quantity, l_extendedprice), 6) AS r, round(stddev_samp(l_quantity), 6) AS sd, round(covar_samp(l_quantity, l_tax), 6) AS cov FROM lineitem GROUP BY 1",
     "agg_having": "SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) >= 15",
     "agg_collect": "SELECT s_nationkey, string_agg(s_name, ',' ORDER BY s_name) AS names FROM supplier GROUP BY 1",
+    "agg_regression": "SELECT l_linestatus, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2, arg_max(l_orderkey, (l_extendedprice, l_orderkey)) AS dearest FROM lineitem GROUP BY 1",
+    "agg_list": "SELECT o_orderstatus, string_agg(DISTINCT o_orderpriority, '|' ORDER BY o_orderpriority) AS priorities, bool_and(o_totalprice > 0) AS paid FROM orders GROUP BY 1",
     "window_rank": "SELECT l_orderkey, l_linenumber, CAST(rank() OVER w AS INTEGER) AS r, CAST(dense_rank() OVER w AS INTEGER) AS d FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_quantity DESC)",
     "window_lag_lead": f"SELECT event_id, lag(event_id) OVER w AS before, lead(event_id, 2) OVER w AS after FROM events WINDOW w AS ({_U})",
     "window_ntile": "SELECT c_custkey, CAST(ntile(4) OVER w AS INTEGER) AS quarter, round(percent_rank() OVER w, 6) AS pr, round(cume_dist() OVER w, 6) AS cd FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey)",

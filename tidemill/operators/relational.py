@@ -59,6 +59,18 @@ def join_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.join(right, F.col("a") == F.col("b"), "full").select(F.coalesce("a", "b").alias("nation"), "customers", "suppliers")
 
 
+def join_right(spark: SparkSession, sf_dir: str) -> DataFrame:
+    suppliers = table(spark, sf_dir, "supplier").where("s_acctbal > 8000")
+    nations = table(spark, sf_dir, "nation")
+    return suppliers.join(nations, suppliers["s_nationkey"] == nations["n_nationkey"], "right").select("n_name", "s_suppkey")
+
+
+def join_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of regions: a table of fixed size with itself."""
+    region = table(spark, sf_dir, "region")
+    return region.select(F.col("r_name").alias("a")).crossJoin(region.select(F.col("r_name").alias("b")))
+
+
 def join_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     urgent = table(spark, sf_dir, "orders").where("o_totalprice > 250000").select(F.col("o_custkey").alias("c_custkey"))
     return table(spark, sf_dir, "customer").join(urgent, "c_custkey", "left_anti").select("c_custkey")
@@ -149,7 +161,7 @@ def set_except_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (filter_project, exists_correlated, scalar_subquery, pivot_events, unpivot_lines, explode_words, join_inner, join_left, join_full, join_anti, join_theta, join_range, join_asof, sort_top, sort_top_by_group, set_union_all, set_union, set_intersect, set_except, set_except_all)
+    for f in (filter_project, exists_correlated, scalar_subquery, pivot_events, unpivot_lines, explode_words, join_inner, join_left, join_full, join_right, join_cross, join_anti, join_theta, join_range, join_asof, sort_top, sort_top_by_group, set_union_all, set_union, set_intersect, set_except, set_except_all)
 }
 
 _A, _B = "SELECT c_nationkey AS k FROM customer", "SELECT s_nationkey AS k FROM supplier WHERE s_acctbal > 3000"
@@ -163,6 +175,8 @@ ORACLE_SQL = {
     "join_inner": "SELECT o_orderkey, o_custkey, l_linenumber, l_quantity FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderpriority = '1-URGENT'",
     "join_left": "SELECT c_custkey, n FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_totalprice > 300000 GROUP BY 1) ON c_custkey = o_custkey",
     "join_full": "SELECT coalesce(a, b) AS nation, customers, suppliers FROM (SELECT c_nationkey AS a, count(*) AS customers FROM customer WHERE c_acctbal > 5000 GROUP BY 1) FULL JOIN (SELECT s_nationkey AS b, count(*) AS suppliers FROM supplier WHERE s_acctbal > 5000 GROUP BY 1) ON a = b",
+    "join_right": "SELECT n_name, s_suppkey FROM (SELECT * FROM supplier WHERE s_acctbal > 8000) RIGHT JOIN nation ON s_nationkey = n_nationkey",
+    "join_cross": "SELECT a.r_name AS a, b.r_name AS b FROM region a, region b",
     "join_anti": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 250000)",
     "join_theta": "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey < r_regionkey",
     "join_range": "SELECT a.user_id, a.event_id AS click_id, b.event_id AS purchase_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 6 HOUR WHERE a.event_type = 'click' AND b.event_type = 'purchase'",

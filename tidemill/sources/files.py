@@ -39,12 +39,25 @@ def source_partitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return through(lines, "parquet", "l_returnflag").where("l_returnflag = 'R'").select(lines.columns)
 
 
-QUERIES = {f.__name__: f for f in (source_csv, source_json, source_orc, source_text, source_partitioned)}
+def source_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return through(table(spark, sf_dir, "region"), "xml", rowTag="region")
+
+
+def source_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole files as bytes: the size of each text file written, one for each region."""
+    path = shared_folder(spark, "binary")
+    table(spark, sf_dir, "region").select(F.col("r_name").alias("value"), "r_regionkey").repartition("r_regionkey").write.partitionBy("r_regionkey").text(path)
+    return spark.read.format("binaryFile").load(path).select("r_regionkey", F.length("content").cast("long").alias("bytes"))
+
+
+QUERIES = {f.__name__: f for f in (source_csv, source_json, source_orc, source_text, source_partitioned, source_xml, source_binary)}
 
 ORACLE_SQL = {
     "source_csv": "SELECT * FROM customer",
     "source_json": "SELECT * FROM supplier",
     "source_orc": "SELECT * FROM part",
     "source_text": "SELECT n_name AS value FROM nation",
+    "source_xml": "SELECT * FROM region",
+    "source_binary": "SELECT r_regionkey, strlen(r_name) + 1 AS bytes FROM region",
     "source_partitioned": "SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag FROM lineitem WHERE l_returnflag = 'R'",
 }
