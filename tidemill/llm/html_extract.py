@@ -95,13 +95,13 @@ def weights(counts: dict[tuple[str, str, bool], int]) -> dict[tuple[str, str], f
 
 
 def score(kind: str, feature: str, skipped: bool, scores: dict[tuple[str, str], float]) -> float:
-    """The learned score; else a word counts 1 (minus 1 where the element holds no content) and a tag a little less than nothing."""
+    """The learned score; else a word counts 1 (minus one half where the element holds no content) and a tag a little less than nothing."""
     if (kind, feature) in scores:
         return scores[kind, feature]
     if kind == "w":
-        return -1.0 if skipped else 1.0
+        return -0.5 if skipped else 1.0
     name = feature.lstrip("/")
-    return TAG_MOST if name in INLINE or name in VOID else -1.0 if name in SKIPPED else -0.5
+    return TAG_MOST if name in INLINE or name in VOID else -0.5
 
 
 def main_text(page: str, scores: dict[tuple[str, str], float]) -> str:
