@@ -67,20 +67,42 @@ def in_words(text: str) -> list[str]:
     return out
 
 
+def _signs(group: list[str], size: int) -> np.ndarray:
+    """Code points of strings of one length, a row each."""
+    return np.array(group, f"<U{size}").view("<u4").reshape(len(group), size).astype(np.uint64)
+
+
+def _append(code: np.ndarray, sign: np.ndarray) -> np.ndarray:
+    """The 64-bit code of strings with one more sign."""
+    code = (code ^ (code >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + (sign + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return code ^ (code >> np.uint64(32))
+
+
 class Model:
     """Piece probabilities by language, and the likelihoods of words under them."""
 
     def __init__(self, languages: list[str], pieces: list[str], table: np.ndarray):
-        self.key, self.languages, self.index = uuid.uuid4().hex, languages, {x: i for i, x in enumerate(pieces)}
+        self.key, self.languages = uuid.uuid4().hex, languages
+        codes = np.zeros(len(pieces), np.uint64)
+        for size, at in _by_length(pieces):
+            signs, code = _signs([pieces[k] for k in at], size), np.zeros(len(at), np.uint64)
+            for j in range(size):
+                code = _append(code, signs[:, j])
+            codes[at] = code
+        self.number = np.argsort(codes)
+        self.codes = codes[self.number]
         # the last two rows: an unknown letter, and a string that is no piece
         self.table = np.vstack((table, np.full((1, table.shape[1]), UNKNOWN), np.zeros((1, table.shape[1]))))
 
     def _steps(self, group: list[str], size: int) -> dict[tuple[int, int], np.ndarray]:
         """The piece numbers of all substrings, as far as any is a piece."""
-        get, none, out = self.index.get, len(self.table) - 1, {}
+        signs, none, out = _signs(group, size), len(self.table) - 1, {}
         for i in range(size):
+            code = np.zeros(len(group), np.uint64)
             for j in range(i + 1, min(size, i + LONGEST) + 1):
-                found = np.fromiter((get(w[i:j], none) for w in group), np.int64, len(group))
+                code = _append(code, signs[:, j - 1])
+                at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+                found = np.where(self.codes[at] == code, self.number[at], none)
                 if j == i + 1:
                     found[found == none] = none - 1
                 if j == i + 1 or (found != none).any():
@@ -120,7 +142,7 @@ class Model:
         return out[:-2]
 
 
-def _by_length(given: list[str], limit: int = 20_000) -> Iterator[tuple[int, np.ndarray]]:
+def _by_length(given: list[str], limit: int = 4_000) -> Iterator[tuple[int, np.ndarray]]:
     sizes = np.fromiter(map(len, given), np.int64, len(given))
     for size in np.unique(sizes).tolist():
         at = np.flatnonzero(sizes == size)
@@ -182,25 +204,26 @@ class Scorer:
 
     def forget(self) -> None:
         self.slot: dict[str, int] = {}
-        self.words: dict[str, np.ndarray] = {}
         self.values = np.zeros((1 << 12, self.width + 1))
 
     def _learn(self, strings: list[str]) -> None:
         parts = [in_words(x) for x in strings]
-        new = list({w for p in parts for w in p if w not in self.words})
-        self.words.update(zip(new, self.model.likelihood(new) if new else (), strict=True))
-        first = len(self.slot)
-        while first + len(strings) > len(self.values):
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        place = {w: k for k, w in enumerate(sorted({w for p in parts for w in p}))}
+        likelihood = self.model.likelihood(list(place))
+        used = np.fromiter((place[w] for p in parts for w in p), np.int64, int(sizes.sum()))
+        first, last = len(self.slot), len(self.slot) + len(strings)
+        while last > len(self.values):
             self.values = np.concatenate((self.values, np.zeros_like(self.values)))
-        for k, p in enumerate(parts, first):
-            for w in p:
-                self.values[k, :-1] += self.words[w]
-            self.values[k, -1] = len(p)
-        self.slot.update(zip(strings, range(first, first + len(strings)), strict=True))
+        for k in range(self.width):
+            self.values[first:last, k] = np.bincount(np.repeat(np.arange(len(parts)), sizes), likelihood[used, k], len(parts))
+        self.values[first:last, -1] = sizes
+        self.slot.update(zip(strings, range(first, last), strict=True))
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Log likelihood by language, and the number of words, of each text."""
-        if len(self.slot) > words.CACHE_PIECES // 2:
+        words.hold(self)
+        if len(self.slot) > words.CACHE_PIECES:
             self.forget()
         strings, index, begin = words.split(texts, None)
         if new := [x for x in strings if x not in self.slot]:

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 #: Text bytes that are held split at a time, unless one text has more.
 SLICE_BYTES = 8 << 20
 #: Distinct pieces that a worker remembers; then it starts afresh.
-CACHE_PIECES = 1 << 20
+CACHE_PIECES = 1 << 19
 #: A blank inside or at the end of a longer run of white space: such texts are not split at blanks.
 _RUN = r"[\s\pZ\x{0b}\x{1c}-\x{1f}\x{85}] (?:[\s\pZ\x{0b}\x{1c}-\x{1f}\x{85}]|\z)"
 
@@ -56,6 +56,17 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
 
 
+_held: list = []
+
+
+def hold(cache) -> None:
+    """Only one cache of a worker is filled at a time: when another one is used, it forgets."""
+    if _held and _held[0] is not cache:
+        _held.pop().forget()
+    if not _held:
+        _held.append(cache)
+
+
 class ChunkEncoder:
     """Token ids of texts by a tokenizer whose tokens never run across a blank that follows a non-blank.
 
@@ -102,6 +113,7 @@ class ChunkEncoder:
 
     def __call__(self, array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and where each text begins in it (and the end)."""
+        hold(self)
         if len(self.slot) > CACHE_PIECES:
             self.forget()
         whole = pc.match_substring_regex(array, self.run).to_numpy(zero_copy_only=False)
