@@ -38,6 +38,8 @@ MARK = "▁"
 TRAIN_ROWS, ITERATIONS = 3000, 3
 #: Longest piece looked at; a letter outside the vocabulary has this probability.
 LONGEST, UNKNOWN = 12, 1e-8
+#: Rows of an Arrow batch, set for the session when texts are annotated.
+BATCH_ROWS = 2000
 #: Longer words are cut for the forward algorithm, so that their probability stays a number.
 WORD = 40
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -223,7 +225,7 @@ class Scorer:
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Log likelihood by language, and the number of words, of each text."""
         words.hold(self)
-        if len(self.slot) > words.CACHE_PIECES:
+        if len(self.slot) > words.CACHE_PIECES // 2:
             self.forget()
         strings, index, begin = words.split(texts, None)
         if new := [x for x in strings if x not in self.slot]:
@@ -246,6 +248,8 @@ def _scorer(model: Model) -> Scorer:
 def annotate(docs: DataFrame, model: Model | None) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` (replaced if there), from each whole text alone."""
     docs = docs.drop("lang_pred", "score")
+    # whole rows go through Python: smaller batches keep the buffers on both sides small
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
