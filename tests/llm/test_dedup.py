@@ -7,7 +7,6 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from tidemill.llm import exact_dedup, graph, line_dedup, near_dedup, queries
 
@@ -118,15 +117,6 @@ def distance(a, b):
     return last[-1]
 
 
-@pytest.mark.parametrize("edits", [0, 1, 2, 3])
-def test_bit_parallel_distance(spark, edits):
-    rng = random.Random(edits)
-    pairs = [("".join(rng.choice("ab🙂") for _ in range(rng.randint(1, 9))), "".join(rng.choice("ab🙂") for _ in range(rng.randint(1, 9)))) for _ in range(400)]
-    df = spark.createDataFrame(pairs, "a string, b string")
-    got = df.select("a", "b", line_dedup.within(F.split("a", ""), F.split("b", ""), edits).alias("near")).collect()
-    assert all(r.near == (distance(r.a, r.b) <= edits) for r in got) and len({r.near for r in got}) == 2
-
-
 @pytest.mark.parametrize("edits", [1, 2])
 def test_line_dedup(spark, edits):
     rng = random.Random(1)

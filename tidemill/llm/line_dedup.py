@@ -5,8 +5,9 @@ the corpus (ordered by doc_id, then a hash of the text, then the line's place).
 Two lines within that distance share one of ``edits`` + 1 segments at nearly the
 same place. So each line is indexed by its segments, each line probes the segments
 of lines that are up to ``edits`` shorter, at the few places that can match, and
-what meets is compared by letter counts in the join itself and then verified by
-Spark's banded edit distance on the texts.
+what meets is compared by letter counts right after the join and then verified on
+the texts by Spark's banded edit distance (a bit-parallel one written with array
+functions gave the same results but took many times as long).
 
 What is shuffled are hashes; texts of lines move only for pairs to be verified. A
 line that many documents share is one line before its first shuffle.
@@ -27,14 +28,17 @@ from tidemill.llm import scratch
 
 EDITS = 2
 LEAST_CHARS = 32
-#: Letters whose counts (modulo 64) a signature holds: the ten most frequent ones of Latin-script prose.
-LETTERS = "enitrasohd"
+#: Letters whose counts (modulo 32) a signature holds: the most frequent ones of Latin-script prose.
+LETTERS = "enitraoshdlu"
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """``doc_id, xh, at, line`` of every line that is not blank; ``xh`` tells texts with one doc_id apart."""
     text = F.col("text").cast("string")
-    lines = docs.select("doc_id", F.xxhash64(text).alias("xh"), F.posexplode(F.split(text, "\n")).alias("at", "line"))
+    # Hashed and split once a document, before the lines are made. The outer form has the same
+    # rows here, but no filter is inferred from it, which would split each text again.
+    parts = docs.select("doc_id", F.xxhash64(text).alias("xh"), F.split(text, "\n").alias("parts"))
+    lines = parts.select("doc_id", "xh", F.posexplode_outer("parts").alias("at", "line"))
     return lines.where(F.col("line").rlike(r"\S"))
 
 
@@ -43,12 +47,12 @@ def hashes(line: Column) -> list[Column]:
     return [F.xxhash64(line).alias("l1"), F.xxhash64(F.lit(7), line).alias("l2")]
 
 
-def signature(line: Column) -> Column:
-    """Counts of ten letters, 6 bits each. An edit changes two of them by one at most."""
-    size, packed = F.octet_length(line), F.lit(0).cast("long")
+def signature(line: Column, size: Column) -> Column:
+    """Counts of seven signs, 8 bits each, and above them the length modulo 16. An edit changes two counts by one at most."""
+    octets, packed = F.octet_length(line), F.shiftleft((size % 8).cast("long"), 60)
     for k, letter in enumerate(LETTERS):
-        count = (size - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))).cast("long")
-        packed = packed.bitwiseOR(F.shiftleft(count.bitwiseAND(F.lit(63)), 6 * k))
+        count = (octets - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))).cast("long")
+        packed = packed.bitwiseOR(F.shiftleft(count.bitwiseAND(F.lit(31)), 5 * k))
     return packed
 
 
@@ -56,51 +60,54 @@ def apart(a: Column, b: Column) -> Column:
     """A lower bound of the sum of count differences of two signatures."""
     total = F.lit(0)
     for k in range(len(LETTERS)):
-        one = (F.shiftright(a, 6 * k).bitwiseAND(F.lit(63)) - F.shiftright(b, 6 * k).bitwiseAND(F.lit(63))).bitwiseAND(F.lit(63))
-        total = total + F.least(one, 64 - one)
+        one = (F.shiftright(a, 5 * k) - F.shiftright(b, 5 * k)).bitwiseAND(F.lit(31))
+        total = total + F.least(one, 32 - one)
     return total
 
 
 def _segment(size: Column, i: int, parts: int) -> tuple[Column, Column]:
     """Start (from 1) and length of segment ``i`` of a line; the last segments are the longer ones."""
-    short, more = F.floor(size / parts).cast("int"), (size % parts).cast("int")
+    more = size % parts
+    short = ((size - more) / parts).cast("int")
     first = parts - more  # segments from here on have one more
     return 1 + i * short + F.greatest(F.lit(0), i - first), short + F.when(F.lit(i) >= first, 1).otherwise(0)
 
 
-def segment_keys(line: Column, edits: int) -> Column:
-    size = F.char_length(line)
-    keys = []
-    for i in range(edits + 1):
-        start, length = _segment(size, i, edits + 1)
-        keys.append(F.xxhash64(F.lit(i), size, F.substring(line, start, length)))
-    return F.array(*keys)
-
-
-def probe_keys(line: Column, edits: int) -> Column:
-    """Keys of the substrings that can match a segment of a line of the same length or up to ``edits`` shorter."""
+def line_keys(line: Column, size: Column, edits: int) -> Column:
+    """Keys of the line's own segments, and of its substrings that can match a segment of a line up to ``edits`` shorter."""
     keys = []
     for shorter in range(edits + 1):
-        size = F.char_length(line) - shorter
         for i in range(edits + 1):
-            start, length = _segment(size, i, edits + 1)
+            start, length = _segment(size - shorter, i, edits + 1)
             low, high = max(-i, shorter - (edits - i)), min(i, shorter + (edits - i))
-            keys += [F.xxhash64(F.lit(i), size, F.substring(line, start + shift, length)) for shift in range(low, high + 1)]
+            for shift in range(low, high + 1):
+                key = F.xxhash64(F.lit(i), size - shorter, F.substring(line, start + shift, length))
+                keys.append(F.struct(key.alias("key"), F.lit(shorter == 0 and shift == 0).alias("own")))
     return F.array(*keys)
 
 
-def near_lines(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """``a1, a2, b1, b2``: pairs of different lines (by their hashes) within ``edits`` edits; each pair once or, if equally long, once too."""
-    line = F.col("line")
-    lines = lines_of(docs).where(F.char_length(line) >= least_chars)
-    keyed = lines.select(F.xxhash64(line).alias("id"), signature(line).alias("sig"), segment_keys(line, edits).alias("own"), probe_keys(line, edits).alias("probes"), F.char_length(line).alias("n"))
-
-    def side(keys: str, name: str) -> DataFrame:
-        return keyed.select(F.explode(keys).alias("key"), F.col("id").alias(name), F.col("sig").alias(f"sig_{name}"), F.col("n").alias(f"n_{name}")).distinct()
-
-    index, probes = side("own", "a"), side("probes", "b")
-    differ = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
-    pairs = index.join(probes, (index["key"] == probes["key"]) & differ & (apart(F.col("sig_a"), F.col("sig_b")) <= 2 * edits))
+def near_lines(docs: DataFrame, repeated: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
+    """``a1, a2, b1, b2``: pairs of different lines (by their hashes) within ``edits`` edits, each pair once.
+
+    ``repeated`` has the lines that occur more than once with their first place; of
+    these only the first takes part.
+    """
+    line, size = F.col("line"), F.col("size")
+    lines = lines_of(docs).withColumn("size", F.char_length(line)).where(size >= least_chars)
+    known = repeated.select(F.col("l1").alias("k1"), F.col("l2").alias("k2"), "first")
+    here = F.struct("doc_id", "xh", "at")
+    hashed = lines.select("line", "size", here.alias("here"), *hashes(line))
+    once = hashed.join(scratch.sized(known), (F.col("l1") == F.col("k1")) & (F.col("l2") == F.col("k2")), "left").where(F.col("first").isNull() | F.col("here").eqNullSafe(F.col("first")))
+    signed = once.select(F.col("l1").alias("id"), signature(line, size).alias("sig"), line_keys(line, size, edits).alias("keys"))
+    # only now, and in the outer form, or signature and keys would be computed again for each key
+    keyed = signed.select("id", "sig", F.explode_outer("keys").alias("k"))
+    keyed = scratch.table(keyed.select("k.key", "k.own", "id", "sig"), "segments")
+
+    index = keyed.where("own").select("key", F.col("id").alias("a"), F.col("sig").alias("sig_a"))
+    probes = keyed.select("key", F.col("id").alias("b"), F.col("sig").alias("sig_b"))
+    longer = (F.shiftright("sig_b", 60) - F.shiftright("sig_a", 60)).bitwiseAND(F.lit(7))
+    differ = ((longer > 0) & (longer <= edits)) | ((longer == 0) & (F.col("a") < F.col("b")))
+    pairs = index.join(probes, "key").where(differ & (apart(F.col("sig_a"), F.col("sig_b")) <= 2 * edits))
     pairs = scratch.table(pairs.select("a", "b").distinct(), "line_pairs")
 
     ids = scratch.sized(scratch.table(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "line_ids"))
@@ -117,14 +124,15 @@ def deduplicate(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CH
     place = F.struct("doc_id", "xh", "at")
     firsts = scratch.table(seen.groupBy("l1", "l2").agg(F.min(place).alias("first"), F.count("*").alias("times")), "first_lines")
 
-    near = scratch.table(near_lines(docs, edits, least_chars), "near_lines")
+    repeated = scratch.table(firsts.where("times > 1").select("l1", "l2", "first"), "repeated_lines")
+    near = scratch.table(near_lines(docs, repeated, edits, least_chars), "near_lines")
     known = [firsts.select(F.col("l1").alias(f"{x}1"), F.col("l2").alias(f"{x}2"), F.col("first").alias(f"first_{x}")) for x in "ab"]
     ordered = near.join(known[0], ["a1", "a2"]).join(known[1], ["b1", "b2"])
     later = F.col("first_a") > F.col("first_b")
     late = ordered.select(F.when(later, F.col("a1")).otherwise(F.col("b1")).alias("l1"), F.when(later, F.col("a2")).otherwise(F.col("b2")).alias("l2")).distinct()
 
-    again = firsts.where("times > 1").select("l1", "l2", "first").join(late.withColumn("late", F.lit(True)), ["l1", "l2"], "full")
-    again = scratch.table(again, "repeated_lines")
+    again = repeated.join(late.withColumn("late", F.lit(True)), ["l1", "l2"], "full")
+    again = scratch.table(again, "lines_to_drop")
     gone = seen.join(scratch.sized(again, limit=200_000), ["l1", "l2"]).where(F.coalesce("late", F.lit(False)) | ~place.eqNullSafe(F.col("first")))
     gone = gone.groupBy("doc_id", "xh").agg(F.collect_set("at").alias("gone"))
     gone = scratch.table(gone.select(F.col("doc_id").alias("gone_id"), F.col("xh").alias("gone_xh"), "gone"), "dropped_lines")
