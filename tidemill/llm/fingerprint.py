@@ -38,6 +38,8 @@ CHAINS, LEVELS = 24, 8
 MOST_TERMS = 2
 #: Terms of the lexicon that may be sent to the tasks (8 bytes each).
 LEXICON_LIMIT = 4_000_000
+#: Text bytes looked at together, and strings that a worker remembers: small, as each text is there twice.
+SLICE_BYTES, REMEMBERED = 2 << 20, 1 << 18
 _M = np.random.default_rng(7)
 _XOR = _M.integers(0, 2**64, CHAINS, np.uint64, endpoint=False)
 _MUL = _M.integers(0, 2**64, CHAINS, np.uint64, endpoint=False) | np.uint64(1)
@@ -56,7 +58,7 @@ class Terms:
 
     def __call__(self, strings: list[str]) -> np.ndarray:
         words.hold(self)
-        if len(self.known) > words.CACHE_PIECES:
+        if len(self.known) > REMEMBERED:
             self.forget()
         if new := [x for x in strings if x not in self.known]:
             terms = np.array([x.strip(_EDGE_SIGNS).lower() for x in new], object)
@@ -91,10 +93,10 @@ def lexicon(docs: DataFrame, least: float = LEAST_SHARE, most: float = MOST_SHAR
             return values, total.astype(np.int64)
 
         for batch in batches:
-            for part in words.slices(batch, "text"):
+            for part in words.slices(batch, "text", SLICE_BYTES):
                 rows += part.num_rows
                 waiting.append(distinct_terms(words.texts(part, "text"))[1])
-                if sum(map(len, waiting)) > 4_000_000:
+                if sum(map(len, waiting)) > 2_000_000:
                     seen, times = merged()
                     waiting = []
         seen, times = merged()
@@ -155,25 +157,25 @@ def successors(docs: DataFrame, buckets: int) -> DataFrame:
     def bucket(keys: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(edges, keys.to_numpy(), side="left")).astype("int32")
 
-    placed = given.withColumn("key", key).withColumn("bucket", bucket("key"))
-    heads = placed.select("key", "bucket").groupBy("bucket").agg(F.max("key").alias("head")).orderBy("bucket").collect()
+    heads = given.select(key.alias("key")).withColumn("bucket", bucket("key")).groupBy("bucket").agg(F.max("key").alias("head")).orderBy("bucket").collect()
     head = np.array([r["head"] for r in heads], np.int64)
     # the bucket whose last document is followed by this head: the next higher one, and for the highest the lowest
     before = np.array([r["bucket"] for r in heads[1:] + heads[:1]], np.int32)
 
-    @F.pandas_udf("int")
-    def followed(keys: pd.Series) -> pd.Series:
-        at = np.minimum(np.searchsorted(head, keys.to_numpy()), len(head) - 1)
-        return pd.Series(np.where(head[at] == keys.to_numpy(), before[at], -1)).astype("int32")
+    @F.pandas_udf("bucket int, after int")
+    def place(keys: pd.Series) -> pd.DataFrame:
+        keys = keys.to_numpy()
+        at = np.minimum(np.searchsorted(head, keys), len(head) - 1)
+        return pd.DataFrame({"bucket": np.searchsorted(edges, keys, side="left"), "after": np.where(head[at] == keys, before[at], -1)}).astype("int32")
 
-    placed = placed.withColumn("after", followed("key"))
+    placed = given.withColumn("key", key).withColumn("place", place("key")).select("key", "doc_id", "text", "place.bucket", "place.after")
     own, tail = F.struct("bucket", F.lit(False).alias("tail")), F.struct(F.col("after").alias("bucket"), F.lit(True).alias("tail"))
     dealt = placed.select(F.explode(F.when(F.col("after") >= 0, F.array(own, tail)).otherwise(F.array(own))).alias("p"), "key", "doc_id", "text")
     return dealt.select("p.bucket", "p.tail", "key", "doc_id", "text").repartition("bucket").sortWithinPartitions("bucket", "tail", F.desc("key"), F.xxhash64("text"), "text")
 
 
 def fingerprint(docs: DataFrame, least: float = LEAST_SHARE, most: float = MOST_SHARE, buckets: int | None = None) -> DataFrame:
-    """``doc_id, text, edited, next_id, fingerprint, edited_fingerprint, next_fingerprint``.
+    """``doc_id, text, edited, next_id, fingerprint, edited_fingerprint, next_fingerprint, near_edited, near_next``.
 
     The edited text is the document with its last floor(n/2) code points replaced by as
     many first ones of the next document, by descending doc_id (after the last: the first).
@@ -184,9 +186,9 @@ def fingerprint(docs: DataFrame, least: float = LEAST_SHARE, most: float = MOST_
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple | None = None  # bucket, tail, doc_id, text, fingerprint
-        names = ["doc_id", "text", "edited", "next_id", "fingerprint", "edited_fingerprint", "next_fingerprint"]
+        names = ["doc_id", "text", "edited", "next_id", "fingerprint", "edited_fingerprint", "next_fingerprint", "near_edited", "near_next"]
         for batch in batches:
-            for part in words.slices(batch, "text"):
+            for part in words.slices(batch, "text", SLICE_BYTES):
                 text = words.texts(part, "text")
                 rows = list(zip(part["bucket"].to_pylist(), part["tail"].to_pylist(), part["doc_id"].to_pylist(), text.to_pylist(), fingerprints(text, terms), strict=True))
                 done = [(a[2], a[3], a[3][: len(a[3]) - len(a[3]) // 2] + b[3][: len(a[3]) // 2], b[2], a[4], b[4]) for a, b in zip([last, *rows[:-1]] if last else rows[:-1], rows if last else rows[1:], strict=True) if a[0] == b[0] and not a[1]]
@@ -194,6 +196,8 @@ def fingerprint(docs: DataFrame, least: float = LEAST_SHARE, most: float = MOST_
                 if done:
                     ids, own, edited, next_ids, prints, next_prints = zip(*done, strict=True)
                     edited = pa.array(edited, pa.string())
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, part["doc_id"].type), pa.array(own, pa.string()), edited, pa.array(next_ids, part["doc_id"].type), pa.array(prints), pa.array(fingerprints(edited, terms)), pa.array(next_prints)], names=names)
+                    edited_prints = fingerprints(edited, terms)
+                    near = [pa.array([likeness(x, y) for x, y in zip(prints, other, strict=True)], pa.float64()) for other in (edited_prints, next_prints)]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, part["doc_id"].type), pa.array(own, pa.string()), edited, pa.array(next_ids, part["doc_id"].type), pa.array(prints), pa.array(edited_prints), pa.array(next_prints), *near], names=names)
 
-    return successors(docs, buckets).mapInArrow(work, f"doc_id {doc_id}, text string, edited string, next_id {doc_id}, fingerprint string, edited_fingerprint string, next_fingerprint string")
+    return successors(docs, buckets).mapInArrow(work, f"doc_id {doc_id}, text string, edited string, next_id {doc_id}, fingerprint string, edited_fingerprint string, next_fingerprint string, near_edited double, near_next double")

@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,19 +40,14 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fingerprint.fingerprint(_table(spark, sf_dir, "documents"))
-
-    @F.pandas_udf("double")
-    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint.likeness(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
-
     return out.select(
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
         "fingerprint",
         "edited_fingerprint",
-        alike("fingerprint", "edited_fingerprint").alias("near_edited"),
-        alike("fingerprint", "next_fingerprint").alias("near_next"),
+        "near_edited",
+        "near_next",
     )
 
 
