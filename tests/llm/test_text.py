@@ -190,6 +190,26 @@ def test_lexicon_is_the_band(spark):
     assert set(fingerprint.lexicon(docs, 0.2, 0.5)) == set(terms)
 
 
+@pytest.mark.parametrize("changed", [False, True])
+def test_hot_group_keeps_its_lexicon_terms(spark, changed):
+    """Half of the rows are copies, or near copies, of one text; its terms occur nowhere else."""
+    rng = random.Random(4)
+    base = [f"hot{k}" for k in range(40)]
+    rows = []
+    for i in range(200):
+        own = list(base)
+        if changed and i:
+            own[rng.randrange(40)] = f"other{i}"
+        rows.append((i, " ".join(own)))
+    rows += [(200 + i, " ".join(rng.sample([f"w{k}" for k in range(300)], 30))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    terms = fingerprint.lexicon(docs)
+    edited = " ".join(["new", *base[1:]])
+    whole, near, far = fingerprint.fingerprints(pa.array([rows[0][1], edited, rows[-1][1]]), terms)
+    assert set(fingerprint.Terms()(base)) <= set(terms)
+    assert not whole.startswith("=") and fingerprint.likeness(whole, near) > 0.5 > fingerprint.likeness(whole, far)
+
+
 def test_edited_text_is_nearer_than_the_next(spark, small):
     got = queries.op6_fingerprints(spark, small).toPandas()
     assert got.near_edited.mean() > 5 * got.near_next.mean() and (got.near_edited > got.near_next).mean() > 0.8

@@ -1,7 +1,10 @@
 """Document fingerprints by I-Match with randomised lexicon subsets.
 
 The lexicon holds the terms whose share of documents, and so whose inverse document
-frequency, lies within a band. From it come nested random subsets of geometrically
+frequency, lies within a band. The band's lower edge is a share of all rows; its upper
+edge is a share of groups of copies and near copies, so that one group, however large,
+can't push its own terms out. A group has equal ``KEY_TERMS`` smallest term hashes; the
+``MOST_GROUPS`` largest ones count once each, other rows one by one. From the lexicon come nested random subsets of geometrically
 falling size, several chains of them. A document's distinct terms in a subset are
 sorted and hashed, unless there are none or more than ``MOST_TERMS`` of them (too many to
 survive an edit). The fingerprint lists these hashes; two are alike as far as
@@ -36,6 +39,8 @@ LEAST_SHARE, MOST_SHARE = 0.001, 0.3
 #: Chains of nested subsets; each subset of a chain has a quarter of the terms of the one before.
 CHAINS, LEVELS = 24, 8
 MOST_TERMS = 2
+#: Smallest term hashes that make the key of a group of near copies, and groups that are sent to the tasks (16 bytes each).
+KEY_TERMS, MOST_GROUPS = 4, 1 << 18
 #: Terms of the lexicon that may be sent to the tasks (8 bytes each).
 LEXICON_LIMIT = 4_000_000
 #: Text bytes looked at together, and strings that a worker remembers: small, as each text is there twice.
@@ -80,32 +85,66 @@ def distinct_terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return owner[term != 0], term[term != 0]
 
 
+def group_keys(owner: np.ndarray, term: np.ndarray, n: int) -> np.ndarray:
+    """For each of ``n`` texts the mixed hash of its smallest terms (``distinct_terms`` sorts them); 0 without terms."""
+    begin = np.searchsorted(owner, np.arange(n + 1))
+    keys = np.zeros(n, np.uint64)
+    for k in range(KEY_TERMS):
+        at = begin[:-1] + k
+        there = at < begin[1:]
+        keys[there] = (keys[there] ^ term[at[there]]) * _MUL[k]
+    return keys
+
+
+def groups(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys of the largest groups of copies and near copies, and their numbers of rows (2 at least)."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in words.slices(batch, "text", SLICE_BYTES):
+                keys = group_keys(*distinct_terms(words.texts(part, "text")), part.num_rows)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], names=["key"])
+
+    keys = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(work, "key long")
+    found = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "key").limit(MOST_GROUPS).toPandas()
+    key, n = found["key"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)
+    order = np.argsort(key)
+    return key[order], n[order]
+
+
 def lexicon(docs: DataFrame, least: float = LEAST_SHARE, most: float = MOST_SHARE) -> np.ndarray:
-    """Sorted hashes of the terms within the band, counted over all documents."""
+    """Sorted hashes of the terms within the band: in enough of all rows, and in not too many groups of near copies."""
+    known, members = groups(docs)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, times, waiting = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
-        rows = 0
+        seen, times, shares, waiting, weights = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), [], []
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
+        def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             values, at = np.unique(np.concatenate([seen, *waiting]), return_inverse=True)
             total = np.bincount(at, np.concatenate([times, np.ones(len(at) - len(times))]), len(values))
-            return values, total.astype(np.int64)
+            return values, total, np.bincount(at, np.concatenate([shares, *weights]), len(values))
 
         for batch in batches:
             for part in words.slices(batch, "text", SLICE_BYTES):
-                rows += part.num_rows
-                waiting.append(distinct_terms(words.texts(part, "text"))[1])
-                if sum(map(len, waiting)) > 2_000_000:
-                    seen, times = merged()
-                    waiting = []
-        seen, times = merged()
-        # term 0 carries the number of documents
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, np.uint64(0)).view(np.int64)), pa.array(np.append(times, rows))], names=["term", "df"])
-
-    counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
+                owner, term = distinct_terms(words.texts(part, "text"))
+                weight = np.ones(part.num_rows)
+                if len(known):
+                    keys = group_keys(owner, term, part.num_rows)
+                    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                    weight[known[at] == keys] = (1 / members[at])[known[at] == keys]
+                waiting.append(term)
+                weights.append(weight[owner])
+                if sum(map(len, waiting)) > 1_000_000:
+                    seen, times, shares = merged()
+                    waiting, weights = [], []
+        seen, times, shares = merged()
+        yield pa.RecordBatch.from_arrays([pa.array(seen.view(np.int64)), pa.array(times.astype(np.int64)), pa.array(shares)], names=["term", "df", "groups"])
+
+    counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "term long, df long, groups double").groupBy("term").agg(F.sum("df").alias("df"), F.sum("groups").alias("groups"))
     total = docs.count()
-    kept = counts.where((F.col("term") != 0) & (F.col("df") >= max(2, least * total)) & (F.col("df") <= max(2, most * total))).select("term")
+    apart = total - int((members - 1).sum())
+    # the sums of fractions are exact to about 1e-9
+    kept = counts.where((F.col("df") >= max(2, least * total)) & (F.col("groups") <= max(2, most * apart) + 1e-6)).select("term")
     found = kept.limit(LEXICON_LIMIT + 1).toPandas()["term"].to_numpy(np.int64)
     if len(found) > LEXICON_LIMIT:
         raise ValueError("the lexicon is larger than LEXICON_LIMIT: raise the least share")
