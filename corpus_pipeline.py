@@ -31,10 +31,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest doc_id."""
-    found = near_dedup.deduplicate(docs)
-    gone = scratch.table(found.where("not kept").select(F.col("doc_id").alias("gone_id")).distinct(), "dropped_documents")
-    return docs.join(scratch.sized(gone), docs["doc_id"] == F.col("gone_id"), "left_anti")
+    """One row of each group of near-duplicates: the one with the smallest doc_id."""
+    return near_dedup.distinct(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """The pipeline's stages: what they return, and that their decisions take effect."""
 
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 import __spark_entry__
@@ -38,5 +40,16 @@ def test_decisions_on_odd_rows(spark):
     assert {20, 21, 22, 23, 30} & set(left) == {20}
 
 
+def test_near_stage_decides_by_row(spark):
+    """Exactly one row of each component stays, with repeated rows, null doc_ids, and doc_ids that recur with other texts."""
+    texts = {i: t for i, t in odd_texts() if i is not None and t}
+    a, near_a, b, c, d = texts[20], texts[31], texts[50], texts[51], texts[52]
+    rows = [(1, a), (1, a), (2, near_a), (None, near_a), (None, a), (2, b), (2, c), (3, c), (None, d), (None, d), (4, None), (4, ""), (4, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], SCHEMA).repartition(3)
+    got = corpus_pipeline.near_stage(spark, docs, "")
+    assert got.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter([(1, a), (2, b), (2, c), (None, d), (4, None), (4, ""), (4, "")])
+
+
 def test_run(spark, small):
     assert corpus_pipeline.run(spark, small).select(F.sum("length")).first()[0] > 0

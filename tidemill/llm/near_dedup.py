@@ -107,7 +107,7 @@ def estimate(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: n
 
 
 def sketch(docs: DataFrame, k: int) -> DataFrame:
-    """``row, doc_id, n, digest, registers`` of each row; ``row`` numbers them."""
+    """``row, doc_id, text_hash, n, digest, registers`` of each row; ``row`` numbers them."""
     doc_id = docs.schema["doc_id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,10 +118,11 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
             for part in words.slices(batch, "text"):
                 found = [(len(s), d, registers(s).tobytes() if d else None) for s, d in shingle_sets(words.texts(part, "text"), k)]
                 n, digest, regs = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(len(n))), part["doc_id"], pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(regs, pa.binary())], names=["row", "doc_id", "n", "digest", "registers"])
+                yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(len(n))), part["doc_id"], part["text_hash"], pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(regs, pa.binary())], names=["row", "doc_id", "text_hash", "n", "digest", "registers"])
                 row += len(n)
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(work, f"row long, doc_id {doc_id}, n long, digest binary, registers binary")
+    text = F.col("text").cast("string")
+    return docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("text_hash")).mapInArrow(work, f"row long, doc_id {doc_id}, text_hash long, n long, digest binary, registers binary")
 
 
 def _matrix(column: pa.Array, kind: str = "<u2") -> np.ndarray:
@@ -231,8 +232,12 @@ def rest_of_buckets(members: DataFrame, comps: DataFrame, sets: DataFrame, perce
     return dealt.join(sets.select("id", "shingles"), "id").groupBy("key", "i", "j").applyInArrow(lambda t: block_links(t.combine_chunks(), percent), "a long, b long")
 
 
-def deduplicate(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of every row; see the module for the method and the defined results."""
+def components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """``doc_id, text_hash, n_shingles, comp, component_id`` of every row.
+
+    ``comp`` numbers the components, also those whose smallest doc_ids are equal or
+    null; it is null for a row without shingles. ``text_hash`` is Spark's xxhash64.
+    """
     rows = scratch.table(sketch(docs, shingle), "sketches")
     classes = rows.where("n > 0").groupBy("digest").agg(F.min("row").alias("cid"), F.min("doc_id").alias("first_id"), F.min_by(F.struct("doc_id", "n", "registers"), "row").alias("r"))
     classes = scratch.table(classes.select("digest", "cid", "first_id", "r.doc_id", "r.n", "r.registers"), "classes")
@@ -259,7 +264,36 @@ def deduplicate(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
     found = classes.select("digest", "cid", "first_id").join(over.withColumnRenamed("id", "cid"), "cid", "left")
     found = found.withColumn("comp", F.coalesce("comp", "cid")).join(merged.select(F.col("id").alias("comp"), F.col("comp").alias("into")), "comp", "left").withColumn("comp", F.coalesce("into", "comp"))
     least = found.groupBy("comp").agg(F.min("first_id").alias("component_id"))
-    ids = found.join(least, "comp").select("digest", "component_id")
-    out = rows.select("doc_id", "n", "digest").join(ids, "digest", "left")
+    ids = found.join(least, "comp").select("digest", "comp", "component_id")
+    out = rows.select("doc_id", "text_hash", "n", "digest").join(ids, "digest", "left")
     root = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), root.alias("component_id"), F.col("doc_id").eqNullSafe(root).alias("kept"))
+    return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "comp", root.alias("component_id"))
+
+
+def deduplicate(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` of every row; see the module for the method and the defined results."""
+    found = components(docs, shingle, percent)
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def distinct(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with exactly one row of each component: the smallest doc_id (null last), then text hash, then the other columns.
+
+    Rows without shingles all stay.
+    """
+    found = components(docs, shingle, percent).where("comp IS NOT NULL")
+    pairs = scratch.table(found.groupBy("comp", "doc_id", "text_hash").agg(F.count("*").alias("n")), "component_rows")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "n")
+    best = pairs.groupBy("comp").agg(F.min(place).alias("best"), F.sum("n").alias("rows")).where("rows > 1")
+    best = scratch.table(best.select("comp", F.col("best.doc_id").alias("best_id"), F.col("best.text_hash").alias("best_hash"), F.col("best.n").alias("times")), "kept_rows")
+    is_best = F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("text_hash") == F.col("best_hash"))
+    gone = pairs.join(scratch.sized(best.select("comp", "best_id", "best_hash")), "comp").where(~is_best)
+    gone = scratch.table(gone.select(F.col("doc_id").alias("other_id"), F.col("text_hash").alias("other_hash")), "dropped_rows")
+    again = scratch.table(best.where("times > 1").select(F.col("best_id").alias("other_id"), F.col("best_hash").alias("other_hash")), "repeated_rows")
+
+    text_hash = F.xxhash64(F.col("text").cast("string"))
+    same = F.col("doc_id").eqNullSafe(F.col("other_id")) & (text_hash == F.col("other_hash"))
+    single = docs.join(scratch.sized(gone.union(again)), same, "left_anti")
+    repeated = docs.join(scratch.sized(again), same, "left_semi").groupBy("doc_id", text_hash.alias("h")).agg(F.min(F.struct(*docs.columns)).alias("r"))
+    return single.union(repeated.select("r.*"))
+
