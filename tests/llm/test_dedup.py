@@ -152,6 +152,20 @@ def test_line_dedup(spark, edits):
     assert all(r.n_lines >= r.n_dropped for r in got)
 
 
+def test_short_lines_are_compared_by_default(spark):
+    """The registered floor against brute force, on lines of 1 to 31 characters."""
+    rng = random.Random(8)
+    lines = ["Are is anwh reenen.", "Are. Is anwh reenen.", "abc", "abd", "x", "y", "ab", "b"]
+    for n in (3, 4, 5, 9, 16, 31):
+        base = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+        lines += [base, base[:-1] + "#", "@" + base[1:-1] + "%", "+-*" + base[3:], base + "!", base + "!?:"]
+    lines = list(dict.fromkeys(lines))
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.n_dropped for r in line_dedup.deduplicate(docs).collect()}
+    want = {k: int(len(x) > 2 and any(len(y) > 2 and distance(x, y) <= 2 for y in lines[:k])) for k, x in enumerate(lines)}
+    assert got == want and want[1] == want[3] == 1
+
+
 def test_line_dedup_on_odd_rows(odd):
     got = line_dedup.deduplicate(odd).collect()
     assert len(got) == len(odd_texts())

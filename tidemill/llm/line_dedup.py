@@ -13,7 +13,7 @@ What is shuffled are hashes; texts of lines move only for pairs to be verified.
 line that many documents share is one line before its first shuffle.
 
 Defined results: a null text stays null; blank lines are always kept; lines shorter
-than ``least_chars`` are compared for equality alone; a document may end up
+than ``least_chars`` (or than ``edits`` + 1) are compared for equality alone; a document may end up
 without lines (its text is empty then); rows equal in doc_id and text get the same
 text; an empty table gives no rows; further columns are carried along, but those
 named ``n_lines`` or ``n_dropped`` are replaced.
@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from tidemill.llm import scratch
 
 EDITS = 2
-LEAST_CHARS = 32
+#: The least that can be cut into EDITS + 1 segments.
+LEAST_CHARS = EDITS + 1
 #: Letters whose counts (modulo 32) a signature holds: the most frequent ones of Latin-script prose.
 LETTERS = "enitraoshdlu"
 
@@ -92,7 +93,7 @@ def near_lines(docs: DataFrame, repeated: DataFrame, edits: int = EDITS, least_c
     ``repeated`` has the lines that occur more than once with their first place; of
     these only the first takes part.
     """
-    line, size = F.col("line"), F.col("size")
+    line, size, least_chars = F.col("line"), F.col("size"), max(least_chars, edits + 1)
     lines = lines_of(docs).withColumn("size", F.char_length(line)).where(size >= least_chars)
     known = repeated.select(F.col("l1").alias("k1"), F.col("l2").alias("k2"), "first")
     here = F.struct("doc_id", "xh", "at")
