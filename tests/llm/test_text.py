@@ -301,6 +301,18 @@ def test_html_without_labelled_pages():
     assert html_extract.main_text(PAGE.replace("article", "main"), {}) == "Tom & Ann First boldword here. After Second <one> é."
 
 
+def test_blanks_between_inline_elements_are_kept():
+    page = "<article><p><b>foo</b> <i>bar</i>\n<a href=x>one</a> <a>two</a><span>x</span><b>y</b></p><p>the end of it all</p></article>"
+    assert html_extract.main_text(page, {}) == "foo bar one twoxy the end of it all"
+    assert not any(k[0] == "w" and n == 0 for k, n in html_extract.count(page).items())
+
+
+@pytest.mark.parametrize("element", ["body class=has-sidebar", 'main class="layout no-sidebar"', 'article class="post has-comments"', 'div class="has-sidebar wide"', "body class=sidebar", "article id=comments"])
+def test_names_about_other_parts_keep_the_article(element):
+    page = f"<html><{element}><p>some words of the page</p><div class='box sidebar'>not this</div><p>and more words than the tags cost</p>"
+    assert html_extract.main_text(page, {}) == "some words of the page and more words than the tags cost"
+
+
 def test_scan_finds_the_best_region():
     """The linear scan against all contiguous regions."""
     rng = random.Random(2)

@@ -34,7 +34,9 @@ MOST, TAG_MOST, TAG_LEAST = 4.0, -0.2, -4.0
 SKIPPED = {"aside", "button", "footer", "form", "head", "header", "iframe", "menu", "nav", "noscript", "script", "select", "style", "svg", "template", "textarea", "title"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "cite", "code", "data", "dfn", "em", "font", "i", "img", "kbd", "mark", "q", "s", "samp", "small", "span", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-SKIPPED_NAMES = re.compile(r"\b(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|footer|header|menu|nav\w*|newsletter|notice|popup|promo|related|share|sidebar|social|sponsor\w*|subscribe)\b", re.I)
+#: Elements that no name makes one without content, and the names (whole ones) that do so elsewhere.
+KEPT = {"html", "body", "main", "article"}
+SKIPPED_NAMES = re.compile(r"(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|footer|header|menu|nav\w*|newsletter|notice|popup|promo|related|share|sidebar|social|sponsor\w*|subscribe)", re.I)
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -48,12 +50,11 @@ _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", r
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, str, bool]]:
-    """Kind (``<`` or ``w``), feature, text of a run of words, and whether it stands in an element without content."""
+    """Kind (``<`` or ``w``), feature, text of a run of words or of white space, and whether it stands in an element without content."""
     stack: list[tuple[str, str, bool]] = []
     for m in _TOKEN.finditer(page):
         if m[5] is not None:
-            if not m[5].isspace():
-                yield "w", stack[-1][1] if stack else "", m[5], bool(stack) and stack[-1][2]
+            yield "w", stack[-1][1] if stack else "", m[5], bool(stack) and stack[-1][2]
             continue
         name = (m[3] or "").lower()
         if not name:
@@ -69,7 +70,8 @@ def tokens(page: str) -> Iterator[tuple[str, str, str, bool]]:
         yield "<", name, "", False
         if name not in VOID and not m[4].endswith("/"):
             label = f"{name}.{names}" if names else name
-            stack.append((name, label, bool(stack) and stack[-1][2] or name in SKIPPED or bool(names and SKIPPED_NAMES.search(names))))
+            named = name not in KEPT and any(map(SKIPPED_NAMES.fullmatch, names.split()))
+            stack.append((name, label, bool(stack) and stack[-1][2] or name in SKIPPED or named))
 
 
 def count(page: str) -> Counter:
@@ -79,7 +81,8 @@ def count(page: str) -> Counter:
     for kind, feature, text, _ in tokens(page):
         if kind == "<" and feature == "article":
             inside += 1
-        seen[kind, feature, inside > 0] += len(text.split()) if kind == "w" else 1
+        if kind == "<" or not text.isspace():
+            seen[kind, feature, inside > 0] += len(text.split()) if kind == "w" else 1
         if kind == "<" and feature == "/article":
             inside = max(0, inside - 1)
     return seen
