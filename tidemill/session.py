@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -22,12 +23,17 @@ def session(master: str | None = None, **settings: str) -> SparkSession:
     return (builder.master(master) if master else builder).getOrCreate()
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path below ``spark.checkpoint.dir``, which all executors share; a temporary folder is set there if the master is local and none is named."""
+def shared_root(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, which all executors share; a temporary folder is set there if the master is local and none is named."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="tidemill-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root}/tidemill/{name}-{uuid.uuid4().hex}"
+    return root
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path below the folder that all executors share."""
+    return f"{shared_root(spark)}/tidemill/{name}-{uuid.uuid4().hex}"
