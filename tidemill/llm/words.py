@@ -2,11 +2,13 @@
 
 A batch of texts is split into pieces by Arrow, each distinct piece is looked at
 once, and the result is spread over the batch with numpy. What is known about a
-piece stays with the Python worker between batches and tasks.
+piece stays with the Python worker between batches and tasks, up to a number of
+bytes; what a task has freed goes back to the system when it ends.
 """
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,9 +16,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text bytes that are held split at a time, unless one text has more.
-SLICE_BYTES = 8 << 20
-#: Distinct pieces that a worker remembers; then it starts afresh.
-CACHE_PIECES = 1 << 19
+SLICE_BYTES = 4 << 20
+#: Bytes of what a worker remembers of distinct pieces; then it starts afresh. An entry costs so much besides its text.
+CACHE_BYTES, ENTRY_BYTES = 64 << 20, 230
 #: A blank inside or at the end of a longer run of white space: such texts are not split at blanks.
 _RUN = r"[\s\pZ\x{0b}\x{1c}-\x{1f}\x{85}] (?:[\s\pZ\x{0b}\x{1c}-\x{1f}\x{85}]|\z)"
 
@@ -56,6 +58,19 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
 
 
+def returning(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``work`` as a task that gives freed memory back at its end, so that a worker doesn't keep the peak of each stage it served."""
+
+    def task(batches: Iterator) -> Iterator:
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim:
+            trim(0)
+
+    return task
+
+
 _held: list = []
 
 
@@ -78,12 +93,13 @@ class ChunkEncoder:
 
     def __init__(self, encode: Callable[[list[str]], list[list[int]]], lead: Callable[[list[str]], list[list[int]]] | None = None, run: str = _RUN):
         self.encode, self.lead, self.run = encode, lead or encode, run
+        self.owner, self.limit = self, CACHE_BYTES
         self.forget()
 
     def forget(self) -> None:
         self.slot: dict[str, int] = {}
         self.pool = np.zeros(1 << 16, np.uint32)
-        self.used, self.count = 0, 0
+        self.used, self.count, self.bytes = 0, 0, 0
         self.start, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
 
     def _add(self, found: list[list[int]]) -> None:
@@ -98,6 +114,7 @@ class ChunkEncoder:
         self.start[at] = self.used + np.cumsum(sizes) - sizes
         self.pool[self.used : self.used + total] = np.fromiter((i for ids in found for i in ids), np.uint32, total)
         self.used, self.count = self.used + total, self.count + len(found)
+        self.bytes += 4 * total + ENTRY_BYTES * len(found)
 
     def _slots(self, keys: list[str], encode: Callable) -> np.ndarray:
         get = self.slot.get
@@ -108,13 +125,14 @@ class ChunkEncoder:
             first = self.count
             self._add(encode(missing))
             self.slot.update(zip(missing, range(first, self.count), strict=True))
+            self.bytes += sum(map(len, missing))
             out[at] = [get(keys[i]) for i in at.tolist()]
         return out
 
     def __call__(self, array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and where each text begins in it (and the end)."""
-        hold(self)
-        if len(self.slot) > CACHE_PIECES:
+        hold(self.owner)
+        if self.bytes > self.limit:
             self.forget()
         whole = pc.match_substring_regex(array, self.run).to_numpy(zero_copy_only=False)
         if whole.any():
