@@ -6,8 +6,9 @@ algorithm; the expected piece counts of a forward-backward pass train the
 probabilities (expectation maximisation). A text's likelihood is the product over
 its words; its language is the most likely one, its score the posterior.
 
-Words are the runs of letters in lower case, each with the vocabulary's word mark.
-Training takes about ``train_rows`` labelled rows of each language at most, by a hash of
+Words are the runs of letters (Unicode category L) in lower case, each with the
+vocabulary's word mark. The forward algorithm sums over all segmentations of a word of
+any length; that of a long word runs on logarithms. Training takes about ``train_rows`` labelled rows of each language at most, by a hash of
 doc_id; what reaches the driver is a number for each piece and language.
 
 Defined results: a text that is null, empty or without a letter is ``und`` with
@@ -19,7 +20,6 @@ ignored.
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -27,22 +27,22 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemill.llm import scratch, words
 
 MARK = "▁"
 #: Labelled rows of a language in training; rounds of expectation maximisation.
 TRAIN_ROWS, ITERATIONS = 3000, 3
-#: Longest piece looked at; a letter outside the vocabulary has this probability.
-LONGEST, UNKNOWN = 12, 1e-8
-#: Rows of an Arrow batch, set for the session when texts are annotated.
-BATCH_ROWS = 2000
-#: Longer words are cut for the forward algorithm, so that their probability stays a number.
-WORD = 40
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: A letter outside the vocabulary has this probability.
+UNKNOWN = 1e-8
+#: Words up to this length can't underflow; the sums of longer ones are kept as logarithms, in blocks of so many letters.
+SHORT, BLOCK = 24, 4096
+#: Training rows are chosen by a hash of so many values.
+HASHES = 1 << 48
+_LETTERS = regex.compile(r"\p{L}+")
 
 
 def piece_path() -> str:
@@ -57,16 +57,12 @@ def vocabulary(path: str | None = None) -> list[str]:
 
     model = SentencePieceProcessor(model_file=path or piece_path())
     found = {model.id_to_piece(i).lower() for i in range(model.get_piece_size())}
-    return sorted(x for x in found if len(x) <= LONGEST and (x.removeprefix(MARK).isalpha() or x == MARK))
+    return sorted(x for x in found if x.removeprefix(MARK).isalpha() or x == MARK)
 
 
 def in_words(text: str) -> list[str]:
-    """The marked words of a text; a very long one in parts, of which only the first is marked."""
-    out = []
-    for word in _LETTERS.findall(text.lower()):
-        word = MARK + word
-        out += [word[i : i + WORD] for i in range(0, len(word), WORD)] if len(word) > WORD else [word]
-    return out
+    """The marked words of a text."""
+    return [MARK + word for word in _LETTERS.findall(text.lower())]
 
 
 def _signs(group: list[str], size: int) -> np.ndarray:
@@ -93,6 +89,7 @@ class Model:
             codes[at] = code
         self.number = np.argsort(codes)
         self.codes = codes[self.number]
+        self.longest = max(map(len, pieces), default=1)
         # the last two rows: an unknown letter, and a string that is no piece
         self.table = np.vstack((table, np.full((1, table.shape[1]), UNKNOWN), np.zeros((1, table.shape[1]))))
 
@@ -101,7 +98,7 @@ class Model:
         signs, none, out = _signs(group, size), len(self.table) - 1, {}
         for i in range(size):
             code = np.zeros(len(group), np.uint64)
-            for j in range(i + 1, min(size, i + LONGEST) + 1):
+            for j in range(i + 1, min(size, i + self.longest) + 1):
                 code = _append(code, signs[:, j - 1])
                 at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
                 found = np.where(self.codes[at] == code, self.number[at], none)
@@ -118,12 +115,69 @@ class Model:
             alpha[j] += alpha[i] * self.table[found]
         return alpha
 
+    def _windows(self, word: str, first: int, last: int) -> np.ndarray:
+        """For the ends first+1 ... last the piece numbers of the substrings of 1, 2, ... letters that stop there."""
+        low = max(0, first - self.longest)
+        signs, none = _signs([word[low:last]], last - low)[0], len(self.table) - 1
+        out = np.full((last - first, self.longest), none)
+        code = np.zeros(len(signs), np.uint64)  # of the substrings that begin at each place
+        for size in range(1, min(self.longest, len(signs)) + 1):
+            code = _append(code[: len(signs) - size + 1], signs[size - 1 :])
+            at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+            found = np.where(self.codes[at] == code, self.number[at], none - 1 if size == 1 else none)
+            ends = np.arange(size, len(signs) + 1) + low
+            inside = ends > first
+            out[ends[inside] - first - 1, size - 1] = found[inside]
+        return out
+
+    def _long(self, word: str) -> np.ndarray:
+        """Log probabilities of the beginnings of a long word, of 0, 1, ... letters, in each language."""
+        size, width = len(word), self.table.shape[1]
+        logs = np.full((size + 1, width), -np.inf)
+        logs[0] = 0
+        for first in range(0, size, BLOCK):
+            chance = self.table[self._windows(word, first, min(size, first + BLOCK))]
+            for k in range(len(chance)):
+                end = first + k + 1
+                back = min(self.longest, end)
+                before = logs[end - back : end][::-1]
+                # the last beginning is the scale: a letter more is never impossible, so the others are not far from it
+                logs[end] = before[0] + np.log((chance[k, :back] * np.exp(before - before[0])).sum(0))
+        return logs
+
+    def _expected_long(self, word: str, times: np.ndarray, out: np.ndarray) -> None:
+        """Adds the expected uses of each piece in a long word that occurs ``times`` in each language."""
+        size, alpha = len(word), self._long(word)
+        beta = np.full_like(alpha, -np.inf)
+        beta[size] = 0
+        reach = self.longest
+        for last in range(size, 0, -BLOCK):
+            first = max(0, last - BLOCK)
+            stop = min(size, last + reach)
+            chance = self.table[self._windows(word, first, stop)]
+            for at in range(last - 1, first - 1, -1):
+                ahead = min(reach, size - at)
+                rows = np.arange(ahead)
+                after = beta[at + 1 : at + 1 + ahead]
+                beta[at] = after[0] + np.log((chance[at - first + rows, rows] * np.exp(after - after[0])).sum(0))
+        for first in range(0, size, BLOCK):
+            found = self._windows(word, first, min(size, first + BLOCK))
+            for length in range(1, reach + 1):
+                ends = np.arange(max(first + 1, length), first + len(found) + 1)
+                piece = found[ends - first - 1, length - 1]
+                uses = times * self.table[piece] * np.exp(alpha[ends - length] + beta[ends] - alpha[size])
+                for k in range(out.shape[1]):
+                    out[:, k] += np.bincount(piece, uses[:, k], len(out))
+
     def likelihood(self, given: list[str]) -> np.ndarray:
         """Log probability of each word in each language, over all segmentations."""
         out = np.zeros((len(given), self.table.shape[1]))
         for size, at in _by_length(given):
             group = [given[k] for k in at]
-            out[at] = np.log(self._forward(self._steps(group, size), len(group), size)[size])
+            if size > SHORT:
+                out[at] = [self._long(word)[size] for word in group]
+            else:
+                out[at] = np.log(self._forward(self._steps(group, size), len(group), size)[size])
         return out
 
     def expected(self, given: list[str], times: np.ndarray) -> np.ndarray:
@@ -131,6 +185,10 @@ class Model:
         out = np.zeros(self.table.shape)
         for size, at in _by_length(given):
             group = [given[k] for k in at]
+            if size > SHORT:
+                for k, word in zip(at.tolist(), group, strict=True):
+                    self._expected_long(word, times[k], out)
+                continue
             steps = self._steps(group, size)
             alpha = self._forward(steps, len(group), size)
             beta = np.zeros_like(alpha)
@@ -159,12 +217,12 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def train(docs: DataFrame, train_rows: int = TRAIN_ROWS, iterations: int = ITERATIONS, path: str | None = None) -> Model | None:
     """Fit on the rows that are labelled and not held out; None if there are none."""
-    labelled = docs.where(F.col("lang").isNotNull() & ~held_out() & F.col("text").isNotNull()).select("lang", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)).alias("h"))
+    labelled = docs.where(F.col("lang").isNotNull() & ~held_out() & F.col("text").isNotNull()).select("lang", "text", F.pmod(F.xxhash64("doc_id"), F.lit(HASHES)).alias("h"))
     share = {r["lang"]: min(1.0, train_rows / r["n"]) for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not share:
         return None
     languages, pieces = sorted(share), vocabulary(path)
-    limit = F.create_map(*(F.lit(x) for lang in languages for x in (lang, int(share[lang] * (1 << 20)))))
+    limit = F.create_map(*(F.lit(x) for lang in languages for x in (lang, max(1, int(share[lang] * HASHES)))))
     number = {x: i for i, x in enumerate(languages)}
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +233,7 @@ def train(docs: DataFrame, train_rows: int = TRAIN_ROWS, iterations: int = ITERA
         for lang, found in seen.items():
             yield pa.RecordBatch.from_arrays([pa.array([number[lang]] * len(found), pa.int32()), pa.array(list(found)), pa.array(list(found.values()), pa.int64())], names=["lang", "word", "n"])
 
-    seen = labelled.where(F.col("h") < limit[F.col("lang")]).select("lang", "text").mapInArrow(counted, "lang int, word string, n long")
+    seen = labelled.where(F.col("h") < limit[F.col("lang")]).select("lang", "text").mapInArrow(words.returning(counted), "lang int, word string, n long")
     by_lang = [F.coalesce(F.sum(F.when(F.col("lang") == k, F.col("n"))), F.lit(0)).cast("double") for k in range(len(languages))]
     seen = scratch.table(seen.groupBy("word").agg(F.array(*by_lang).alias("times")), "words")
     model = Model(languages, pieces, np.full((len(pieces), len(languages)), 1 / len(pieces)))
@@ -189,7 +247,7 @@ def train(docs: DataFrame, train_rows: int = TRAIN_ROWS, iterations: int = ITERA
             piece, lang = np.nonzero(total)
             yield pd.DataFrame({"piece": piece, "lang": lang, "uses": total[piece, lang]})
 
-        found = seen.mapInPandas(uses, "piece long, lang long, uses double").groupBy("piece", "lang").agg(F.sum("uses").alias("uses")).collect()
+        found = seen.mapInPandas(words.returning(uses), "piece long, lang long, uses double").groupBy("piece", "lang").agg(F.sum("uses").alias("uses")).collect()
         table = np.full((len(pieces), len(languages)), 0.05)
         for r in found:
             table[r["piece"], r["lang"]] += r["uses"]
@@ -206,7 +264,7 @@ class Scorer:
 
     def forget(self) -> None:
         self.slot: dict[str, int] = {}
-        self.values = np.zeros((1 << 12, self.width + 1))
+        self.values, self.bytes = np.zeros((1 << 12, self.width + 1)), 0
 
     def _learn(self, strings: list[str]) -> None:
         parts = [in_words(x) for x in strings]
@@ -221,11 +279,12 @@ class Scorer:
             self.values[first:last, k] = np.bincount(np.repeat(np.arange(len(parts)), sizes), likelihood[used, k], len(parts))
         self.values[first:last, -1] = sizes
         self.slot.update(zip(strings, range(first, last), strict=True))
+        self.bytes += sum(map(len, strings)) + (words.ENTRY_BYTES + 8 * self.width) * len(strings)
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Log likelihood by language, and the number of words, of each text."""
         words.hold(self)
-        if len(self.slot) > words.CACHE_PIECES // 2:
+        if self.bytes > words.CACHE_BYTES:
             self.forget()
         strings, index, begin = words.split(texts, None)
         if new := [x for x in strings if x not in self.slot]:
@@ -246,25 +305,25 @@ def _scorer(model: Model) -> Scorer:
 
 
 def annotate(docs: DataFrame, model: Model | None) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` (replaced if there), from each whole text alone."""
+    """``docs`` with ``lang_pred`` and ``score`` (replaced if there), from each whole text alone; only texts go to Python."""
+
+    def work(column: pa.Array) -> pa.Array:
+        names, scores = [], []
+        batch = pa.RecordBatch.from_arrays([column], names=["text"])
+        for part in words.slices(batch, "text") if model else ():
+            total, count = _scorer(model)(words.texts(part, "text"))
+            odds = np.exp(total - total.max(1, keepdims=True))
+            names += [model.languages[b] if n else "und" for b, n in zip(odds.argmax(1).tolist(), count.tolist(), strict=True)]
+            scores.append(np.where(count > 0, 1 / odds.sum(1), 0.0))
+        if not names:
+            names, scores = ["und"] * len(column), [np.zeros(len(column))]
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.concatenate(scores))], names=["lang_pred", "score"])
+
+    # said to be nondeterministic, or a filter on the result would score each text again
+    score = F.arrow_udf(work, "struct<lang_pred string, score double>").asNondeterministic()
     docs = docs.drop("lang_pred", "score")
-    # whole rows go through Python: smaller batches keep the buffers on both sides small
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in words.slices(batch, "text"):
-                lang, score = ["und"] * part.num_rows, np.zeros(part.num_rows)
-                if model:
-                    total, count = _scorer(model)(words.texts(part, "text"))
-                    odds = np.exp(total - total.max(1, keepdims=True))
-                    best = odds.argmax(1)
-                    lang = [model.languages[b] if n else "und" for b, n in zip(best.tolist(), count.tolist(), strict=True)]
-                    score = np.where(count > 0, 1 / odds.sum(1), 0.0)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang), pa.array(score)], names=[*part.schema.names, "lang_pred", "score"])
-
-    return docs.mapInArrow(work, schema)
+    found = docs.withColumn("_scored", score(F.col("text").cast("string")))
+    return found.select(*docs.columns, "_scored.lang_pred", "_scored.score")
 
 
 def predict(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
