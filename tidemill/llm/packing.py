@@ -24,7 +24,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,8 +31,8 @@ from pyspark.sql import functions as F
 from tidemill.llm import scratch, words
 
 CAPACITY = 2048
-#: Rows of one length are ranked in so many parts, so that a frequent length is spread.
-RANK_PARTS = 64
+#: Rows of one length are ranked in parts of about so many, so that a frequent length is spread.
+PART_ROWS = 100_000
 #: Rounds of the multiplicative weights, and how fast a price falls with coverage.
 ROUNDS, RATE = 48, 6.0
 
@@ -82,7 +81,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
                 yield pa.RecordBatch.from_arrays([part["doc_id"].take(pa.array(row)), pa.array(number, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long"
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(cut, schema)
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(words.returning(cut), schema)
 
 
 def knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -180,26 +179,30 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
 
     Reads the texts once; the table of pieces (five numbers each) goes to the shared folder.
     """
-    cut = scratch.table(pieces(docs, capacity, tokenizer, end_id).withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(RANK_PARTS)).cast("int")), "pieces")
-    counts = cut.groupBy("length", "part").count()
-    plan = configurations({r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}, capacity)
-    table = slots(plan)
-
+    cut = scratch.table(pieces(docs, capacity, tokenizer, end_id), "pieces")
+    histogram = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}
+    table = slots(configurations(histogram, capacity))
+
+    # A length has as many parts as its pieces need; the map has an entry for each frequent length.
+    many = {n: -(-k // PART_ROWS) for n, k in histogram.items() if k > PART_ROWS}
+    parts = F.coalesce(F.create_map(*(F.lit(x) for pair in many.items() for x in pair))[F.col("length")], F.lit(1)) if many else F.lit(1)
+    cut = cut.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), parts).cast("int"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("length", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
-    within = Window.partitionBy("length", "part").orderBy("doc_id", "piece")
+    offsets = cut.groupBy("length", "part").count().select("length", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
+    within = Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32")
     ranked = cut.withColumn("rank", F.row_number().over(within) - 1).join(offsets, ["length", "part"]).withColumn("rank", F.col("rank") + F.col("before"))
 
-    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            sequence, offset = np.zeros(len(frame), np.int64), np.zeros(len(frame), np.int64)
-            for n, rows in frame.groupby("length").indices.items():
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            length, rank = (batch[c].to_numpy(zero_copy_only=False) for c in ("length", "rank"))
+            sequence, offset = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
+            for n in np.unique(length).tolist():
+                rows = np.flatnonzero(length == n)
                 first, base, at = table[n]
-                rank = frame["rank"].to_numpy()[rows]
-                run = np.searchsorted(first, rank, side="right") - 1
-                sequence[rows], offset[rows] = base[run] + rank - first[run], at[run]
-            yield frame.drop(columns="rank").assign(sequence_id=sequence, offset=offset)
+                run = np.searchsorted(first, rank[rows], side="right") - 1
+                sequence[rows], offset[rows] = base[run] + rank[rows] - first[run], at[run]
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), pa.array(sequence), pa.array(offset)], names=[*kept, "sequence_id", "offset"])
 
     kept = ["doc_id", "piece", "start", "length", "ids_crc32"]
     doc_id = docs.schema["doc_id"].dataType.simpleString()
-    return ranked.select(*kept, "rank").mapInPandas(place, f"doc_id {doc_id}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.select(*kept, "rank").mapInArrow(place, f"doc_id {doc_id}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
