@@ -84,7 +84,7 @@ def hashed(docs: DataFrame, owners: int, bits: int = BITS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, ids), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.array(owner, pa.int32()), pa.array(count, pa.int32()), pa.array(width, pa.int32()), pa.array(unary, pa.binary()), pa.array(rest, pa.binary())], names=names)
 
     schema = f"part int, row long, doc_id {doc_id.simpleString()}, n_chars long, sha binary, fp long, owner int, count int, width int, unary binary, rest binary"
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(work, schema)
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(words.returning(work), schema)
 
 
 def answer(table: pa.Table) -> pa.Table:
@@ -122,7 +122,7 @@ def deduplicate(docs: DataFrame, bits: int = BITS) -> DataFrame:
     found = scratch.table(found, "suspects")
 
     # The bytes decide: rows are grouped by their normalised text.
-    ids = found.select(F.col("doc_id").alias("suspect_id")).distinct()
+    ids = scratch.table(found.select(F.col("doc_id").alias("suspect_id")).distinct(), "suspect_ids")
     text = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), WHITE.decode(), "").alias("norm")
     checked = docs.join(scratch.sized(ids), F.col("doc_id").eqNullSafe(F.col("suspect_id")), "left_semi").select(text)
     checked = checked.groupBy("norm").count().select(F.unhex(F.sha2("norm", 256)).alias("sha"), "count")
@@ -131,8 +131,10 @@ def deduplicate(docs: DataFrame, bits: int = BITS) -> DataFrame:
 
     order = F.struct("n_chars", (-F.col("doc_id").cast("decimal(20,0)")).alias("a"), (-F.col("row")).alias("b"))
     best = found.groupBy("sha").agg(F.max_by(F.struct("doc_id", "row"), order).alias("best")).join(checked, "sha")
-    best = best.select("sha", F.col("best.doc_id").alias("best_id"), F.col("best.row").alias("best_row"), "group_size")
-    out = rows.join(best, "sha", "left")
+    # A table of its own, a row for each group: it is broadcast if small, and else nothing in the stage of
+    # the join keeps adaptive execution from splitting the rows of a hot group.
+    best = scratch.table(best.select("sha", F.col("best.doc_id").alias("best_id"), F.col("best.row").alias("best_row"), "group_size"), "groups")
+    out = rows.join(scratch.sized(best), "sha", "left")
     alone = F.col("group_size").isNull()
     return out.select(
         "doc_id",
