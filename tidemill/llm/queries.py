@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm import chat_format, exact_dedup, fingerprint, html_extract, language_id, line_dedup, near_dedup, packing, sentencepieces, sharding
+from tidemill.session import shared_folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,7 +31,7 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    out = sentencepieces.decode(sentencepieces.encode(docs))
+    out = sentencepieces.round_trip(docs)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"), F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.col("text")).alias("round_trip"))
 
 
@@ -98,7 +99,9 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = sharding.shard(_table(spark, sf_dir, "documents"))
+    made, path = sharding.shard(_table(spark, sf_dir, "documents").select("doc_id", "text")), shared_folder(spark, "shards")
+    sharding.write_shards(made, path)
+    out = sharding.read_shards(spark, path, made.schema)
     return out.select("doc_id", sharding.size_of().alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
