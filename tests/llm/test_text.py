@@ -314,9 +314,56 @@ def test_hot_group_keeps_its_lexicon_terms(spark, changed):
     assert not whole.startswith("=") and fingerprint.likeness(whole, near) > 0.5 > fingerprint.likeness(whole, far)
 
 
+def test_every_subset_is_hashed_whole():
+    """The hashes against sets: equal exactly where the terms of a text in a subset are equal, whatever their number."""
+    rng = random.Random(5)
+    vocabulary = [f"w{k}" for k in range(400)]
+    texts = [" ".join(rng.sample(vocabulary, n)) for n in (0, 1, 3, 40, 200, 390)]
+    texts += [t + " " + rng.choice(vocabulary) for t in texts] + [" ".join(reversed(t.split())) for t in texts] + ["no term of it"]
+    terms = np.sort(fingerprint.Terms()(vocabulary[:350]))
+    hashes = fingerprint.prints(pa.array(texts), terms)
+    known = [set(fingerprint.Terms()(t.split()).tolist()) & set(terms.tolist()) for t in texts]
+    for column in range(hashes.shape[1]):
+        chain, level = divmod(column - 1, len(fingerprint.SHARES))
+
+        def within(term, chain=chain, level=level, column=column):
+            rank = (term ^ int(fingerprint._XOR[chain])) * int(fingerprint._MUL[chain]) % 2**64
+            return column == 0 or rank ^ (rank >> 32) < int(2**64 * fingerprint.SHARES[level])
+
+        sets = [frozenset(filter(within, own)) for own in known]
+        assert [h == 0 for h in hashes[:, column].tolist()] == [not s for s in sets]
+        for a in range(len(texts)):
+            for b in range(a):
+                assert (hashes[a, column] == hashes[b, column]) == (sets[a] == sets[b])
+    assert max(len(s) for s in known) > 300
+
+
+def test_likeness_by_chains():
+    a, b, c = fingerprint.fingerprints(pa.array(["w1 w2 w3 w4 w5", "w5 w4 w3 w2 w1", "unknown"]), np.sort(fingerprint.Terms()([f"w{k}" for k in range(9)])))
+    assert a == b and fingerprint.likeness(a, b) == 1 and c.startswith("=") and fingerprint.likeness(a, c) == 0 and fingerprint.likeness(c, c) == 1
+
+
+def test_one_id_on_many_rows(spark):
+    """Rows without an id, and of one id, are dealt over the buckets; each is followed by one of the same or the next lower id."""
+    rows = [(None if k % 3 == 0 else 7 if k % 3 == 1 else k, f"text {k}") for k in range(300)] + [(7, "the same")] * 100
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    dealt = Counter(r.bucket for r in fingerprint.successors(docs, 8).where("not tail").collect())
+    assert len(dealt) >= 6 and max(dealt.values()) < 150
+    got = fingerprint.fingerprint(docs, buckets=8).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter(rows)
+    assert Counter(r.next_id for r in got) == Counter(i for i, _ in rows)
+    assert sum(r.doc_id != r.next_id for r in got) == len({i for i, _ in rows})
+
+
 def test_edited_text_is_nearer_than_the_next(spark, small):
     got = queries.op6_fingerprints(spark, small).toPandas()
     assert got.near_edited.mean() > 5 * got.near_next.mean() and (got.near_edited > got.near_next).mean() > 0.8
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    down = sorted(texts, reverse=True)
+    for i, after in zip(down, down[1:] + down[:1], strict=True):
+        half = len(texts[i]) // 2
+        row = got[got.doc_id == i].iloc[0]
+        assert row.n_chars == len(texts[i]) and row.edited_sha256 == hashlib.sha256((texts[i][: len(texts[i]) - half] + texts[after][:half]).encode()).hexdigest()
 
 
 # --- sharding

@@ -1,25 +1,27 @@
 """Document fingerprints by I-Match with randomised lexicon subsets.
 
 The lexicon holds the terms whose share of documents, and so whose inverse document
-frequency, lies within a band. The band's lower edge is a share of all rows; its upper
-edge is a share of groups of copies and near copies, so that one group, however large,
-can't push its own terms out. A group has equal ``KEY_TERMS`` smallest term hashes; the
-``MOST_GROUPS`` largest ones count once each, other rows one by one. From the lexicon come nested random subsets of geometrically
-falling size, several chains of them. A document's distinct terms in a subset are
-sorted and hashed, unless there are none or more than ``MOST_TERMS`` of them (too many to
-survive an edit). The fingerprint lists these hashes; two are alike as far as
-they agree on the subsets that either has a hash for.
+frequency, lies within a band. The band's lower edge is a share of all rows. For its
+upper edge an input partition counts one document of each group of copies and near
+copies (equal ``KEY_TERMS`` smallest term hashes), so that a group, however large,
+can't push its own terms out of the band.
+
+From the lexicon come random subsets: ``CHAINS`` chains of nested ones with falling
+shares of its terms. A document's distinct terms in a subset are sorted and hashed, all
+of them; the fingerprint is the list of these hashes and that of the whole lexicon. Two
+fingerprints are alike as far as chains agree: a chain agrees if a subset of it, in which
+both have terms, has equal hashes. The small subsets survive edits, the large ones tell
+that nothing was edited.
 
 A document has, on average, so many distinct terms, and a term of the lexicon is in
 at least a share ``LEAST_SHARE`` of documents; so the lexicon has at most their
-quotient of terms, however many documents there are. That bound is checked before
-the lexicon is sent to the tasks.
+quotient of terms, 8 bytes each, however many documents there are. It is sent to the tasks.
 
 Defined results: null counts as empty; a document without a term of the lexicon has
 the hash of its whole text as fingerprint, which is like no other but an equal one;
 equal texts have equal fingerprints; a null doc_id comes last in the order; rows with
-one doc_id are ordered by their texts; an empty
-table gives no rows; further columns are ignored.
+one doc_id come in an arbitrary order; an empty table gives no rows; further columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -33,22 +35,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm import words
+from tidemill.llm import scratch, words
 
 LEAST_SHARE, MOST_SHARE = 0.001, 0.3
-#: Chains of nested subsets; each subset of a chain has a quarter of the terms of the one before.
-CHAINS, LEVELS = 24, 8
-MOST_TERMS = 2
-#: Smallest term hashes that make the key of a group of near copies, and groups that are sent to the tasks (16 bytes each).
-KEY_TERMS, MOST_GROUPS = 4, 1 << 18
-#: Terms of the lexicon that may be sent to the tasks (8 bytes each).
-LEXICON_LIMIT = 4_000_000
-#: Text bytes looked at together, and strings that a worker remembers: small, as each text is there twice.
-SLICE_BYTES, REMEMBERED = 2 << 20, 1 << 18
+#: Chains of nested subsets, and the share of the lexicon's terms in the subsets of each.
+CHAINS, SHARES = 32, (1 / 8, 1 / 64, 1 / 512)
+#: Smallest term hashes that make the key of a group of near copies.
+KEY_TERMS = 4
+#: Text bytes looked at together, and bytes of terms that a worker remembers: small, as each text is there twice.
+SLICE_BYTES, REMEMBERED = 2 << 20, 48 << 20
 _M = np.random.default_rng(7)
 _XOR = _M.integers(0, 2**64, CHAINS, np.uint64, endpoint=False)
 _MUL = _M.integers(0, 2**64, CHAINS, np.uint64, endpoint=False) | np.uint64(1)
-_EDGES = np.uint64(2**64 - 1) >> (2 * np.arange(LEVELS)).astype(np.uint64)
+_EDGES = np.array([int(2**64 * x) - 1 for x in SHARES], np.uint64)
+_BASE = _M.integers(0, 2**64, dtype=np.uint64, endpoint=False) | np.uint64(1)
 _EDGE_SIGNS = " \t\r\n.,;:!?\"'()[]{}<>|*#$%&+-_=/\\~`^"
 
 
@@ -60,16 +60,18 @@ class Terms:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
+        self.bytes = 0
 
     def __call__(self, strings: list[str]) -> np.ndarray:
         words.hold(self)
-        if len(self.known) > REMEMBERED:
+        if self.bytes > REMEMBERED:
             self.forget()
         if new := [x for x in strings if x not in self.known]:
             terms = np.array([x.strip(_EDGE_SIGNS).lower() for x in new], object)
             codes = pd.util.hash_array(terms, categorize=False) | np.uint64(1)
             codes[terms == ""] = 0
             self.known.update(zip(new, codes.tolist(), strict=True))
+            self.bytes += sum(map(len, new)) + words.ENTRY_BYTES * len(new)
         return np.fromiter((self.known[x] for x in strings), np.uint64, len(strings))
 
 
@@ -96,121 +98,154 @@ def group_keys(owner: np.ndarray, term: np.ndarray, n: int) -> np.ndarray:
     return keys
 
 
-def groups(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys of the largest groups of copies and near copies, and their numbers of rows (2 at least)."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in words.slices(batch, "text", SLICE_BYTES):
-                keys = group_keys(*distinct_terms(words.texts(part, "text")), part.num_rows)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], names=["key"])
-
-    keys = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(work, "key long")
-    found = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "key").limit(MOST_GROUPS).toPandas()
-    key, n = found["key"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)
-    order = np.argsort(key)
-    return key[order], n[order]
-
-
 def lexicon(docs: DataFrame, least: float = LEAST_SHARE, most: float = MOST_SHARE) -> np.ndarray:
     """Sorted hashes of the terms within the band: in enough of all rows, and in not too many groups of near copies."""
-    known, members = groups(docs)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, times, shares, waiting, weights = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), [], []
+        groups = np.zeros(0, np.uint64)
+        seen, times, waiting = np.zeros(0, np.uint64), np.zeros((0, 2), np.int64), []
 
-        def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            values, at = np.unique(np.concatenate([seen, *waiting]), return_inverse=True)
-            total = np.bincount(at, np.concatenate([times, np.ones(len(at) - len(times))]), len(values))
-            return values, total, np.bincount(at, np.concatenate([shares, *weights]), len(values))
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            values, at = np.unique(np.concatenate([seen, *(x for x, _ in waiting)]), return_inverse=True)
+            own = np.concatenate([times, *(np.stack((np.ones(len(x), np.int64), first), 1) for x, first in waiting)])
+            return values, np.stack([np.bincount(at, own[:, k], len(values)) for k in (0, 1)], 1).astype(np.int64)
 
+        rows = 0
         for batch in batches:
             for part in words.slices(batch, "text", SLICE_BYTES):
                 owner, term = distinct_terms(words.texts(part, "text"))
-                weight = np.ones(part.num_rows)
-                if len(known):
-                    keys = group_keys(owner, term, part.num_rows)
-                    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-                    weight[known[at] == keys] = (1 / members[at])[known[at] == keys]
-                waiting.append(term)
-                weights.append(weight[owner])
-                if sum(map(len, waiting)) > 1_000_000:
-                    seen, times, shares = merged()
-                    waiting, weights = [], []
-        seen, times, shares = merged()
-        yield pa.RecordBatch.from_arrays([pa.array(seen.view(np.int64)), pa.array(times.astype(np.int64)), pa.array(shares)], names=["term", "df", "groups"])
-
-    counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "term long, df long, groups double").groupBy("term").agg(F.sum("df").alias("df"), F.sum("groups").alias("groups"))
-    total = docs.count()
-    apart = total - int((members - 1).sum())
-    # the sums of fractions are exact to about 1e-9
-    kept = counts.where((F.col("df") >= max(2, least * total)) & (F.col("groups") <= max(2, most * apart) + 1e-6)).select("term")
-    found = kept.limit(LEXICON_LIMIT + 1).toPandas()["term"].to_numpy(np.int64)
-    if len(found) > LEXICON_LIMIT:
-        raise ValueError("the lexicon is larger than LEXICON_LIMIT: raise the least share")
-    return np.sort(found.view(np.uint64))
+                keys, place = np.unique(group_keys(owner, term, part.num_rows), return_index=True)
+                fresh = ~np.isin(keys, groups, assume_unique=True)
+                groups = np.union1d(groups, keys)
+                counted = np.zeros(part.num_rows, np.int64)
+                counted[place[fresh]] = 1
+                rows += part.num_rows
+                waiting.append((term, counted[owner]))
+                if sum(len(x) for x, _ in waiting) > 1_000_000:
+                    seen, times = merged()
+                    waiting = []
+        seen, times = merged()
+        # the row of term 0, which is no term, has the numbers of rows and groups
+        seen, times = np.append(seen, np.uint64(0)), np.concatenate((times, [[rows, len(groups)]]))
+        yield pa.RecordBatch.from_arrays([pa.array(seen.view(np.int64)), *map(pa.array, times.T.copy())], names=["term", "df", "groups"])
+
+    counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(words.returning(count), "term long, df long, groups long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("groups").alias("groups"))
+    counts = scratch.table(counts.where("df > 1 OR term = 0"), "terms")
+    rows = counts.where("term = 0").first()
+    total, apart = (rows["df"], rows["groups"]) if rows else (0, 0)
+    kept = counts.where((F.col("df") >= max(2, least * total)) & (F.col("groups") <= max(2, most * apart)) & (F.col("term") != 0)).select("term")
+    return np.sort(kept.toPandas()["term"].to_numpy(np.int64).view(np.uint64))
+
+
+def _sorted_hashes(owner: np.ndarray, term: np.ndarray, n: int) -> np.ndarray:
+    """For each of ``n`` texts a 32-bit hash of its terms in their order (not 0); 0 without terms."""
+    out = np.zeros(n, np.uint32)
+    if len(owner):
+        first = np.flatnonzero(np.diff(owner, prepend=-1))
+        size = np.diff(np.append(first, len(owner)))
+        place = np.arange(len(owner)) - np.repeat(first, size)
+        powers = np.cumprod(np.full(int(size.max()), _BASE))
+        total = np.add.reduceat((term ^ (term >> np.uint64(31))) * powers[place], first)
+        total = (total ^ (total >> np.uint64(29))) * _MUL[0]
+        out[owner[first]] = (total >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+    return out
 
 
-def fingerprints(texts: pa.Array, terms: np.ndarray) -> list[str]:
-    """The fingerprint of each text: subset (a letter for the chain, a digit for the level) and hash, by subset."""
+def prints(texts: pa.Array, terms: np.ndarray) -> np.ndarray:
+    """A row of hashes for each text: of its terms in the whole lexicon, then in the subsets, chain by chain; 0 where it has none."""
     owner, term = distinct_terms(texts)
-    at = np.searchsorted(terms, term)
-    there = (at < len(terms)) & (terms[np.minimum(at, len(terms) - 1)] == term) if len(terms) else np.zeros(len(term), bool)
-    owner, term = owner[there], term[there]
-    ends = np.searchsorted(owner, np.arange(len(texts) + 1))
-    out = []
-    for k, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
-        if a == b:
-            out.append("=" + hashlib.sha256(texts[k].as_py().encode()).hexdigest()[:32])
-            continue
-        ranks = (term[a:b, None] ^ _XOR) * _MUL
-        top = np.sort(np.partition(ranks, MOST_TERMS, axis=0)[: MOST_TERMS + 1] if b - a > MOST_TERMS + 1 else ranks, axis=0)
-        held = (top[:, :, None] <= _EDGES).sum(0)  # terms in each subset, as far as it matters
-        parts = []
-        for chain, level in zip(*np.nonzero((held > 0) & (held <= MOST_TERMS)), strict=True):
-            parts.append(f"{chr(97 + chain)}{level}{hashlib.blake2b(top[: held[chain, level], chain].tobytes(), digest_size=4).hexdigest()}")
-        out.append(" ".join(parts) or "=" + hashlib.sha256(term[a:b].tobytes()).hexdigest()[:32])
+    values, index = np.unique(term, return_inverse=True)
+    at = np.minimum(np.searchsorted(terms, values), max(0, len(terms) - 1))
+    known = terms[at] == values if len(terms) else np.zeros(len(values), bool)
+    keep = known[index]
+    owner, term, index = owner[keep], term[keep], index[keep]
+    out = np.zeros((len(texts), 1 + CHAINS * len(SHARES)), np.uint32)
+    out[:, 0] = _sorted_hashes(owner, term, len(texts))
+    for chain in range(CHAINS):
+        rank = (values ^ _XOR[chain]) * _MUL[chain]
+        rank ^= rank >> np.uint64(32)
+        depth = (rank[:, None] <= _EDGES).sum(1).astype(np.int8)[index]
+        rows = np.arange(len(index))
+        for level in range(len(SHARES)):
+            rows = rows[depth[rows] > level]
+            out[:, 1 + chain * len(SHARES) + level] = _sorted_hashes(owner[rows], term[rows], len(texts))
     return out
 
 
+def written(hashes: np.ndarray, texts: pa.Array) -> list[str]:
+    """Fingerprints as strings: eight hexadecimal digits a hash; that of the whole text where there is none."""
+    there = hashes[:, 0] != 0
+    return [row.astype(">u4").tobytes().hex() if t else "=" + hashlib.sha256(text.as_py().encode()).hexdigest() for row, t, text in zip(hashes, there.tolist(), texts, strict=True)]
+
+
+def fingerprints(texts: pa.Array, terms: np.ndarray) -> list[str]:
+    """The fingerprint of each text."""
+    return written(prints(texts, terms), texts)
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Likeness of rows of hashes: the share of agreeing chains among those in which either has terms; without such, whether the lexicon's hashes are equal."""
+    subsets = [x[:, 1:].reshape(len(x), CHAINS, -1) for x in (a, b)]
+    agree = ((subsets[0] == subsets[1]) & (subsets[0] != 0)).any(2).sum(1)
+    either = ((subsets[0] != 0) | (subsets[1] != 0)).any(2).sum(1)
+    whole = (a[:, 0] == b[:, 0]) & (a[:, 0] != 0)
+    return np.where(either > 0, agree / np.maximum(either, 1), whole.astype(float))
+
+
 def likeness(a: str, b: str) -> float:
-    """The share of subsets with equal hashes among those that either has."""
-    left, right = set(a.split()), set(b.split())
-    either = {x[:2] for x in left if x[0] != "="} | {x[:2] for x in right if x[0] != "="}
-    return len(left & right) / len(either) if either else float(left == right)
+    """Likeness of two fingerprints, 0 to 1."""
+    if a[:1] == "=" or b[:1] == "=":
+        return float(a == b)
+    return float(alike(*(np.frombuffer(bytes.fromhex(x), ">u4").astype(np.uint32)[None] for x in (a, b)))[0])
 
 
 def successors(docs: DataFrame, buckets: int) -> DataFrame:
     """``bucket, tail, doc_id, text``: documents in buckets by doc_id, sorted down within each, then as ``tail`` the head of the next bucket.
 
     So each document's next one, by descending doc_id, follows it in its partition.
-    Driver and tasks share the buckets' edges and heads, a number for each bucket.
+    Rows with one doc_id are dealt by a hash of text and row, so that an id (or none) with
+    many rows has as many buckets as its share. Driver and tasks share the buckets'
+    edges and heads, two numbers for each bucket.
     """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
     given = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     wanted = [k / buckets for k in range(1, buckets)]
     edges = given.agg(F.percentile_approx(key, wanted, 10_000).alias("e")).first()["e"] if wanted else None
-    edges = np.unique(np.array(edges or [], np.int64))
+    value, first, times = np.unique(np.array(edges or [], np.int64), return_index=True, return_counts=True)
+    number = np.arange(int(times.sum())) - np.repeat(first, times)
+    # the k-th of n equal edges ends at k/n of the hashes
+    cut = np.array([-(2**63) + (2**64 * (k + 1)) // n - 1 for k, n in zip(number.tolist(), np.repeat(times, times).tolist(), strict=True)], np.int64)
+
+    def bucket_of(keys: np.ndarray, ties: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(value, keys, side="left")
+        out = np.append(first, len(cut))[at]
+        for k in np.flatnonzero(times > 1).tolist():
+            own = np.flatnonzero((at == k) & (keys == value[k]))
+            out[own] += np.searchsorted(cut[first[k] : first[k] + times[k]], ties[own], side="left")
+        return out.astype(np.int32)
 
     @F.pandas_udf("int")
-    def bucket(keys: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(edges, keys.to_numpy(), side="left")).astype("int32")
+    def bucket(keys: pd.Series, ties: pd.Series) -> pd.Series:
+        return pd.Series(bucket_of(keys.to_numpy(), ties.to_numpy()))
 
-    heads = given.select(key.alias("key")).withColumn("bucket", bucket("key")).groupBy("bucket").agg(F.max("key").alias("head")).orderBy("bucket").collect()
-    head = np.array([r["head"] for r in heads], np.int64)
+    numbered = given.withColumn("key", key).withColumn("tie", F.xxhash64("text", F.monotonically_increasing_id()))
+    heads = numbered.select("key", "tie", bucket("key", "tie").alias("bucket")).groupBy("bucket").agg(F.max(F.struct("key", "tie")).alias("head")).orderBy("bucket").collect()
+    place = {r["bucket"]: k for k, r in enumerate(heads)}
+    top = np.array([(r["head"]["key"], r["head"]["tie"]) for r in heads], np.int64).reshape(-1, 2)
     # the bucket whose last document is followed by this head: the next higher one, and for the highest the lowest
     before = np.array([r["bucket"] for r in heads[1:] + heads[:1]], np.int32)
 
     @F.pandas_udf("bucket int, after int")
-    def place(keys: pd.Series) -> pd.DataFrame:
-        keys = keys.to_numpy()
-        at = np.minimum(np.searchsorted(head, keys), len(head) - 1)
-        return pd.DataFrame({"bucket": np.searchsorted(edges, keys, side="left"), "after": np.where(head[at] == keys, before[at], -1)}).astype("int32")
+    def dealt_to(keys: pd.Series, ties: pd.Series) -> pd.DataFrame:
+        own = bucket_of(keys.to_numpy(), ties.to_numpy())
+        at = np.array([place[b] for b in own.tolist()], np.int64)
+        is_head = (top[at, 0] == keys.to_numpy()) & (top[at, 1] == ties.to_numpy()) if len(own) else np.zeros(0, bool)
+        return pd.DataFrame({"bucket": own, "after": np.where(is_head, before[at], -1) if len(own) else own}).astype("int32")
 
-    placed = given.withColumn("key", key).withColumn("place", place("key")).select("key", "doc_id", "text", "place.bucket", "place.after")
+    placed = numbered.withColumn("place", dealt_to("key", "tie")).select("key", "tie", "doc_id", "text", "place.bucket", "place.after")
     own, tail = F.struct("bucket", F.lit(False).alias("tail")), F.struct(F.col("after").alias("bucket"), F.lit(True).alias("tail"))
-    dealt = placed.select(F.explode(F.when(F.col("after") >= 0, F.array(own, tail)).otherwise(F.array(own))).alias("p"), "key", "doc_id", "text")
-    return dealt.select("p.bucket", "p.tail", "key", "doc_id", "text").repartition("bucket").sortWithinPartitions("bucket", "tail", F.desc("key"), F.xxhash64("text"), "text")
+    dealt = placed.select(F.explode(F.when(F.col("after") >= 0, F.array(own, tail)).otherwise(F.array(own))).alias("p"), "key", "tie", "doc_id", "text")
+    return dealt.select("p.bucket", "p.tail", "key", "tie", "doc_id", "text").repartition("bucket").sortWithinPartitions("bucket", "tail", F.desc("key"), F.desc("tie"))
 
 
 def fingerprint(docs: DataFrame, least: float = LEAST_SHARE, most: float = MOST_SHARE, buckets: int | None = None) -> DataFrame:
@@ -224,19 +259,25 @@ def fingerprint(docs: DataFrame, least: float = LEAST_SHARE, most: float = MOST_
     doc_id = docs.schema["doc_id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple | None = None  # bucket, tail, doc_id, text, fingerprint
+        last: tuple | None = None  # bucket, tail, doc_id, text, fingerprint, hashes
         names = ["doc_id", "text", "edited", "next_id", "fingerprint", "edited_fingerprint", "next_fingerprint", "near_edited", "near_next"]
         for batch in batches:
             for part in words.slices(batch, "text", SLICE_BYTES):
                 text = words.texts(part, "text")
-                rows = list(zip(part["bucket"].to_pylist(), part["tail"].to_pylist(), part["doc_id"].to_pylist(), text.to_pylist(), fingerprints(text, terms), strict=True))
-                done = [(a[2], a[3], a[3][: len(a[3]) - len(a[3]) // 2] + b[3][: len(a[3]) // 2], b[2], a[4], b[4]) for a, b in zip([last, *rows[:-1]] if last else rows[:-1], rows if last else rows[1:], strict=True) if a[0] == b[0] and not a[1]]
+                hashes = prints(text, terms)
+                rows = list(zip(part["bucket"].to_pylist(), part["tail"].to_pylist(), part["doc_id"].to_pylist(), text.to_pylist(), written(hashes, text), hashes, strict=True))
+                pairs = [(a, b) for a, b in zip([last, *rows[:-1]] if last else rows[:-1], rows if last else rows[1:], strict=True) if a[0] == b[0] and not a[1]]
                 last = rows[-1]
-                if done:
-                    ids, own, edited, next_ids, prints, next_prints = zip(*done, strict=True)
-                    edited = pa.array(edited, pa.string())
-                    edited_prints = fingerprints(edited, terms)
-                    near = [pa.array([likeness(x, y) for x, y in zip(prints, other, strict=True)], pa.float64()) for other in (edited_prints, next_prints)]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, part["doc_id"].type), pa.array(own, pa.string()), edited, pa.array(next_ids, part["doc_id"].type), pa.array(prints), pa.array(edited_prints), pa.array(next_prints), *near], names=names)
-
-    return successors(docs, buckets).mapInArrow(work, f"doc_id {doc_id}, text string, edited string, next_id {doc_id}, fingerprint string, edited_fingerprint string, next_fingerprint string, near_edited double, near_next double")
+                if not pairs:
+                    continue
+                edited = pa.array([a[3][: len(a[3]) - len(a[3]) // 2] + b[3][: len(a[3]) // 2] for a, b in pairs], pa.string())
+                edited_hashes = prints(edited, terms)
+                edited_prints = written(edited_hashes, edited)
+                own, other = (np.stack([x[k][5] for x in pairs]) for k in (0, 1))
+                lone = [[float(a[4] == x) if a[4][0] == "=" else None for (a, _), x in zip(pairs, given, strict=True)] for given in (edited_prints, [b[4] for _, b in pairs])]
+                near = [[n if one is None else one for n, one in zip(alike(own, hashed).tolist(), alone, strict=True)] for hashed, alone in zip((edited_hashes, other), lone, strict=True)]
+                ids = [pa.array([x[k][2] for x in pairs], part["doc_id"].type) for k in (0, 1)]
+                own_prints, next_prints = (pa.array([x[k][4] for x in pairs]) for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([ids[0], pa.array([a[3] for a, _ in pairs], pa.string()), edited, ids[1], own_prints, pa.array(edited_prints), next_prints, *(pa.array(x, pa.float64()) for x in near)], names=names)
+
+    return successors(docs, buckets).mapInArrow(words.returning(work), f"doc_id {doc_id}, text string, edited string, next_id {doc_id}, fingerprint string, edited_fingerprint string, next_fingerprint string, near_edited double, near_next double")
