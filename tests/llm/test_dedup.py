@@ -166,6 +166,28 @@ def test_short_lines_are_compared_by_default(spark):
     assert got == want and want[1] == want[3] == 1
 
 
+def brute_lines(lines, edits=2):
+    """1 for each line of a list of different ones, one a document, that is near an earlier one."""
+    return {k: int(any(abs(len(x) - len(y)) <= edits and distance(x, y) <= edits for y in lines[:k])) for k, x in enumerate(lines)}
+
+
+@pytest.mark.parametrize("kind", ["numbers", "sparse", "mixed"])
+def test_hot_segments(spark, monkeypatch, kind):
+    """Lines of a template, with few or many near ones among them, against brute force; segments of more than three lines are hot."""
+    monkeypatch.setattr(line_dedup, "HOT", 3)
+    rng = random.Random(6)
+    if kind == "numbers":
+        lines = [f"user {k} logged in" for k in rng.sample(range(3000), 150)]
+    elif kind == "sparse":
+        lines = [f"id {rng.randrange(10**12):012d} of the long template {rng.randrange(10**6)} of lines" for _ in range(120)]
+    else:
+        lines = [f"{rng.choice(('get', 'post', 'put'))} /page/{rng.randrange(400)}/item{rng.choice('abc')} took {rng.randrange(50)} ms" for _ in range(110)]
+        lines += [x[: rng.randrange(len(x))] + rng.choice(("", "x", "yz")) + x[rng.randrange(len(x)) :] for x in lines[:30]]
+    lines = [x for x in dict.fromkeys(lines) if len(x) > 2]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.n_dropped for r in line_dedup.deduplicate(docs).collect()} == brute_lines(lines)
+
+
 def test_line_dedup_on_odd_rows(odd):
     got = line_dedup.deduplicate(odd).collect()
     assert len(got) == len(odd_texts())
