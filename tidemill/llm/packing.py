@@ -36,6 +36,9 @@ PART_ROWS = 100_000
 #: Rounds of the multiplicative weights, and how fast a price falls with coverage.
 ROUNDS, RATE = 48, 6.0
 
+#: Chunks that are encoded in one string.
+TOGETHER = 500
+
 _encoders: dict[str, words.ChunkEncoder] = {}
 
 
@@ -46,14 +49,32 @@ def byte_bpe_path() -> str:
 
 
 def encoder(path: str) -> words.ChunkEncoder:
-    """The byte-level BPE tokenizer of ``path`` behind a cache of chunks; the text of a special token is ordinary text."""
+    """The byte-level BPE tokenizer of ``path`` behind a cache of chunks; the text of a special token is ordinary text.
+
+    Chunks are encoded many in one string: each begins with a blank, and so does its first
+    token and no other one, which tells where its ids begin.
+    """
     if path not in _encoders:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task on each core
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
         tok.encode_special_tokens = True
-        _encoders[path] = words.ChunkEncoder(lambda found: [e.ids for e in tok.encode_batch_fast(found, add_special_tokens=False)])
+        blank = np.zeros(tok.get_vocab_size(), bool)
+        blank[[i for token, i in tok.get_vocab().items() if token.startswith("Ġ")]] = True
+
+        def apart(found: list[str]) -> list[list[int]]:
+            return [e.ids for e in tok.encode_batch_fast(found, add_special_tokens=False)]
+
+        def together(found: list[str]) -> list[list[int]] | tuple[np.ndarray, np.ndarray]:
+            if " " in found:  # a blank at a text's end, which would join the next chunk
+                return apart(found)
+            joined = ["".join(found[k : k + TOGETHER]) for k in range(0, len(found), TOGETHER)]
+            ids = np.concatenate([np.array(e.ids, np.uint32) for e in tok.encode_batch_fast(joined, add_special_tokens=False)])
+            first = np.flatnonzero(blank[ids])
+            return (ids, np.diff(np.append(first, len(ids)))) if len(first) == len(found) and not first[0] else apart(found)
+
+        _encoders[path] = words.ChunkEncoder(together, apart)
     return _encoders[path]
 
 

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 #: Text bytes that are held split at a time, unless one text has more.
 SLICE_BYTES = 4 << 20
 #: Bytes of what a worker remembers of distinct pieces; then it starts afresh. An entry costs so much besides its text.
-CACHE_BYTES, ENTRY_BYTES = 64 << 20, 230
+CACHE_BYTES, ENTRY_BYTES = 96 << 20, 230
 #: A blank inside or at the end of a longer run of white space: such texts are not split at blanks.
 _RUN = r"[\s\pZ\x{0b}\x{1c}-\x{1f}\x{85}] (?:[\s\pZ\x{0b}\x{1c}-\x{1f}\x{85}]|\z)"
 
@@ -97,26 +97,30 @@ class ChunkEncoder:
         self.forget()
 
     def forget(self) -> None:
-        self.slot: dict[str, int] = {}
+        self.slot: dict[str | tuple[str], int] = {}
         self.pool = np.zeros(1 << 16, np.uint32)
         self.used, self.count, self.bytes = 0, 0, 0
         self.start, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
 
-    def _add(self, found: list[list[int]]) -> None:
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        total = int(sizes.sum())
+    def _add(self, found: list[list[int]] | tuple[np.ndarray, np.ndarray]) -> None:
+        """``found`` is a list for each string, or all ids in one array and the number of each."""
+        if isinstance(found, list):
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            found = np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum())), sizes
+        ids, sizes = found
+        total = len(ids)
         while self.used + total > len(self.pool):
             self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
-        while self.count + len(found) > len(self.start):
+        while self.count + len(sizes) > len(self.start):
             self.start, self.size = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.size))
-        at = slice(self.count, self.count + len(found))
+        at = slice(self.count, self.count + len(sizes))
         self.size[at] = sizes
         self.start[at] = self.used + np.cumsum(sizes) - sizes
-        self.pool[self.used : self.used + total] = np.fromiter((i for ids in found for i in ids), np.uint32, total)
-        self.used, self.count = self.used + total, self.count + len(found)
-        self.bytes += 4 * total + ENTRY_BYTES * len(found)
+        self.pool[self.used : self.used + total] = ids
+        self.used, self.count = self.used + total, self.count + len(sizes)
+        self.bytes += 4 * total + ENTRY_BYTES * len(sizes)
 
-    def _slots(self, keys: list[str], encode: Callable) -> np.ndarray:
+    def _slots(self, keys: list, encode: Callable) -> np.ndarray:
         get = self.slot.get
         out = np.fromiter((get(k, -1) for k in keys), np.int64, len(keys))
         at = np.flatnonzero(out < 0)
@@ -125,7 +129,7 @@ class ChunkEncoder:
             first = self.count
             self._add(encode(missing))
             self.slot.update(zip(missing, range(first, self.count), strict=True))
-            self.bytes += sum(map(len, missing))
+            self.bytes += sum(len(k) if isinstance(k, str) else len(k[0]) for k in missing)
             out[at] = [get(keys[i]) for i in at.tolist()]
         return out
 
@@ -145,10 +149,10 @@ class ChunkEncoder:
                 parts[i] = ids[ends[k] : ends[k + 1]]
             return np.concatenate(parts), np.concatenate(([0], np.cumsum([len(x) for x in parts], dtype=np.int64)))
         pieces, index, begin = split(array)
-        # A piece that follows a blank takes it along; a key of a text's first piece has a mark that no such key has.
-        slots = self._slots([" " + x for x in pieces], lambda keys: self.encode(keys))[index] if len(index) > len(array) else np.zeros(len(index), np.int64)
-        heads = [pieces[i] for i in index[begin[:-1]]]
-        slots[begin[:-1]] = self._slots(["^" + x for x in heads], lambda keys: self.lead([k[1:] for k in keys]))
+        # A piece that follows a blank takes it along; a text's first piece has a key of another kind.
+        slots = self._slots(pieces, lambda keys: self.encode([" " + k for k in keys]))[index] if len(index) > len(array) else np.zeros(len(index), np.int64)
+        heads = [(pieces[i],) for i in index[begin[:-1]]]
+        slots[begin[:-1]] = self._slots(heads, lambda keys: self.lead([k for (k,) in keys]))
         sizes = self.size[slots]
         ends = np.concatenate(([0], np.cumsum(sizes)))
         return self.pool[spread(self.start[slots], sizes)], ends[begin]
