@@ -81,18 +81,26 @@ class Model:
 
     def __init__(self, languages: list[str], pieces: list[str], table: np.ndarray):
         self.key, self.languages = uuid.uuid4().hex, languages
-        codes = np.zeros(len(pieces), np.uint64)
-        for size, at in _by_length(pieces):
+        #: By length, the codes of the pieces in order, and their numbers.
+        self.known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for size, at in _by_length(pieces, len(pieces)):
             signs, code = _signs([pieces[k] for k in at], size), np.zeros(len(at), np.uint64)
             for j in range(size):
                 code = _append(code, signs[:, j])
-            codes[at] = code
-        self.number = np.argsort(codes)
-        self.codes = codes[self.number]
-        self.longest = max(map(len, pieces), default=1)
+            order = np.argsort(code)
+            self.known[size] = code[order], at[order]
+        self.longest = max(self.known, default=1)
         # the last two rows: an unknown letter, and a string that is no piece
         self.table = np.vstack((table, np.full((1, table.shape[1]), UNKNOWN), np.zeros((1, table.shape[1]))))
 
+    def _numbers(self, size: int, code: np.ndarray) -> np.ndarray | None:
+        """The piece numbers of strings of one length by their codes; None if no piece has it."""
+        if size not in self.known:
+            return None
+        codes, number = self.known[size]
+        at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+        return np.where(codes[at] == code, number[at], len(self.table) - 1)
+
     def _steps(self, group: list[str], size: int) -> dict[tuple[int, int], np.ndarray]:
         """The piece numbers of all substrings, as far as any is a piece."""
         signs, none, out = _signs(group, size), len(self.table) - 1, {}
@@ -100,11 +108,11 @@ class Model:
             code = np.zeros(len(group), np.uint64)
             for j in range(i + 1, min(size, i + self.longest) + 1):
                 code = _append(code, signs[:, j - 1])
-                at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
-                found = np.where(self.codes[at] == code, self.number[at], none)
+                found = self._numbers(j - i, code)
                 if j == i + 1:
+                    found = np.full(len(group), none) if found is None else found
                     found[found == none] = none - 1
-                if j == i + 1 or (found != none).any():
+                if found is not None and (found != none).any():
                     out[i, j] = found
         return out
 
@@ -123,8 +131,10 @@ class Model:
         code = np.zeros(len(signs), np.uint64)  # of the substrings that begin at each place
         for size in range(1, min(self.longest, len(signs)) + 1):
             code = _append(code[: len(signs) - size + 1], signs[size - 1 :])
-            at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
-            found = np.where(self.codes[at] == code, self.number[at], none - 1 if size == 1 else none)
+            found = self._numbers(size, code)
+            found = np.full(len(code), none) if found is None else found
+            if size == 1:
+                found[found == none] = none - 1
             ends = np.arange(size, len(signs) + 1) + low
             inside = ends > first
             out[ends[inside] - first - 1, size - 1] = found[inside]
