@@ -1,12 +1,17 @@
 """Main text of web pages by a maximum-scoring subsequence.
 
-A page is a sequence of tags and of runs of words. Words score by the element
-they stand in, tags by their name; the scores are log odds learned from labelled
-pages (words of content are positive, tags are negative at all times). One linear
-scan finds the contiguous region with the highest sum, whose text is the result.
-
-Labelled pages are those that mark their content with ``<article>``; at most
-``train_pages`` of them, those with the smallest hash of their id, are counted.
+A page is a sequence of tags and of runs of words. Words score positive: as often as
+words in such a place are content. Tags score negative: a little, and more the rarer
+such tags are content. One linear scan finds the contiguous region with the highest
+sum, whose words are the result, but for those in places that are less often content
+than not (an aside within the article).
+
+All scores are learned from labelled pages, those that mark their content with
+``<article>``; at most ``train_pages`` of them, with the smallest hashes of their ids,
+are counted. The mark itself scores nothing, so a page is treated alike with and without it.
+A place is the innermost element (with its classes, id and role) and the nearest
+element around it that has such names or is a section; places that were never seen
+score as their elements do, and elements that were never seen by ``PRIOR``.
 
 Defined results: a null or empty page, or one without words, gives an empty text;
 repeated rows give repeated results; unclosed and truncated elements end with
@@ -16,7 +21,6 @@ their parent; an empty table gives no rows; further columns are ignored.
 from __future__ import annotations
 
 import html
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -26,17 +30,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.llm import words
+
 TRAIN_PAGES = 2000
-#: Log odds are cut at this; a tag scores between the two.
-MOST, TAG_MOST, TAG_LEAST = 4.0, -0.2, -4.0
+#: What each tag costs, what it costs more by its share outside of content, and how many observations a prior counts for.
+TAG_COST, OUTSIDE_COST, PRIOR_WEIGHT = 0.1, 2.0, 5.0
+MARK = "article"
 
-# Elements that hold no content, elements that don't break a line, elements without an end.
-SKIPPED = {"aside", "button", "footer", "form", "head", "header", "iframe", "menu", "nav", "noscript", "script", "select", "style", "svg", "template", "textarea", "title"}
+# Fixed values of HTML: elements whose content isn't shown as text, elements that don't break a line, elements without
+# an end, sections, and sections and controls that are beside the content of what they stand in.
+UNSHOWN = {"head", "iframe", "noscript", "script", "style", "svg", "template", "title"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "cite", "code", "data", "dfn", "em", "font", "i", "img", "kbd", "mark", "q", "s", "samp", "small", "span", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-#: Elements that no name makes one without content, and the names (whole ones) that do so elsewhere.
-KEPT = {"html", "body", "main", "article"}
-SKIPPED_NAMES = re.compile(r"(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|footer|header|menu|nav\w*|newsletter|notice|popup|promo|related|share|sidebar|social|sponsor\w*|subscribe)", re.I)
+BESIDE = {"aside", "button", "dialog", "footer", "form", "menu", "nav", "select", "textarea"}
+SECTIONS = BESIDE | {"header", "main", "section"}
+PROSE = {"blockquote", "dd", "dl", "dt", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "main", "ol", "p", "pre", "table", "tbody", "td", "th", "thead", "tr"}
+#: Share of content of elements that no labelled page has; a form may hold a whole page.
+PRIOR = dict.fromkeys(BESIDE - {"form"}, 0.05) | dict.fromkeys(INLINE | VOID | PROSE, 0.9)
+PRIOR_ELSE = 0.6
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -48,112 +59,152 @@ _TOKEN = re.compile(
 )
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 
+#: Kind (``<`` or ``w``), label of the (innermost) element, label of the nearest marked one around it.
+Feature = tuple[str, str, str]
 
-def tokens(page: str) -> Iterator[tuple[str, str, str, bool]]:
-    """Kind (``<`` or ``w``), feature, text of a run of words or of white space, and whether it stands in an element without content."""
-    stack: list[tuple[str, str, bool]] = []
+
+def tokens(page: str) -> Iterator[tuple[Feature, str, bool]]:
+    """Feature, text (of a run of words or of white space), and whether it breaks the line; unshown text is none."""
+    # label, name, nearest marked label around what stands in the element, whether its text is shown
+    stack: list[tuple[str, str, str, bool]] = [("", "", "", True)]
     for m in _TOKEN.finditer(page):
+        label, _, around, shown = stack[-1]
         if m[5] is not None:
-            yield "w", stack[-1][1] if stack else "", m[5], bool(stack) and stack[-1][2]
+            if shown:
+                yield ("w", label, around), m[5], False
             continue
         name = (m[3] or "").lower()
         if not name:
             continue
         if m[2]:
-            for at in range(len(stack) - 1, -1, -1):
-                if stack[at][0] == name:
+            label = name
+            for at in range(len(stack) - 1, 0, -1):
+                if stack[at][1] == name:
+                    label, around = stack[at][0] or name, stack[at - 1][2]
                     del stack[at:]
                     break
-            yield "<", "/" + name, "", False
+            yield ("<", "/" + (MARK if name == MARK else label), around), "", name not in INLINE
             continue
         names = " ".join(x.strip("\"'") for x in _NAMES.findall(m[4])) if m[4] else ""
-        yield "<", name, "", False
-        if name not in VOID and not m[4].endswith("/"):
-            label = f"{name}.{names}" if names else name
-            named = name not in KEPT and any(map(SKIPPED_NAMES.fullmatch, names.split()))
-            stack.append((name, label, bool(stack) and stack[-1][2] or name in SKIPPED or named))
+        own = f"{name}.{names}" if names else name
+        yield ("<", MARK if name == MARK else own, around), "", name not in INLINE
+        if name == MARK:
+            stack.append((label, name, around, shown))
+        elif name not in VOID:
+            stack.append((own, name, own if names or name in SECTIONS else around, shown and name not in UNSHOWN))
 
 
 def count(page: str) -> Counter:
-    """Features of a labelled page with whether they stand in its content."""
+    """How often each feature of a labelled page stands in its content, and how often elsewhere.
+
+    The content is what the article holds but not what is beside it there: in an aside, a form and
+    the like, or in an article of its own, which by the standard is a reader's comment. The tags of
+    such parts count as inside: content goes on behind them.
+    """
     seen: Counter = Counter()
-    inside = 0
-    for kind, feature, text, _ in tokens(page):
-        if kind == "<" and feature == "article":
-            inside += 1
+    inside, beside = 0, []
+    for feature, text, _ in tokens(page):
+        kind, label, _around = feature
+        name = label.lstrip("/").split(".")[0]
+        if kind == "<" and name == MARK:
+            inside = max(0, inside + (-1 if label[0] == "/" else 1))
+            beside = []
+            continue
+        if kind == "<" and inside and name in BESIDE and label[0] != "/":
+            beside.append(name)
         if kind == "<" or not text.isspace():
-            seen[kind, feature, inside > 0] += len(text.split()) if kind == "w" else 1
-        if kind == "<" and feature == "/article":
-            inside = max(0, inside - 1)
+            seen[feature, inside > 0 if kind == "<" else inside == 1 and not beside] += len(text.split()) if kind == "w" else 1
+        if kind == "<" and label[0] == "/" and name in beside:
+            del beside[beside.index(name) :]
     return seen
 
 
-def weights(counts: dict[tuple[str, str, bool], int]) -> dict[tuple[str, str], float]:
-    """A score for each feature, from how often it stands in content and how often elsewhere."""
-    out = {}
-    for kind, feature in {k[:2] for k in counts}:
-        odds = math.log((counts.get((kind, feature, True), 0) + 0.5) / (counts.get((kind, feature, False), 0) + 0.5))
-        out[kind, feature] = max(-MOST, min(MOST, odds)) if kind == "w" else max(TAG_LEAST, min(TAG_MOST, odds))
-    return out
-
-
-def score(kind: str, feature: str, skipped: bool, scores: dict[tuple[str, str], float]) -> float:
-    """The learned score; else a word counts 1 (minus one half where the element holds no content) and a tag a little less than nothing."""
-    if (kind, feature) in scores:
-        return scores[kind, feature]
-    if kind == "w":
-        return -0.5 if skipped else 1.0
-    name = feature.lstrip("/")
-    return TAG_MOST if name in INLINE or name in VOID else -0.5
+class Shares:
+    """Shares of content by feature, from counts; the more is counted, the less the wider place or the prior matters."""
+
+    def __init__(self, counts: dict[tuple[Feature, bool], int] | None = None):
+        self.exact, self.label, self.around = ({False: Counter(), True: Counter()} for _ in range(3))
+        for ((kind, label, around), inside), n in (counts or {}).items():
+            self.exact[inside][kind, label, around] += n
+            self.label[inside][kind, label] += n
+            self.around[inside][kind, around] += n
+        self.known: dict[Feature, float] = {}
+
+    @staticmethod
+    def _share(found: dict[bool, Counter], key: tuple, prior: float) -> float:
+        yes, no = found[True][key], found[False][key]
+        return (yes + PRIOR_WEIGHT * prior) / (yes + no + PRIOR_WEIGHT)
+
+    def share(self, feature: Feature) -> float:
+        if feature not in self.known:
+            kind, label, around = feature
+            own, outer = (x.lstrip("/").split(".")[0] for x in (label, around))
+            wide = self._share(self.label, (kind, label), PRIOR.get(own, PRIOR_ELSE))
+            held = self._share(self.around, (kind, around), PRIOR[outer] if outer in BESIDE and outer in PRIOR else 1.0) if around else 1.0
+            self.known[feature] = self._share(self.exact, feature, min(wide, held))
+        return self.known[feature]
+
+    def score(self, feature: Feature) -> float:
+        """Of a word (positive) or a tag (negative; the mark of labelled pages: nothing)."""
+        if feature[0] == "w":
+            return self.share(feature)
+        return 0.0 if feature[1].lstrip("/") == MARK else -TAG_COST - OUTSIDE_COST * (1 - self.share(feature))
+
+
+def best_region(scores: list[float]) -> tuple[int, int]:
+    """Begin and end of the contiguous region with the highest sum: the first one to end, and the shortest of these; (0, 0) if none is positive."""
+    best, span, total, begin = 0.0, (0, 0), 0.0, 0
+    for at, score in enumerate(scores):
+        total += score
+        if total <= 0:
+            total, begin = 0.0, at + 1
+        elif total > best:
+            best, span = total, (begin, at + 1)
+    return span
 
 
-def main_text(page: str, scores: dict[tuple[str, str], float]) -> str:
+def main_text(page: str, shares: Shares) -> str:
     """The text of the region with the highest score."""
     found = list(tokens(page))
-    best, best_span, total, begin = 0.0, (0, 0), 0.0, 0
-    for at, (kind, feature, text, skipped) in enumerate(found):
-        total += score(kind, feature, skipped, scores) * (len(text.split()) if kind == "w" else 1)
-        if total <= 0:
-            total, begin = 0.0, at + 1
-        elif total > best:
-            best, best_span = total, (begin, at + 1)
+    span = best_region([shares.score(f) * (len(text.split()) if f[0] == "w" else 1) for f, text, _ in found])
     parts = []
-    for kind, feature, text, skipped in found[slice(*best_span)]:
-        if kind == "w":
-            if not skipped:
+    for feature, text, breaks in found[slice(*span)]:
+        if feature[0] == "w":
+            if shares.share(feature) >= 0.5:
                 parts.append(html.unescape(text))
-        elif feature.lstrip("/") not in INLINE:
+        elif breaks:
             parts.append("\n")
     return " ".join("".join(parts).split())
 
 
-def train(pages: DataFrame, train_pages: int = TRAIN_PAGES, key: str = "page_id") -> dict[tuple[str, str], float]:
-    """Scores from at most ``train_pages`` labelled pages; what reaches the driver is a count for each of their features."""
-    labelled = pages.where(F.col("html").rlike("(?is)<article\\b.*</article")).select(F.xxhash64(key).alias("h"), "html")
+def train(pages: DataFrame, train_pages: int = TRAIN_PAGES, key: str = "page_id") -> Shares:
+    """Shares from at most ``train_pages`` labelled pages; what reaches the driver is two numbers for each of their features."""
+    labelled = pages.where(F.col("html").rlike(f"(?is)<{MARK}\\b.*</{MARK}")).select(F.xxhash64(key).alias("h"), "html")
     edge = labelled.select("h").orderBy("h").limit(train_pages).agg(F.max("h")).first()[0]
     if edge is None:
-        return {}
+        return Shares()
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter = Counter()
         for frame in frames:
             for page in frame["html"]:
                 seen.update(count(page))
-        yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["kind", "feature", "inside", "n"])
+        yield pd.DataFrame([(*feature, inside, n) for (feature, inside), n in seen.items()], columns=["kind", "label", "around", "inside", "n"])
 
-    counted = labelled.where(F.col("h") <= edge).select("html").mapInPandas(work, "kind string, feature string, inside boolean, n long")
-    summed = counted.groupBy("kind", "feature", "inside").agg(F.sum("n").alias("n")).collect()
-    return weights({(r["kind"], r["feature"], r["inside"]): r["n"] for r in summed})
+    counted = labelled.where(F.col("h") <= edge).select("html").mapInPandas(words.returning(work), "kind string, label string, around string, inside boolean, n long")
+    summed = counted.groupBy("kind", "label", "around", "inside").agg(F.sum("n").alias("n")).collect()
+    return Shares({((r["kind"], r["label"], r["around"]), r["inside"]): r["n"] for r in summed})
 
 
 def extract(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> DataFrame:
     """``page_id, url, text`` of every page; see the module for the method and the defined results."""
-    scores = train(pages, train_pages)
+    shares = train(pages, train_pages)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = [main_text(x or "", scores) for x in batch["html"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(text, pa.string())], names=["page_id", "url", "text"])
+            for part in words.slices(batch, "html"):
+                text = [main_text(x or "", shares) for x in part["html"].to_pylist()]
+                yield pa.RecordBatch.from_arrays([part["page_id"], part["url"], pa.array(text, pa.string())], names=["page_id", "url", "text"])
 
     kinds = {c: pages.schema[c].dataType.simpleString() for c in ("page_id", "url")}
-    return pages.select("page_id", "url", "html").mapInArrow(work, f"page_id {kinds['page_id']}, url {kinds['url']}, text string")
+    return pages.select("page_id", "url", "html").mapInArrow(words.returning(work), f"page_id {kinds['page_id']}, url {kinds['url']}, text string")
