@@ -85,6 +85,33 @@ def test_near_dedup_of_a_large_group(spark, monkeypatch):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute_components(rows, 4, 80))
 
 
+def test_a_long_document_in_a_bucket(spark, monkeypatch):
+    """Sets of many sizes in one bucket: the links join what brute force joins, and the long set is not sent around."""
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 3000)
+    base = rng.integers(0, 2**63, 400_000).astype(np.uint64)
+    sets = {0: base}
+    for k in range(1, 60):
+        size = int(rng.integers(20, 200))
+        sets[k] = np.concatenate((base[: size - size // 12], rng.integers(0, 2**63, size // 12).astype(np.uint64)))
+    sets = {k: np.unique(x) for k, x in sets.items()}
+    table = spark.createDataFrame([(k, len(x), bytearray(x.tobytes())) for k, x in sets.items()], "id long, n long, shingles binary")
+    members = spark.createDataFrame([(7, k) for k in sets], "key long, id long")
+    seen = []
+    monkeypatch.setattr(near_dedup.scratch, "table", lambda df, name, f=near_dedup.scratch.table: seen.append((name, f(df, name))) or seen[-1][1])
+    links = near_dedup.rest_of_buckets(members, spark.createDataFrame([], "id long, comp long"), table, 80)
+    got = {r.id: r.comp for r in graph.components(links).collect()}
+    roots = {k: k for k in sets}
+    for a in sets:
+        for b in sets:
+            both = len(np.intersect1d(sets[a], sets[b]))
+            if a < b and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                low, high = sorted((roots[a], roots[b]))
+                roots = {k: low if r == high else r for k, r in roots.items()}
+    assert {k: got.get(k, k) for k in sets} == roots and len(set(roots.values())) > 2
+    assert all(df.where("id = 0").count() <= 2 for name, df in seen if name == "members")
+
+
 def test_estimate_is_near_the_truth():
     rng = np.random.default_rng(5)
     for share in (0.3, 0.6, 0.9):

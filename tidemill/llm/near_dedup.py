@@ -24,6 +24,7 @@ table gives no rows; further columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,7 +43,7 @@ BASE, RATE, TOP = 1.001, 20.0, 65_535
 #: Pairs estimated further below the threshold are dropped: five standard errors of 96 registers.
 MARGIN = 0.2
 #: A block of a bucket has at most about so many shingles and members.
-BLOCK_SHINGLES, BLOCK_MEMBERS = 200_000, 1_000
+BLOCK_SHINGLES, BLOCK_MEMBERS = 200_000, 500
 
 _M = np.random.default_rng(20_240_229)
 _XOR = _M.integers(0, 2**64, BANDS * ROWS, np.uint64, endpoint=False)
@@ -122,7 +123,7 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
                 row += len(n)
 
     text = F.col("text").cast("string")
-    return docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("text_hash")).mapInArrow(work, f"row long, doc_id {doc_id}, text_hash long, n long, digest binary, registers binary")
+    return docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("text_hash")).mapInArrow(words.returning(work), f"row long, doc_id {doc_id}, text_hash long, n long, digest binary, registers binary")
 
 
 def _matrix(column: pa.Array, kind: str = "<u2") -> np.ndarray:
@@ -141,7 +142,7 @@ def bands(classes: DataFrame) -> DataFrame:
             ids = np.repeat(batch["cid"].to_numpy(zero_copy_only=False), packed.shape[1])
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(ids)], names=["key", "id"])
 
-    return classes.select("cid", "registers").mapInArrow(work, "key long, id long")
+    return classes.select("cid", "registers").mapInArrow(words.returning(work), "key long, id long")
 
 
 def likely(pairs: DataFrame, percent: int) -> DataFrame:
@@ -154,7 +155,7 @@ def likely(pairs: DataFrame, percent: int) -> DataFrame:
                 keep = estimate(_matrix(batch["reg_a"]), _matrix(batch["reg_b"]), *n) >= percent / 100 - MARGIN
                 yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    return pairs.mapInArrow(work, "a long, b long")
+    return pairs.mapInArrow(words.returning(work), "a long, b long")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -167,9 +168,9 @@ def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 digest, n, own = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(n, pa.int64()), pa.array(own, pa.binary())], names=["digest", "n", "shingles"])
 
-    ids = scratch.sized(wanted.select(F.col("doc_id").alias("wanted_id")).distinct())
+    ids = scratch.sized(scratch.table(wanted.select(F.col("doc_id").alias("wanted_id")).distinct(), "wanted_ids"))
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi").select("text")
-    sets = texts.mapInArrow(work, "digest binary, n long, shingles binary").join(wanted.select("digest", F.col("cid").alias("id")), "digest")
+    sets = texts.mapInArrow(words.returning(work), "digest binary, n long, shingles binary").join(wanted.select("digest", F.col("cid").alias("id")), "digest")
     return sets.groupBy("id").agg(F.any_value("n").alias("n"), F.any_value("shingles").alias("shingles"))
 
 
@@ -185,7 +186,7 @@ def verified(pairs: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.mapInArrow(work, "a long, b long")
+    return pairs.mapInArrow(words.returning(work), "a long, b long")
 
 
 def block_links(table: pa.Table, percent: int) -> pa.Table:
@@ -216,10 +217,20 @@ def block_links(table: pa.Table, percent: int) -> pa.Table:
 
 
 def rest_of_buckets(members: DataFrame, comps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links within buckets that hold several components, by complete comparison in blocks."""
+    """Links within buckets that hold several components, by complete comparison in blocks.
+
+    Sets whose sizes differ too much can't be linked: a bucket of many sizes is split by size, so
+    that a set, however large, meets only those of about its size.
+    """
     sizes = sets.select("id", "n")
-    placed = members.join(comps, "id", "left").join(sizes, "id").select("key", "id", F.coalesce("comp", "id").alias("comp"), "n")
+    # linked sets are of the same class or of neighbouring ones
+    rank = F.floor(F.log("n") / math.log(100 / percent)) if percent < 100 else F.col("n")
+    placed = members.join(comps, "id", "left").join(sizes, "id").select("key", "id", F.coalesce("comp", "id").alias("comp"), "n", rank.alias("rank"))
     placed = scratch.table(placed, "members")
+    wide = placed.groupBy("key").agg(F.min("rank").alias("a"), F.max("rank").alias("b")).where("b - a > 1").select("key", F.lit(True).alias("wide"))
+    ranks = F.when(F.col("wide"), F.array("rank", F.col("rank") + 1)).otherwise(F.array(F.lit(-1).cast("long")))
+    placed = placed.join(scratch.sized(scratch.table(wide, "wide_buckets")), "key", "left").select("key", "id", "comp", "n", F.explode(ranks).alias("rank"))
+    placed = scratch.table(placed.select(F.when(F.col("rank") < 0, F.col("key")).otherwise(F.xxhash64("key", "rank")).alias("key"), "id", "comp", "n"), "members")
     shape = placed.groupBy("key").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.bit_xor(F.xxhash64("id")).alias("x"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("s"))
     # A bucket of two was one pair of the star. Buckets with the same members are compared once.
     open_ = shape.where("members > 2 AND low < high").groupBy("members", "shingles", "x", "s").agg(F.min("key").alias("key"))
