@@ -67,7 +67,7 @@ def fn_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fn_posexplode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("place", "item")).where("place < 4").select("vec_id", "place", F.round(F.col("item").cast("double"), 5).alias("item"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("place", "item")).select("vec_id", "place", F.round(F.col("item").cast("double"), 5).alias("item"))
 
 
 @F.pandas_udf(T.StringType())
@@ -77,7 +77,53 @@ def normalized(text: pd.Series) -> pd.Series:
 
 
 def udf_vectorized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", normalized("role").alias("role"))
+    """Whole texts without accents."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(normalized("text")).alias("plain_md5"), (normalized("text") == F.col("text")).alias("was_plain"))
+
+
+def fn_hash64(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spark's own 64-bit hash and a phonetic key, which no SQL of another engine has."""
+    return table(spark, sf_dir, "nation").select("n_nationkey", F.xxhash64("n_name", "n_regionkey").alias("h"), F.soundex("n_name").alias("sound"))
+
+
+def fn_to_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns to JSON and fields out of it."""
+    made = table(spark, sf_dir, "nation").select("n_nationkey", F.to_json(F.struct("n_name", "n_regionkey")).alias("j"))
+    return made.select("n_nationkey", "j", F.json_tuple("j", "n_name", "n_regionkey").alias("name", "region"))
+
+
+def fn_array_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of two arrays side by side, a slice, and an array of arrays made flat."""
+    v = F.transform("embedding", lambda x: x.cast("double"))
+    moved = F.zip_with(F.slice(v, 1, 63), F.slice(v, 2, 63), lambda a, b: b - a)
+    total = F.aggregate(moved, F.lit(0.0), lambda a, x: a + F.abs(x))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(total, 4).alias("path"), F.size(F.flatten(F.array(v, F.slice(v, 1, 3)))).alias("n"), F.round(F.slice(v, 60, 2)[1], 5).alias("late"))
+
+
+def fn_map_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A map from two arrays, and structs made rows."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.map_from_arrays(F.array(F.lit("size"), F.lit("price")), F.array(F.col("p_size").cast("double"), "p_retailprice")).alias("m"))
+    return parts.select("p_partkey", F.inline(F.map_entries("m")).alias("name", "amount"))
+
+
+@F.udf(T.IntegerType())
+def vowels(text: str) -> int:
+    """A function of one row; the slow kind, for what nothing else expresses."""
+    return sum(c in "AEIOU" for c in text)
+
+
+def udf_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "nation").select("n_nationkey", vowels(F.upper("n_name")).alias("n"))
+
+
+@F.pandas_udf(T.DoubleType())
+def spread(values: pd.Series) -> float:
+    """A grouped aggregate: the distance of the quartiles."""
+    return float(values.quantile(0.75) - values.quantile(0.25))
+
+
+def udf_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.round(spread("s_acctbal"), 4).alias("spread"))
 
 
 def udf_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +154,7 @@ def udf_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.lateralJoin(Pieces(F.col("p_name").outer())).select("p_partkey", "k", "piece")
 
 
-QUERIES = {f.__name__: f for f in (fn_string, fn_regex, fn_hash, fn_date, fn_math, fn_json, fn_array, fn_map, fn_text, fn_url, fn_variant, fn_posexplode, udf_vectorized, udf_grouped, udf_partition, udf_table)}
+QUERIES = {f.__name__: f for f in (fn_string, fn_regex, fn_hash, fn_date, fn_math, fn_json, fn_array, fn_map, fn_text, fn_url, fn_variant, fn_posexplode, fn_hash64, fn_to_json, fn_array_pairs, fn_map_arrays, udf_row, udf_aggregate, udf_vectorized, udf_grouped, udf_partition, udf_table)}
 
 ORACLE_SQL = {
     "fn_string": "SELECT c_custkey, upper(c_name) AS up, CAST(length(c_name) AS INTEGER) AS n, substring(c_name, 3, 4) AS part, replace(c_mktsegment, 'U', '_') AS swapped, lpad(CAST(c_nationkey AS VARCHAR), 3, '0') AS padded FROM customer",
@@ -122,8 +168,13 @@ ORACLE_SQL = {
     "fn_text": "SELECT p_partkey, split_part(p_name, ' ', 2) AS second, translate(p_brand, 'rand', 'RAND') AS swapped, CAST(levenshtein(p_brand, 'Brand#11') AS INTEGER) AS apart, CAST(len(regexp_extract_all(p_type, '[A-Z]+')) AS INTEGER) AS n_words, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1:1]) || lower(w[2:])), ' ') AS title, reverse(p_brand) AS backward FROM part",
     "fn_url": r"SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path, regexp_extract(url, '^([a-z]+):', 1) AS protocol FROM pages",
     "fn_variant": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
-    "fn_posexplode": "SELECT vec_id, CAST(i - 1 AS INTEGER) AS place, round(CAST(embedding[i] AS DOUBLE), 5) AS item FROM embeddings, (SELECT unnest(range(1, 5)) AS i)",
-    "udf_vectorized": "SELECT conv_id, turn, role FROM conversations",
+    "fn_posexplode": "SELECT vec_id, CAST(i - 1 AS INTEGER) AS place, round(CAST(embedding[i] AS DOUBLE), 5) AS item FROM embeddings, (SELECT unnest(range(1, 65)) AS i) WHERE i <= len(embedding)",
+    "udf_vectorized": "SELECT doc_id, md5(strip_accents(text)) AS plain_md5, strip_accents(text) = text AS was_plain FROM documents",
+    "fn_to_json": """SELECT n_nationkey, '{"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}' AS j, n_name AS name, CAST(n_regionkey AS VARCHAR) AS region FROM nation""",
+    "fn_array_pairs": "SELECT vec_id, round(list_sum(list_transform(range(1, 64), lambda i: abs(CAST(embedding[i + 1] AS DOUBLE) - CAST(embedding[i] AS DOUBLE)))), 4) AS path, CAST(len(embedding) + 3 AS INTEGER) AS n, round(CAST(embedding[61] AS DOUBLE), 5) AS late FROM embeddings",
+    "fn_map_arrays": "SELECT p_partkey, 'size' AS name, CAST(p_size AS DOUBLE) AS amount FROM part UNION ALL SELECT p_partkey, 'price', p_retailprice FROM part",
+    "udf_row": "SELECT n_nationkey, CAST(len(regexp_extract_all(upper(n_name), '[AEIOU]')) AS INTEGER) AS n FROM nation",
+    "udf_aggregate": "SELECT s_nationkey, round(quantile_cont(s_acctbal, 0.75) - quantile_cont(s_acctbal, 0.25), 4) AS spread FROM supplier GROUP BY 1",
     "udf_grouped": "SELECT s_suppkey, round(s_acctbal - avg(s_acctbal) OVER (PARTITION BY s_nationkey), 4) AS off FROM supplier",
     "udf_partition": "SELECT n_nationkey, length(n_name) AS n FROM nation",
     "udf_table": "SELECT p_partkey, CAST(i - 1 AS INTEGER) AS k, p[i] AS piece FROM (SELECT p_partkey, string_split(p_name, ' ') AS p, unnest(range(1, len(string_split(p_name, ' ')) + 1)) AS i FROM part)",

@@ -75,6 +75,33 @@ def agg_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.theta_sketch_estimate(F.theta_sketch_agg("l_partkey")).alias("parts"), F.kll_sketch_get_quantile_double(F.kll_sketch_agg_double("l_extendedprice"), F.lit(0.5)).alias("median"))
 
 
+def agg_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most frequent value (of equal ones the smallest) and the skewness of a column."""
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.expr("mode() WITHIN GROUP (ORDER BY l_linenumber)").alias("common"), F.round(F.skewness("l_extendedprice"), 6).alias("skew"))
+
+
+def agg_listagg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names in order in one string, by the aggregate function for it; a region has few nations."""
+    return table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.expr("listagg(n_name, '; ') WITHIN GROUP (ORDER BY n_name)").alias("names"))
+
+
+def agg_sketch_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct users of all events from the sketches of each type, which merge without the rows."""
+    parts = table(spark, sf_dir, "events").groupBy("event_type").agg(F.hll_sketch_agg("user_id").alias("s"))
+    return parts.agg(F.hll_sketch_estimate(F.hll_union_agg("s")).alias("users"))
+
+
+def agg_frequent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three most frequent priorities from a sketch of fixed size, with their estimated counts."""
+    top = table(spark, sf_dir, "orders").agg(F.expr("approx_top_k(o_orderpriority, 3)").alias("top"))
+    return top.select(F.inline("top")).toDF("priority", "n")
+
+
+def agg_count_min(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A count-min sketch of the parts in each kind of line, as bytes."""
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.count_min_sketch("l_partkey", F.lit(0.001), F.lit(0.99), F.lit(7)).alias("sketch"))
+
+
 def _by_user() -> object:
     return Window.partitionBy("user_id").orderBy("ts", "event_id")
 
@@ -118,7 +145,7 @@ def window_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (agg_pricing_summary, agg_distinct, agg_rollup, agg_cube, agg_grouping_sets, agg_filtered, agg_percentile, agg_statistics, agg_having, agg_collect, agg_regression, agg_list, agg_sketches, agg_approximate, window_rank, window_lag_lead, window_ntile, window_rows, window_range, window_first_last, window_sessions)
+    for f in (agg_pricing_summary, agg_distinct, agg_rollup, agg_cube, agg_grouping_sets, agg_filtered, agg_percentile, agg_statistics, agg_having, agg_collect, agg_regression, agg_list, agg_sketches, agg_approximate, agg_shape, agg_listagg, agg_sketch_union, agg_frequent, agg_count_min, window_rank, window_lag_lead, window_ntile, window_rows, window_range, window_first_last, window_sessions)
 }
 
 _U = "PARTITION BY user_id ORDER BY ts, event_id"
@@ -135,6 +162,8 @@ ORACLE_SQL = {
     "agg_collect": "SELECT s_nationkey, string_agg(s_name, ',' ORDER BY s_name) AS names FROM supplier GROUP BY 1",
     "agg_regression": "SELECT l_linestatus, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2, arg_max(l_orderkey, (l_extendedprice, l_orderkey)) AS dearest FROM lineitem GROUP BY 1",
     "agg_list": "SELECT o_orderstatus, string_agg(DISTINCT o_orderpriority, '|' ORDER BY o_orderpriority) AS priorities, bool_and(o_totalprice > 0) AS paid FROM orders GROUP BY 1",
+    "agg_shape": "WITH c AS (SELECT l_returnflag, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL), m AS (SELECT l_returnflag, arg_min(l_linenumber, (-n, l_linenumber)) AS common FROM c GROUP BY 1), p AS (SELECT l_returnflag, avg(l_extendedprice) AS mu, stddev_pop(l_extendedprice) AS sd FROM lineitem GROUP BY 1) SELECT l_returnflag, any_value(common) AS common, round(avg(((l_extendedprice - mu) / sd) ** 3), 6) AS skew FROM lineitem JOIN m USING (l_returnflag) JOIN p USING (l_returnflag) GROUP BY 1",
+    "agg_listagg": "SELECT n_regionkey, string_agg(n_name, '; ' ORDER BY n_name) AS names FROM nation GROUP BY 1",
     "window_rank": "SELECT l_orderkey, l_linenumber, CAST(rank() OVER w AS INTEGER) AS r, CAST(dense_rank() OVER w AS INTEGER) AS d FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_quantity DESC)",
     "window_lag_lead": f"SELECT event_id, lag(event_id) OVER w AS before, lead(event_id, 2) OVER w AS after FROM events WINDOW w AS ({_U})",
     "window_ntile": "SELECT c_custkey, CAST(ntile(4) OVER w AS INTEGER) AS quarter, round(percent_rank() OVER w, 6) AS pr, round(cume_dist() OVER w, 6) AS cd FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey)",

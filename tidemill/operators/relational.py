@@ -24,16 +24,18 @@ def scalar_subquery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.where("o_totalprice > mean").select("o_orderkey", "o_custkey")
 
 
+#: The types of events.
+EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
+
+
 def pivot_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of each user by type; the values are named, so no job looks for them."""
-    events = table(spark, sf_dir, "events")
-    kinds = [r[0] for r in events.select("event_type").distinct().orderBy("event_type").collect()]
-    return events.groupBy("user_id").agg(F.count("*").alias("n"), *(F.sum(F.when(F.col("event_type") == k, 1).otherwise(0)).alias(f"n_{i}") for i, k in enumerate(kinds)))
+    """Events of each user by type; the values are given, so no job looks for them."""
+    events = table(spark, sf_dir, "events").groupBy("user_id").pivot("event_type", EVENT_TYPES).agg(F.count(F.lit(1)))
+    return events.select("user_id", *(F.coalesce(F.col(k), F.lit(0)).cast("long").alias(f"n_{k}") for k in EVENT_TYPES))
 
 
 def unpivot_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").where("l_orderkey <= 500")
-    return lines.unpivot(["l_orderkey", "l_linenumber"], ["l_quantity", "l_tax"], "measure", "amount")
+    return table(spark, sf_dir, "lineitem").unpivot(["l_orderkey", "l_linenumber"], ["l_quantity", "l_tax"], "measure", "amount")
 
 
 def explode_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +61,13 @@ def join_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.join(right, F.col("a") == F.col("b"), "full").select(F.coalesce("a", "b").alias("nation"), "customers", "suppliers")
 
 
+def join_full_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A full outer join with a further predicate: it decides who meets, and all others stay alone."""
+    left = table(spark, sf_dir, "customer").where("c_acctbal > 9000").select("c_custkey", "c_nationkey", "c_acctbal")
+    right = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
+    return left.join(right, (left["c_nationkey"] == right["s_nationkey"]) & (right["s_acctbal"] > left["c_acctbal"]), "full").select("c_custkey", "s_suppkey")
+
+
 def join_right(spark: SparkSession, sf_dir: str) -> DataFrame:
     suppliers = table(spark, sf_dir, "supplier").where("s_acctbal > 8000")
     nations = table(spark, sf_dir, "nation")
@@ -77,39 +86,40 @@ def join_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def join_theta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations and regions by inequality; both sides have a fixed number of rows."""
+    """Nations and regions by inequality; both sides have a fixed number of rows, and Spark sees to it that a small one is broadcast."""
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    return nation.join(F.broadcast(region), nation["n_regionkey"] < region["r_regionkey"]).select("n_name", "r_name")
+    return nation.join(region, nation["n_regionkey"] < region["r_regionkey"]).select("n_name", "r_name")
 
 
-def range_join(left: DataFrame, right: DataFrame, key: str, time: str, seconds: int) -> DataFrame:
-    """Pairs with one key whose times are at most ``seconds`` apart (right at or after left).
+def range_join(left: DataFrame, right: DataFrame, key: str, time: str, other: str, seconds: int) -> DataFrame:
+    """Pairs with one key whose times are at most ``seconds`` apart (``other`` of right at or after ``time`` of left).
 
     Times fall into buckets of that width, so each row meets those of two buckets
     and no others; ``left`` and ``right`` must have different columns but for the key.
     """
     bucket = lambda c: F.floor(F.unix_timestamp(F.col(c).cast("timestamp")) / seconds)
     a = left.withColumn("bucket", bucket(time))
-    b = right.withColumn("bucket", F.explode(F.array(bucket("other_time"), bucket("other_time") - 1)))
-    gap = F.col("other_time") - F.col(time)
-    return a.join(b, [key, "bucket"]).where((F.col("other_time") >= F.col(time)) & (gap <= F.make_dt_interval(secs=F.lit(seconds)))).drop("bucket")
+    b = right.withColumn("bucket", F.explode(F.array(bucket(other), bucket(other) - 1)))
+    gap = F.col(other) - F.col(time)
+    return a.join(b, [key, "bucket"]).where((F.col(other) >= F.col(time)) & (gap <= F.make_dt_interval(secs=F.lit(seconds)))).drop("bucket")
 
 
 def join_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     left = events.where("event_type = 'click'").select("user_id", F.col("event_id").alias("click_id"), "ts")
     right = events.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("purchase_id"), F.col("ts").alias("other_time"))
-    return range_join(left, right, "user_id", "ts", 6 * 3600).select("user_id", "click_id", "purchase_id")
+    return range_join(left, right, "user_id", "ts", "other_time", 6 * 3600).select("user_id", "click_id", "purchase_id")
 
 
 def asof_join(left: DataFrame, right: DataFrame, key: str, time: str, values: list[str]) -> DataFrame:
     """For each left row the values of the last right row of its key at or before its time.
 
     Both sides are one sorted stream in which the last right row is carried forward:
-    one shuffle, no comparison of pairs, also for keys with many rows.
+    one shuffle, no comparison of pairs, also for keys with many rows. A row without a key
+    or a time meets nothing; of right rows with one time any one counts as the last.
     """
     a = left.withColumn("_side", F.lit(1)).withColumn("_row", F.lit(None).cast(right.select(F.struct(*values)).schema[0].dataType))
-    b = right.select(key, time, F.struct(*values).alias("_row")).withColumn("_side", F.lit(0))
+    b = right.where(F.col(key).isNotNull() & F.col(time).isNotNull()).select(key, time, F.struct(*values).alias("_row")).withColumn("_side", F.lit(0))
     order = Window.partitionBy(key).orderBy(time, "_side").rowsBetween(Window.unboundedPreceding, 0)
     both = a.unionByName(b, allowMissingColumns=True).withColumn("_row", F.last("_row", ignorenulls=True).over(order))
     return both.where("_side = 1").select(*left.columns, *(F.col(f"_row.{v}").alias(v) for v in values))
@@ -151,7 +161,8 @@ def set_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def set_except(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = _nations(spark, sf_dir)
-    return a.subtract(b.where("k % 2 = 0"))
+    rich = table(spark, sf_dir, "supplier").where("s_acctbal > 9500").select(F.col("s_nationkey").alias("k"))
+    return a.union(b).subtract(rich)
 
 
 def set_except_all(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,7 +172,7 @@ def set_except_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (filter_project, exists_correlated, scalar_subquery, pivot_events, unpivot_lines, explode_words, join_inner, join_left, join_full, join_right, join_cross, join_anti, join_theta, join_range, join_asof, sort_top, sort_top_by_group, set_union_all, set_union, set_intersect, set_except, set_except_all)
+    for f in (filter_project, exists_correlated, scalar_subquery, pivot_events, unpivot_lines, explode_words, join_inner, join_left, join_full, join_full_bounded, join_right, join_cross, join_anti, join_theta, join_range, join_asof, sort_top, sort_top_by_group, set_union_all, set_union, set_intersect, set_except, set_except_all)
 }
 
 _A, _B = "SELECT c_nationkey AS k FROM customer", "SELECT s_nationkey AS k FROM supplier WHERE s_acctbal > 3000"
@@ -169,8 +180,9 @@ ORACLE_SQL = {
     "filter_project": "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net FROM lineitem WHERE l_discount >= 0.05 AND l_quantity < 24",
     "exists_correlated": "SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)",
     "scalar_subquery": "SELECT o_orderkey, o_custkey FROM orders o WHERE o_totalprice > (SELECT avg(o_totalprice) FROM orders i WHERE i.o_custkey = o.o_custkey)",
-    "pivot_events": "WITH k AS (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS i FROM (SELECT DISTINCT event_type FROM events)) SELECT user_id, count(*) AS n, " + ", ".join(f"CAST(sum(CASE WHEN i = {i} THEN 1 ELSE 0 END) AS BIGINT) AS n_{i}" for i in range(5)) + " FROM events JOIN k USING (event_type) GROUP BY user_id",
-    "unpivot_lines": "SELECT l_orderkey, l_linenumber, 'l_quantity' AS measure, l_quantity AS amount FROM lineitem WHERE l_orderkey <= 500 UNION ALL SELECT l_orderkey, l_linenumber, 'l_tax', l_tax FROM lineitem WHERE l_orderkey <= 500",
+    "pivot_events": "SELECT user_id, " + ", ".join(f"count(*) FILTER (WHERE event_type = '{k}') AS n_{k}" for k in EVENT_TYPES) + " FROM events GROUP BY user_id",
+    "unpivot_lines": "SELECT l_orderkey, l_linenumber, 'l_quantity' AS measure, l_quantity AS amount FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, 'l_tax', l_tax FROM lineitem",
+    "join_full_bounded": "SELECT c_custkey, s_suppkey FROM (SELECT * FROM customer WHERE c_acctbal > 9000) FULL JOIN supplier ON c_nationkey = s_nationkey AND s_acctbal > c_acctbal",
     "explode_words": "SELECT word, count(*) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS word FROM part) GROUP BY word",
     "join_inner": "SELECT o_orderkey, o_custkey, l_linenumber, l_quantity FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderpriority = '1-URGENT'",
     "join_left": "SELECT c_custkey, n FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_totalprice > 300000 GROUP BY 1) ON c_custkey = o_custkey",
@@ -186,6 +198,6 @@ ORACLE_SQL = {
     "set_union_all": f"{_A} UNION ALL {_B}",
     "set_union": f"{_A} UNION {_B}",
     "set_intersect": f"{_A} INTERSECT {_B}",
-    "set_except": f"{_A} EXCEPT SELECT k FROM ({_B}) WHERE k % 2 = 0",
+    "set_except": f"({_A} UNION ALL {_B}) EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 9500",
     "set_except_all": f"{_A} EXCEPT ALL {_B}",
 }

@@ -1,20 +1,27 @@
 """Structured Streaming over the events: each query runs what is there to its end and returns the result table.
 
-The source is a file stream, the sink a Parquet table in the shared folder; a
-result is the same as that of the batch query in its SQL.
+The source is a stream of files in the order of time, the sink a Parquet table in the
+shared folder with a folder for each batch, so that a batch that is run again replaces
+what it wrote. A result is that of the batch query in its SQL. Watermarks bound the state
+wherever rows are grouped or remembered.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemill.session import shared_folder
 from tidemill.sources.tables import table
 
+#: Files that a table is dealt to, in the order of time, to be streamed one by one.
+FILES = 3
+
 
 def stream(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:
     """The table as a stream; its time as a timestamp, which watermarks need."""
@@ -23,16 +30,41 @@ def stream(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def finished(df: DataFrame, mode: str) -> DataFrame:
-    """The sink's table after all input is processed. Mode ``complete`` replaces the table in each batch, ``append`` adds to it."""
+def timed_stream(spark: SparkSession, sf_dir: str, files: int = FILES) -> DataFrame:
+    """The events as a stream of files by time, one a batch, so that watermarks move and windows close on the way."""
+    events = table(spark, sf_dir, "events")
+    edges = events.agg(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), [k / files for k in range(1, files)]).alias("e")).first()["e"] or []
+    path, at = shared_folder(spark, "stream"), F.unix_micros(F.col("ts").cast("timestamp"))
+    for low, high in zip([None, *edges], [*edges, None], strict=True):
+        part = events.where((F.lit(True) if low is None else at > low) & (F.lit(True) if high is None else at <= high))
+        part.write.mode("append").parquet(path)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def finished(df: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
+    """The sink's table after all input is processed.
+
+    Mode ``append`` adds each batch, ``complete`` takes the last batch, ``update`` the last row of each ``keys``.
+    """
     spark = df.sparkSession
     path, place = shared_folder(spark, "sink"), shared_folder(spark, "progress")
+    spark.createDataFrame([], df.schema).write.parquet(f"{path}/batch=-1")
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(path)
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     df.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", place).foreachBatch(write).start().awaitTermination()
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.option("basePath", path).parquet(path)
+    if mode == "complete":
+        out = out.where(F.col("batch") == out.agg(F.max("batch")).first()[0])
+    elif mode == "update":
+        rest = [c for c in df.columns if c not in keys]
+        out = out.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*")
+    return out.select(df.columns)
+
+
+def _begin(column: str) -> Column:
+    return F.col(f"{column}.start").cast("timestamp_ntz").alias("begin")
 
 
 def stream_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,19 +72,42 @@ def stream_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finished(out, "append")
 
 
+def _hourly(events: DataFrame) -> DataFrame:
+    counts = events.withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"))
+    return counts.select(_begin("window"), "event_type", "n")
+
+
 def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = stream(spark, sf_dir).withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"))
-    return finished(counts.select(F.col("window.start").cast("timestamp_ntz").alias("begin"), "event_type", "n"), "complete")
+    return finished(_hourly(stream(spark, sf_dir)), "complete")
+
+
+def stream_tumbling_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows that the watermark has closed, each once; the state holds the open ones alone."""
+    return finished(_hourly(timed_stream(spark, sf_dir)), "append")
+
+
+def stream_tumbling_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows as they change; the last word on each is the result."""
+    return finished(_hourly(timed_stream(spark, sf_dir)), "update", ["begin", "event_type"])
 
 
 def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = stream(spark, sf_dir).groupBy(F.window("ts", "2 hours", "1 hour")).agg(F.count("*").alias("n"))
-    return finished(counts.select(F.col("window.start").cast("timestamp_ntz").alias("begin"), "n"), "complete")
+    counts = timed_stream(spark, sf_dir).withWatermark("ts", "1 hour").groupBy(F.window("ts", "2 hours", "1 hour")).agg(F.count("*").alias("n"))
+    return finished(counts.select(_begin("window"), "n"), "append")
+
+
+def _sessions(events: DataFrame) -> DataFrame:
+    counts = events.withWatermark("ts", "1 hour").groupBy(F.session_window("ts", "1 hour"), "user_id").agg(F.count("*").alias("n"))
+    return counts.select("user_id", _begin("session_window"), "n")
 
 
 def stream_session(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = stream(spark, sf_dir).withWatermark("ts", "1 hour").groupBy(F.session_window("ts", "1 hour"), "user_id").agg(F.count("*").alias("n"))
-    return finished(counts.select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("begin"), "n"), "complete")
+    return finished(_sessions(stream(spark, sf_dir)), "complete")
+
+
+def stream_session_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions that the watermark has closed."""
+    return finished(_sessions(timed_stream(spark, sf_dir)), "append")
 
 
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +115,13 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finished(stream(spark, sf_dir).select("user_id", "event_type").dropDuplicates(["user_id", "event_type"]), "append")
 
 
+def stream_dedup_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that arrive twice, once; an id is remembered for as long as a copy may come."""
+    events = timed_stream(spark, sf_dir).select("event_id", "ts")
+    twice = events.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).withWatermark("ts", "1 hour")
+    return finished(twice.dropDuplicatesWithinWatermark(["event_id"]).select("event_id"), "append")
+
+
 def stream_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Purchases within an hour after a click of the same user; watermarks bound the state."""
     events = stream(spark, sf_dir)
@@ -81,14 +143,64 @@ def stream_stateful(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finished(counts, "append").groupBy("user_id").agg(F.max("n").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (stream_filter, stream_tumbling, stream_sliding, stream_session, stream_dedup, stream_join, stream_stateful)}
+class Totals(StatefulProcessor):
+    """Count and highest value of each user so far, in a named state variable."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.total = handle.getValueState("total", "n long, top double")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        n, top = self.total.get() if self.total.exists() else (0, float("-inf"))
+        for frame in rows:
+            n, top = n + len(frame), max(top, float(frame["value"].max()))
+        self.total.update((n, top))
+        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "top": [top]})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_processor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of each user by a stateful processor, whose state lies in RocksDB."""
+    setting, store = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(setting, None)
+    spark.conf.set(setting, store)
+    try:
+        events = timed_stream(spark, sf_dir).select("user_id", "value")
+        totals = events.groupBy("user_id").transformWithStateInPandas(Totals(), "user_id long, n long, top double", "Update", "None")
+        return finished(totals, "update", ["user_id"])
+    finally:
+        spark.conf.set(setting, before) if before else spark.conf.unset(setting)
+
+
+def stream_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The memory sink, for small results: counts by type."""
+    name = f"counts_{uuid.uuid4().hex}"
+    counts = stream(spark, sf_dir).groupBy("event_type").agg(F.count("*").alias("n"))
+    counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (stream_filter, stream_tumbling, stream_tumbling_append, stream_tumbling_update, stream_sliding, stream_session, stream_session_append, stream_dedup, stream_dedup_watermark, stream_join, stream_stateful, stream_processor, stream_memory)
+}
 
+_SESSIONS = "WITH m AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM m) SELECT user_id, min(ts) AS begin, count(*) AS n FROM s GROUP BY user_id, s"
+_HOURS = "SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS begin, event_type, count(*) AS n FROM events GROUP BY 1, 2"
+_CLOSED = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
 ORACLE_SQL = {
     "stream_filter": "SELECT event_id, user_id, value FROM events WHERE event_type = 'purchase'",
-    "stream_tumbling": "SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS begin, event_type, count(*) AS n FROM events GROUP BY 1, 2",
-    "stream_sliding": "SELECT CAST(date_trunc('hour', ts) - to_hours(h) AS TIMESTAMP) AS begin, count(*) AS n FROM events, (SELECT unnest([0, 1]) AS h) GROUP BY 1",
-    "stream_session": "WITH m AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM m) SELECT user_id, min(ts) AS begin, count(*) AS n FROM s GROUP BY user_id, s",
+    "stream_tumbling": _HOURS,
+    "stream_tumbling_append": f"SELECT * FROM ({_HOURS}) WHERE begin + INTERVAL 1 HOUR <= {_CLOSED}",
+    "stream_tumbling_update": _HOURS,
+    "stream_sliding": f"SELECT * FROM (SELECT CAST(date_trunc('hour', ts) - to_hours(h) AS TIMESTAMP) AS begin, count(*) AS n FROM events, (SELECT unnest([0, 1]) AS h) GROUP BY 1) WHERE begin + INTERVAL 2 HOUR <= {_CLOSED}",
+    "stream_session": _SESSIONS,
+    "stream_session_append": _SESSIONS + f" HAVING max(ts) + INTERVAL 1 HOUR <= {_CLOSED}",
     "stream_dedup": "SELECT DISTINCT user_id, event_type FROM events",
+    "stream_dedup_watermark": "SELECT event_id FROM events",
     "stream_join": "SELECT a.user_id, a.event_id AS click_id, b.event_id AS purchase_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 1 HOUR WHERE a.event_type = 'click' AND b.event_type = 'purchase'",
     "stream_stateful": "SELECT user_id, count(*) AS n FROM events GROUP BY 1",
+    "stream_processor": "SELECT user_id, count(*) AS n, max(value) AS top FROM events GROUP BY 1",
+    "stream_memory": "SELECT event_type, count(*) AS n FROM events GROUP BY 1",
 }
