@@ -19,6 +19,7 @@ gives no rows; further columns of the input are ignored.
 
 from __future__ import annotations
 
+import math
 import os
 import zlib
 from collections.abc import Iterator
@@ -31,8 +32,9 @@ from pyspark.sql import functions as F
 from tidemill.llm import scratch, words
 
 CAPACITY = 2048
-#: Rows of one length are ranked in parts of about so many, so that a frequent length is spread.
-PART_ROWS = 100_000
+#: Rows of one length are ranked in parts of so many at least, and of the square root of their number, so that a
+#: frequent length is spread, and its parts are no more than a part has rows.
+PART_ROWS = 1000
 #: Rounds of the multiplicative weights, and how fast a price falls with coverage.
 ROUNDS, RATE = 48, 6.0
 
@@ -205,7 +207,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
     table = slots(configurations(histogram, capacity))
 
     # A length has as many parts as its pieces need; the map has an entry for each frequent length.
-    many = {n: -(-k // PART_ROWS) for n, k in histogram.items() if k > PART_ROWS}
+    many = {n: -(-k // max(PART_ROWS, math.isqrt(k))) for n, k in histogram.items() if k > PART_ROWS}
     parts = F.coalesce(F.create_map(*(F.lit(x) for pair in many.items() for x in pair))[F.col("length")], F.lit(1)) if many else F.lit(1)
     cut = cut.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), parts).cast("int"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
