@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -122,15 +123,16 @@ class ChunkEncoder:
 
     def _slots(self, keys: list, encode: Callable) -> np.ndarray:
         get = self.slot.get
-        out = np.fromiter((get(k, -1) for k in keys), np.int64, len(keys))
+        out = np.fromiter(map(get, keys, repeat(-1)), np.int64, len(keys))
         at = np.flatnonzero(out < 0)
         if len(at):
-            missing = list(dict.fromkeys(keys[i] for i in at.tolist()))
+            wanted = list(map(keys.__getitem__, at.tolist()))
+            missing = list(dict.fromkeys(wanted))
             first = self.count
             self._add(encode(missing))
             self.slot.update(zip(missing, range(first, self.count), strict=True))
-            self.bytes += sum(len(k) if isinstance(k, str) else len(k[0]) for k in missing)
-            out[at] = [get(keys[i]) for i in at.tolist()]
+            self.bytes += sum(map(len, missing)) if isinstance(missing[0], str) else sum(len(k) for (k,) in missing)
+            out[at] = np.arange(first, self.count) if len(missing) == len(wanted) else list(map(get, wanted))
         return out
 
     def __call__(self, array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
