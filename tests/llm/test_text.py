@@ -561,6 +561,11 @@ def test_scan_finds_the_best_region():
         assert html_extract.best_region(scores) == ((best[2], -best[1]) if best[0] > 0 else (0, 0))
 
 
+def test_a_head_without_an_end():
+    page = "<html><head><meta charset=utf-8><title>not this</title><body><p>the words of the page</p>"
+    assert html_extract.main_text(page, html_extract.Shares()) == "the words of the page"
+
+
 def test_a_very_long_page():
     page = "<nav>" + "<a href=x>menu</a>" * 2000 + "</nav><article>" + "<p>some words of <b>a paragraph</b>.</p>" * 20_000 + "</article><footer>end</footer>"
     got = html_extract.main_text(page, html_extract.Shares(html_extract.count(page)))

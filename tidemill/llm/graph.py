@@ -13,7 +13,7 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round takes the smallest label among the neighbours and then the label of
     that label, so paths shrink geometrically; a round is a table in the shared
-    folder. No links: no rows.
+    folder. No links: no rows; a link with a null end, or to itself, is none.
     """
     both = scratch.table(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct(), "links")
     labels = scratch.table(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("b")).select("id", F.least("id", "b").alias("comp")), "labels")

@@ -37,9 +37,10 @@ TRAIN_PAGES = 2000
 TAG_COST, OUTSIDE_COST, PRIOR_WEIGHT = 0.1, 2.0, 5.0
 MARK = "article"
 
-# Fixed values of HTML: elements whose content isn't shown as text, elements that don't break a line, elements without
+# Fixed values of HTML: elements whose content isn't shown as text, those that a head may hold (any other one ends it), elements that don't break a line, elements without
 # an end, sections, and sections and controls that are beside the content of what they stand in.
 UNSHOWN = {"head", "iframe", "noscript", "script", "style", "svg", "template", "title"}
+HEAD_PARTS = {"base", "link", "meta", "noscript", "script", "style", "template", "title"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "cite", "code", "data", "dfn", "em", "font", "i", "img", "kbd", "mark", "q", "s", "samp", "small", "span", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 BESIDE = {"aside", "button", "dialog", "footer", "form", "menu", "nav", "select", "textarea"}
@@ -85,6 +86,9 @@ def tokens(page: str) -> Iterator[tuple[Feature, str, bool]]:
                     break
             yield ("<", "/" + (MARK if name == MARK else label), around), "", name not in INLINE
             continue
+        if stack[-1][1] == "head" and name not in HEAD_PARTS:
+            stack.pop()
+            label, _, around, shown = stack[-1]
         names = " ".join(x.strip("\"'") for x in _NAMES.findall(m[4])) if m[4] else ""
         own = f"{name}.{names}" if names else name
         yield ("<", MARK if name == MARK else own, around), "", name not in INLINE
