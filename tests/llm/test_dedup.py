@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemill.llm import exact_dedup, graph, line_dedup, near_dedup, queries
 
@@ -215,6 +216,32 @@ def test_hot_segments(spark, monkeypatch, kind):
     assert {r.doc_id: r.n_dropped for r in line_dedup.deduplicate(docs).collect()} == brute_lines(lines)
 
 
+def test_line_query(spark, small):
+    """The registered query on its whole small table, against all pairs of lines of about one length and the same letters."""
+    rows = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", F.xxhash64("text").alias("h")).collect()
+    order = sorted(rows, key=lambda r: (r.doc_id, r.h))
+    places = [(r.doc_id, k, line) for r in order for k, line in enumerate((r.text or "").split("\n")) if line.strip()]
+    first = {}
+    for n, (_, _, line) in enumerate(places):
+        first.setdefault(line, n)
+    lines = [x for x in first if len(x) > 2]
+    signs = {c: k for k, c in enumerate(sorted({c for x in lines for c in x}))}
+    counts = np.zeros((len(lines), len(signs)), np.int32)
+    for k, x in enumerate(lines):
+        np.add.at(counts[k], [signs[c] for c in x], 1)
+    size, rank, late = counts.sum(1), np.array([first[x] for x in lines]), set()
+    for k, x in enumerate(lines):
+        near = np.flatnonzero((rank < rank[k]) & (abs(size - size[k]) <= 2))
+        near = near[abs(counts[near] - counts[k]).sum(1) <= 4]
+        if any(distance(lines[j], x) <= 2 for j in near.tolist()):
+            late.add(x)
+    gone = {(i, k) for n, (i, k, line) in enumerate(places) if first[line] < n or line in late}
+    kept = {r.doc_id: "\n".join(x for k, x in enumerate((r.text or "").split("\n")) if (r.doc_id, k) not in gone) for r in rows}
+    got = queries.op8_line_dedup(spark, small).collect()
+    assert {r.doc_id: (r.n_chars_kept, r.kept_sha256) for r in got} == {i: (len(t), hashlib.sha256(t.encode()).hexdigest()) for i, t in kept.items()}
+    assert sum(r.n_dropped for r in got) == len(gone) > 20 and len(late) > 0
+
+
 def test_line_dedup_on_odd_rows(odd):
     got = line_dedup.deduplicate(odd).collect()
     assert len(got) == len(odd_texts())
