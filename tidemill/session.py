@@ -23,14 +23,20 @@ def session(master: str | None = None, **settings: str) -> SparkSession:
     return (builder.master(master) if master else builder).getOrCreate()
 
 
+#: By application, the folder of a local session that names none.
+_own_roots: dict[str, str] = {}
+
+
 def shared_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, which all executors share; a temporary folder is set there if the master is local and none is named."""
+    """``spark.checkpoint.dir``, which all executors share; a temporary folder of this application if the master is local and none is named."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="tidemill-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        application = spark.sparkContext.applicationId
+        if application not in _own_roots:
+            _own_roots[application] = tempfile.mkdtemp(prefix="tidemill-")
+        root = _own_roots[application]
     return root
 
 
