@@ -4,9 +4,9 @@ import os
 
 from pyspark.sql import functions as F
 
+from tidemill import session
 from tidemill.llm import scratch
 from tidemill.plans.inspect import plan_text
-from tidemill.session import shared_folder, shared_root
 
 
 def test_only_measured_tables_are_broadcast(spark):
@@ -22,13 +22,10 @@ def test_only_measured_tables_are_broadcast(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
-def test_clear(spark, tmp_path):
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        table = scratch.table(spark.range(3), "numbers")
-        assert table.count() == 3 and shared_folder(spark, "x").startswith(shared_root(spark)) and os.listdir(tmp_path / "tidemill")
-        scratch.clear(spark)
-        assert not (tmp_path / "tidemill").exists()
-    finally:
-        spark.conf.set("spark.checkpoint.dir", before) if before else spark.conf.unset("spark.checkpoint.dir")
+def test_clear(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "shared_root", lambda _: str(tmp_path))
+    monkeypatch.setattr(scratch, "shared_root", lambda _: str(tmp_path))
+    table = scratch.table(spark.range(3), "numbers")
+    assert table.count() == 3 and os.listdir(tmp_path / "tidemill")
+    scratch.clear(spark)
+    assert not (tmp_path / "tidemill").exists()
