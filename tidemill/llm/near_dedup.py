@@ -43,7 +43,7 @@ BASE, RATE, TOP = 1.001, 20.0, 65_535
 #: Pairs estimated further below the threshold are dropped: five standard errors of 96 registers.
 MARGIN = 0.2
 #: A block of a bucket has at most about so many shingles and members.
-BLOCK_SHINGLES, BLOCK_MEMBERS = 200_000, 500
+BLOCK_SHINGLES, BLOCK_MEMBERS = 200_000, 1_000
 
 _M = np.random.default_rng(20_240_229)
 _XOR = _M.integers(0, 2**64, BANDS * ROWS, np.uint64, endpoint=False)
@@ -199,7 +199,7 @@ def block_links(table: pa.Table, percent: int) -> pa.Table:
     owner = np.repeat(np.arange(len(sets)), sizes)[common[index]]
     column = (np.cumsum(common) - 1)[index[common[index]]]
     both = np.zeros((len(sets), len(sets)), np.float32)
-    width = max(1, (8 << 20) // max(1, len(sets)))
+    width = max(1, min(int(common.sum()), (8 << 20) // max(1, len(sets))))
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
     edges = np.searchsorted(column, np.arange(0, int(common.sum()) + width, width))
