@@ -1,0 +1,230 @@
+"""Joins, frames, ranks and quantiles along an order: hot keys, nulls, ties, clashing names, against plain versions."""
+
+import math
+import random
+from collections import Counter
+from datetime import date, datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidemill.operators import ranges, ranks
+from tidemill.operators.slices import edges, fresh, slice_of, ticks
+from tidemill.plans.inspect import plan_text, shuffles
+
+CLASHING = ("slice", "row", "side", "found", "last", "carried", "known", "own", "until", "a", "b", "x", "bin", "level", "way", "at", "part", "before", "cell", "c0", "number", "begins", "n", "upto", "share", "k0", "sum0", "less0", "rank_", "dense", "first_rank", "groups")
+
+
+def clashing(df):
+    """``df`` with columns of the names that intermediate tables have."""
+    return df.withColumns({c: F.lit("clash") for c in CLASHING if c not in df.columns})
+
+
+def hot(seed, n):
+    """(k, t, i): a third of the rows have the key 0, some have no key or no time, and times are often equal."""
+    rng = random.Random(seed)
+    return [(None if rng.random() < 0.03 else 0 if rng.random() < 0.35 else rng.randint(1, 9), None if rng.random() < 0.03 else rng.randint(-50, 400), i) for i in range(n)]
+
+
+def test_slices_are_even_and_in_order(spark):
+    df = spark.createDataFrame([(x,) for _, x, _ in hot(1, 3000)], "t long")
+    cuts = edges(df, "t", 16)
+    found = df.select("t", slice_of("t", cuts).alias("s")).collect()
+    assert all((r.s is None) == (r.t is None) and (r.t is None or r.s == sum(e < r.t for e in cuts)) for r in found)
+    assert max(Counter(r.s for r in found if r.s is not None).values()) < 2.5 * 3000 / 16
+    apart = edges(df, "t", 16, 100)
+    assert 1 < len(apart) < 5 and all(b - a >= 100 for a, b in zip(apart, apart[1:]))
+    assert edges(df.where("false"), "t", 16) == [] and edges(df, "t", 1) == []
+    doubles = spark.createDataFrame([(x,) for x in (float("nan"), 1.5, -2.25, None, 1e300, 0.0)], "t double")
+    assert all(math.isfinite(x) for x in edges(doubles, "t", 8))
+    assert {r.s for r in doubles.select(slice_of("t", edges(doubles, "t", 4)).alias("s")).collect()} >= {None, 0}
+
+
+def test_ticks_keep_the_order(spark):
+    df = spark.createDataFrame([(datetime(2024, 3, 31, 2, 30), date(1969, 12, 31), 1.5)], "n timestamp_ntz, d date, f float")
+    assert tuple(df.select(ticks(df, "n"), ticks(df, "d"), ticks(df, "f")).first()) == (1711852200_000000, -1, 1.5)
+    with pytest.raises(TypeError):
+        ticks(spark.createDataFrame([("x",)], "s string"), "s")
+
+
+def test_fresh_names():
+    assert fresh(["T", "x", "x_"], "t", "x", "t") == ["t_", "x__", "t__"]
+
+
+@pytest.mark.parametrize("slices", [1, 2, 40])
+def test_asof_join_with_a_hot_key(spark, slices):
+    lefts, rights = hot(2, 700), hot(3, 300)
+    left = clashing(spark.createDataFrame(lefts, "k long, t long, i long"))
+    right = clashing(spark.createDataFrame(rights, "k long, t long, i long")).withColumn("v", F.col("i") * 10)
+    out = ranges.asof_join(left, right, "k", "t", ["v", "i"], slices)
+    assert out.columns == [*left.columns, "v", "i_right"]
+    got = Counter((r.k, r.t, r.i, r.v, r.i_right) for r in out.collect())
+    want = Counter()
+    for k, t, i in lefts:
+        met = [(u, 10 * j, j) for q, u, j in rights if None not in (k, t, u) and q == k and u <= t]
+        want[(k, t, i, *(max(met)[1:] if met else (None, None)))] += 1
+    assert got == want
+    assert not left.limit(0).count() and ranges.asof_join(left.limit(0), right, "k", "t", ["v"]).count() == 0
+    assert ranges.asof_join(left, right.limit(0), "k", "t", ["v"]).where("v IS NOT NULL").count() == 0
+
+
+def test_asof_join_spreads_a_key_and_moves_rows_once(spark, small):
+    events = spark.read.parquet(f"{small}/events.parquet").withColumn("k", F.lit(1))
+    out = ranges.asof_join(events.withColumn("payload", F.lit("x")), events.where("event_type = 'click'"), "k", "ts", ["value"], 16)
+    text = plan_text(out)
+    assert "payload" in text and "SinglePartition" not in text and "Nested" not in text
+    # the rows of the left side are sorted by key and slice, and joined to the small pass on the same two columns
+    assert sum("hashpartitioning(k#" in line and "slice#" in line for line in text.splitlines()) >= 2
+    cuts = edges(events.select(ticks(events, "ts").alias("t")), "t", 16)
+    sizes = events.select(ticks(events, "ts").alias("t")).groupBy(slice_of("t", cuts)).count().collect()
+    assert len(sizes) == 16 and max(r["count"] for r in sizes) < 2 * 1000 / 16
+    assert shuffles(out) <= 6
+
+
+@pytest.mark.parametrize("slices", [1, 3, 60])
+def test_range_frame_with_a_hot_key(spark, slices):
+    rows = hot(4, 600)
+    df = clashing(spark.createDataFrame(rows, "k long, t long, i long"))
+    out = ranges.range_frame(df, "k", "t", 20, {"rows": F.count("*"), "total": F.sum("i"), "top": F.max("i")}, slices)
+    assert out.columns == [*df.columns, "rows", "total", "top"]
+    want = Counter()
+    for k, t, i in rows:
+        frame = [j for q, u, j in rows if q == k and ((t is None and u is None) or (None not in (t, u) and t - 20 <= u <= t))]
+        want[k, t, i, len(frame), sum(frame), max(frame)] += 1
+    assert Counter((r.k, r.t, r.i, r.rows, r.total, r.top) for r in out.collect()) == want
+    assert ranges.range_frame(df.limit(0), "k", "t", 20, {"rows": F.count("*")}).count() == 0
+
+
+@pytest.mark.parametrize("slices", [1, 4, 60])
+def test_sessions_with_a_hot_key(spark, slices):
+    rows = hot(5, 400)
+    df = clashing(spark.createDataFrame(rows, "k long, t long, i long"))
+    got = Counter((r.k, r.t, r.i, r.session) for r in ranges.sessions(df, "k", "t", 3, slices).collect())
+    want = Counter((k, None, i, None) for k, t, i in rows if t is None)
+    for key in {k for k, _, _ in rows}:
+        session, before = 0, None
+        for t, i in sorted((t, i) for k, t, i in rows if k == key and t is not None):
+            session += before is None or t - before > 3
+            before = t
+            want[key, t, i, session] += 1
+    assert got == want
+    with pytest.raises(ValueError):
+        ranges.sessions(df.withColumn("Session", F.lit(1)), "k", "t", 3)
+
+
+def test_overlaps_of_all_lengths(spark):
+    """Points, short and long intervals and one over everything; each pair once."""
+    rng = random.Random(6)
+    rows = []
+    for i in range(400):
+        k, x = (None if rng.random() < 0.03 else 0 if rng.random() < 0.4 else rng.randint(1, 4)), rng.randint(-10_000, 10_000)
+        y = x + rng.choice((0, 0, 3, 17, 100, rng.randint(0, 2000), -5))
+        rows.append((k, x, None if rng.random() < 0.02 else y, i))
+    rows += [(0, -(10**12), 10**12, 400), (0, 5, 5, 401), (0, 5, 5, 401), (1, -(10**6), 10**6, 402)]
+    df = clashing(spark.createDataFrame(rows, "k long, x long, y long, i long"))
+    out = ranges.overlap_join(df, df, "x", "y", "k", F.col("a.i") < F.col("b.i"))
+    got = Counter((r.i, r.j) for r in out.select(F.col("a.i"), F.col("b.i").alias("j")).collect())
+    good = [r for r in rows if None not in r[:3] and r[1] <= r[2]]
+    assert got == Counter((a[3], b[3]) for a in good for b in good if a[0] == b[0] and a[1] <= b[2] and b[1] <= a[2] and a[3] < b[3])
+    every = ranges.overlap_join(df, df.where("i % 2 = 0"), "x", "y")
+    assert every.count() == sum(a[1] <= b[2] and b[1] <= a[2] for a in good for b in [*good, *[(None, *r[1:]) for r in rows if r[0] is None and r[2] is not None and r[1] <= r[2]]] if b[3] % 2 == 0) + sum(a[1] <= b[2] and b[1] <= a[2] for a in rows if a[0] is None and a[2] is not None and a[1] <= a[2] for b in rows if b[3] % 2 == 0 and b[2] is not None and b[1] <= b[2])
+    assert "Nested" not in plan_text(out) and "Cartesian" not in plan_text(out)
+    assert ranges.overlap_join(df.limit(0), df, "x", "y", "k").count() == 0
+
+
+def test_one_long_interval_takes_few_bins(spark):
+    """An interval over everything among many points: rows that are shuffled stay in proportion to the intervals."""
+    points = spark.range(2000).select((F.col("id") * 1000).alias("x"), (F.col("id") * 1000).alias("y"), "id")
+    both = points.union(spark.range(1).select(F.lit(0), F.lit(2_000_000), F.lit(-1)))
+    out = ranges.overlap_join(both, both, "x", "y", residual=F.col("a.id") < F.col("b.id"))
+    assert out.count() == 2000
+
+
+@pytest.mark.parametrize(("conditions", "rows"), [([("p", "<", "q")], 40), ([("p", ">=", "q"), ("d", "<", "e")], 16), ([("p", "<=", "q"), ("d", ">", "e"), ("p", "<", "e")], 1000)])
+def test_inequality_join(spark, conditions, rows):
+    rng = random.Random(7)
+    value = lambda: rng.choice((None, 5.0, 5.0, 5.0, float("nan"), rng.uniform(0, 20)))
+    lefts = [(value(), rng.randint(0, 30) if rng.random() > 0.05 else None, i) for i in range(160)]
+    rights = [(value(), rng.randint(0, 30), i) for i in range(120)] + [(5.0, 3, 999)] * 2
+    left = clashing(spark.createDataFrame(lefts, "p double, d long, i long"))
+    right = clashing(spark.createDataFrame(rights, "q double, e long, i long"))
+    out = ranges.inequality_join(left, right, conditions, F.col("a.i") != F.col("b.i"), rows)
+    meets = {"<": lambda x, y: x < y, "<=": lambda x, y: x <= y, ">": lambda x, y: x > y, ">=": lambda x, y: x >= y}
+    want = Counter()
+    for p, d, i in lefts:
+        for q, e, j in rights:
+            pairs = [({"p": p, "d": d}[x], o, {"q": q, "e": e}[y]) for x, o, y in conditions]
+            if i != j and all(x is not None and y is not None and x == x and y == y and meets[o](x, y) for x, o, y in pairs):
+                want[i, j] += 1
+    assert Counter((r.i, r.j) for r in out.select(F.col("a.i"), F.col("b.i").alias("j")).collect()) == want
+    text = plan_text(out)
+    assert "Nested" not in text and "Cartesian" not in text
+    assert ranges.inequality_join(left.limit(0), right, conditions).count() == 0
+
+
+def test_bounds_spare_pairs_of_blocks(spark):
+    """Of the blocks of two sides whose values interleave, those on the wrong side of the diagonal never meet."""
+    df = spark.range(4000).select(F.col("id").alias("p"), (F.col("id") * 7 % 4000).alias("d"))
+    near = ranges.inequality_join(df, df, [("p", "<", "p"), ("d", ">", "d")], block_rows=250)
+    met = near.groupBy().count().first()[0]
+    assert met == sum(1 for i in range(4000) for j in range(i + 1, min(i + 4000, 4000)) if i * 7 % 4000 > j * 7 % 4000)
+
+
+@pytest.mark.parametrize("peers", [1, 2, None])
+def test_global_ranks(spark, peers):
+    rng = random.Random(8)
+    rows = [(rng.choice((None, 1, 1, 1, 2, 3)), rng.choice((None, "a", "b")), i, rng.randint(0, 9)) for i in range(500)]
+    df = clashing(spark.createDataFrame(rows, "p long, s string, i long, v long")).repartition(4)
+    out = ranks.global_ranks(df, ["-p", "s", "i"], peers, 7, {"total": F.col("v"), "zero": F.lit(None).cast("long")})
+    assert out.columns == [*df.columns, "row_number", "rank", "dense_rank", "percent_rank", "ntile", "total", "zero"]
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] is not None, r[1] or "", r[2]))
+    want, total, seen = {}, 0, {}
+    for n, r in enumerate(order):
+        total += r[3]
+        peer = r[: peers or 3]
+        first, group = seen.setdefault(peer, (n + 1, len(seen) + 1))
+        each, more = divmod(500, 7)
+        tile = n // (each + 1) + 1 if n < more * (each + 1) else (n - more * (each + 1)) // each + more + 1
+        want[r[2]] = (n + 1, first, group, (first - 1) / 499, tile, total, 0)
+    assert {r.i: tuple(r[len(df.columns) :]) for r in out.collect()} == want
+    assert "SinglePartition" not in plan_text(out)
+    assert ranks.global_ranks(df.limit(0), ["i"], running={"total": F.col("v")}).count() == 0
+    with pytest.raises(ValueError):
+        ranks.global_ranks(df.withColumn("Rank", F.lit(1)), ["i"])
+
+
+def test_ties_over_many_partitions(spark):
+    """One value in nearly all rows: its rank is that of its first row, in whatever partition."""
+    df = spark.range(2000).select(F.when(F.col("id") < 3, 0).when(F.col("id") > 1990, 9).otherwise(5).alias("p"), "id").repartition(6)
+    out = ranks.global_ranks(df, ["p", "id"], peers=1)
+    assert {(r.p, r["rank"], r.dense_rank) for r in out.collect()} == {(0, 1, 1), (5, 4, 2), (9, 1992, 3)}
+    assert [r.id for r in out.orderBy("row_number").collect()] == sorted(range(2000), key=lambda i: (0 if i < 3 else 9 if i > 1990 else 5, i))
+
+
+def test_exact_quantiles(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice((None, "a", "b")), rng.choice((None, 4.5, 4.5, rng.uniform(-9, 9), float("inf")))) for _ in range(800)] + [("none", None), ("one", 2.0), ("two", 1.0), ("two", 2.0)]
+    shares = [0.0, 0.1, 0.5, 0.93, 1.0]
+    df = clashing(spark.createDataFrame(rows, "g string, w double"))
+    out = ranks.exact_quantiles(df, ["g"], "w", shares, 9)
+    want = {}
+    for g in {g for g, _ in rows}:
+        values = sorted(w for h, w in rows if h == g and w is not None)
+        for p in shares:
+            at = p * (len(values) - 1)
+            low, high = (values[math.floor(at)], values[math.ceil(at)]) if values else (None, None)
+            want[g, p] = None if not values else low if low == high else low + (high - low) * (at - math.floor(at))
+    got = {(r.g, r["share"]): r.quantile for r in out.collect()}
+    assert got.keys() == want.keys() and all(got[x] == want[x] or abs(got[x] - want[x]) < 1e-9 for x in want)
+    text = plan_text(out)
+    assert "percentile(" not in text and "collect_list" not in text
+    whole = ranks.exact_quantiles(spark.range(101), [], "id", [0.5, 0.999])
+    assert {r["share"]: r.quantile for r in whole.collect()} == {0.5: 50.0, 0.999: pytest.approx(99.9)}
+    assert ranks.exact_quantiles(df.limit(0), [], "w", shares).count() == 0
+
+
+def test_lengths_in_time(spark):
+    rows = [(datetime(2024, 1, d, h), d * 100 + h) for d in (1, 2, 3) for h in (0, 12)]
+    df = spark.createDataFrame(rows, "ts timestamp_ntz, i long").withColumn("k", F.lit(None).cast("string"))
+    got = {r.i: r.n for r in ranges.range_frame(df, "k", "ts", timedelta(days=1), {"n": F.count("*")}, 50).collect()}
+    assert got == {100: 1, 112: 2, 200: 3, 212: 3, 300: 3, 312: 3}

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from tidemill.functions import scalar
-from tidemill.operators import analytic, relational
+from tidemill.operators import analytic, ranges, ranks, relational
 from tidemill.sources import files
 from tidemill.streaming import events
 
-_PARTS = (relational, analytic, scalar, files, events)
+_PARTS = (relational, ranges, ranks, analytic, scalar, files, events)
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLE_SQL = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}

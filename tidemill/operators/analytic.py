@@ -125,27 +125,14 @@ def window_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.round(F.sum("value").over(_by_user().rowsBetween(-3, 0)), 4).alias("last_four"))
 
 
-def window_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").selectExpr("event_id", "count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS day_count")
-
-
 def window_first_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = _by_user().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return table(spark, sf_dir, "events").select("event_id", F.first("event_id").over(w).alias("first_id"), F.last("event_id").over(w).alias("last_id"), F.nth_value("event_id", 2).over(w).alias("second_id"))
 
 
-def window_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions of each user: a gap of over an hour starts a new one."""
-    events = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "value")
-    new = (F.col("ts") - F.lag("ts").over(_by_user())) > F.expr("INTERVAL 1 HOUR")
-    marked = events.withColumn("new", F.coalesce(new, F.lit(True)).cast("int"))
-    numbered = marked.withColumn("session", F.sum("new").over(_by_user().rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy("user_id", "session").agg(F.count("*").alias("n"), F.min("ts").alias("begin"), F.max("ts").alias("finish"))
-
-
 QUERIES = {
     f.__name__: f
-    for f in (agg_pricing_summary, agg_distinct, agg_rollup, agg_cube, agg_grouping_sets, agg_filtered, agg_percentile, agg_statistics, agg_having, agg_collect, agg_regression, agg_list, agg_sketches, agg_approximate, agg_shape, agg_listagg, agg_sketch_union, agg_frequent, agg_count_min, window_rank, window_lag_lead, window_ntile, window_rows, window_range, window_first_last, window_sessions)
+    for f in (agg_pricing_summary, agg_distinct, agg_rollup, agg_cube, agg_grouping_sets, agg_filtered, agg_percentile, agg_statistics, agg_having, agg_collect, agg_regression, agg_list, agg_sketches, agg_approximate, agg_shape, agg_listagg, agg_sketch_union, agg_frequent, agg_count_min, window_rank, window_lag_lead, window_ntile, window_rows, window_first_last)
 }
 
 _U = "PARTITION BY user_id ORDER BY ts, event_id"
@@ -168,7 +155,5 @@ ORACLE_SQL = {
     "window_lag_lead": f"SELECT event_id, lag(event_id) OVER w AS before, lead(event_id, 2) OVER w AS after FROM events WINDOW w AS ({_U})",
     "window_ntile": "SELECT c_custkey, CAST(ntile(4) OVER w AS INTEGER) AS quarter, round(percent_rank() OVER w, 6) AS pr, round(cume_dist() OVER w, 6) AS cd FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey)",
     "window_rows": f"SELECT event_id, round(sum(value) OVER ({_U} ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), 4) AS last_four FROM events",
-    "window_range": "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS day_count FROM events",
     "window_first_last": f"SELECT event_id, first_value(event_id) OVER w AS first_id, last_value(event_id) OVER w AS last_id, nth_value(event_id, 2) OVER w AS second_id FROM events WINDOW w AS ({_U} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)",
-    "window_sessions": f"WITH m AS (SELECT *, CASE WHEN ts - lag(ts) OVER ({_U}) > INTERVAL 1 HOUR OR lag(ts) OVER ({_U}) IS NULL THEN 1 ELSE 0 END AS new FROM events), s AS (SELECT *, CAST(sum(new) OVER ({_U}) AS BIGINT) AS session FROM m) SELECT user_id, session, count(*) AS n, min(ts) AS begin, max(ts) AS finish FROM s GROUP BY 1, 2",
 }

@@ -111,27 +111,6 @@ def join_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return range_join(left, right, "user_id", "ts", "other_time", 6 * 3600).select("user_id", "click_id", "purchase_id")
 
 
-def asof_join(left: DataFrame, right: DataFrame, key: str, time: str, values: list[str]) -> DataFrame:
-    """For each left row the values of the last right row of its key at or before its time.
-
-    Both sides are one sorted stream in which the last right row is carried forward:
-    one shuffle, no comparison of pairs, also for keys with many rows. A row without a key
-    or a time meets nothing; of right rows with one time any one counts as the last.
-    """
-    a = left.withColumn("_side", F.lit(1)).withColumn("_row", F.lit(None).cast(right.select(F.struct(*values)).schema[0].dataType))
-    b = right.where(F.col(key).isNotNull() & F.col(time).isNotNull()).select(key, time, F.struct(*values).alias("_row")).withColumn("_side", F.lit(0))
-    order = Window.partitionBy(key).orderBy(time, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    both = a.unionByName(b, allowMissingColumns=True).withColumn("_row", F.last("_row", ignorenulls=True).over(order))
-    return both.where("_side = 1").select(*left.columns, *(F.col(f"_row.{v}").alias(v) for v in values))
-
-
-def join_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events")
-    left = events.where("event_type = 'purchase'").select("user_id", "ts", "event_id")
-    right = events.where("event_type = 'click'").select("user_id", "ts", F.col("event_id").alias("click_id"))
-    return asof_join(left, right, "user_id", "ts", ["click_id"]).select("event_id", "click_id")
-
-
 def sort_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(10).select("o_orderkey", "o_totalprice")
 
@@ -172,7 +151,7 @@ def set_except_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (filter_project, exists_correlated, scalar_subquery, pivot_events, unpivot_lines, explode_words, join_inner, join_left, join_full, join_full_bounded, join_right, join_cross, join_anti, join_theta, join_range, join_asof, sort_top, sort_top_by_group, set_union_all, set_union, set_intersect, set_except, set_except_all)
+    for f in (filter_project, exists_correlated, scalar_subquery, pivot_events, unpivot_lines, explode_words, join_inner, join_left, join_full, join_full_bounded, join_right, join_cross, join_anti, join_theta, join_range, sort_top, sort_top_by_group, set_union_all, set_union, set_intersect, set_except, set_except_all)
 }
 
 _A, _B = "SELECT c_nationkey AS k FROM customer", "SELECT s_nationkey AS k FROM supplier WHERE s_acctbal > 3000"
@@ -192,7 +171,6 @@ ORACLE_SQL = {
     "join_anti": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 250000)",
     "join_theta": "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey < r_regionkey",
     "join_range": "SELECT a.user_id, a.event_id AS click_id, b.event_id AS purchase_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 6 HOUR WHERE a.event_type = 'click' AND b.event_type = 'purchase'",
-    "join_asof": "SELECT a.event_id, b.event_id AS click_id FROM (SELECT * FROM events WHERE event_type = 'purchase') a ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') b ON a.user_id = b.user_id AND a.ts >= b.ts",
     "sort_top": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10",
     "sort_top_by_group": "SELECT o_custkey, o_orderkey, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders) WHERE place <= 2",
     "set_union_all": f"{_A} UNION ALL {_B}",
