@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,19 +31,23 @@ def stream(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def timed_stream(spark: SparkSession, sf_dir: str, files: int = FILES) -> DataFrame:
-    """The events as a stream of files by time, one a batch, so that watermarks move and windows close on the way."""
+def timed_stream(spark: SparkSession, sf_dir: str, files: int = FILES, newest_first: bool = False) -> DataFrame:
+    """The events as a stream of files by time, one a batch, so that watermarks move and windows close on the way.
+
+    With ``newest_first`` the files come in the wrong order, and all but the first one are late.
+    """
     events = table(spark, sf_dir, "events")
     edges = events.agg(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), [k / files for k in range(1, files)]).alias("e")).first()["e"] or []
     path, at = shared_folder(spark, "stream"), F.unix_micros(F.col("ts").cast("timestamp"))
-    for low, high in zip([None, *edges], [*edges, None], strict=True):
+    bounds = list(zip([None, *edges], [*edges, None], strict=True))
+    for low, high in reversed(bounds) if newest_first else bounds:
         part = events.where((F.lit(True) if low is None else at > low) & (F.lit(True) if high is None else at <= high))
         part.write.mode("append").parquet(path)
     return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def finished(df: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
-    """The sink's table after all input is processed.
+def finished(df: DataFrame, mode: str, keys: list[str] | None = None, late: list[int] | None = None) -> DataFrame:
+    """The sink's table after all input is processed. To ``late`` the number of rows is added that came after the watermark and were dropped.
 
     Mode ``append`` adds each batch, ``complete`` takes the last batch, ``update`` the last row of each ``keys``.
     """
@@ -53,7 +58,10 @@ def finished(df: DataFrame, mode: str, keys: list[str] | None = None) -> DataFra
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    df.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", place).foreachBatch(write).start().awaitTermination()
+    query = df.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", place).foreachBatch(write).start()
+    query.awaitTermination()
+    if late is not None:
+        late.append(sum(o.numRowsDroppedByWatermark for p in query.recentProgress for o in p.stateOperators))
     out = spark.read.option("basePath", path).parquet(path)
     if mode == "complete":
         out = out.where(F.col("batch") == out.agg(F.max("batch")).first()[0])
@@ -131,6 +139,18 @@ def stream_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finished(out.select("user_id", "click_id", "purchase_id"), "append")
 
 
+def clicks_with_purchases(events: DataFrame, other: DataFrame) -> DataFrame:
+    """Clicks with the purchases of their user within an hour after; those without any once the watermark says that none can come."""
+    clicks = events.where("event_type = 'click'").select("user_id", F.col("event_id").alias("click_id"), F.col("ts").alias("clicked")).withWatermark("clicked", "2 hours")
+    bought = other.where("event_type = 'purchase'").select(F.col("user_id").alias("u"), F.col("event_id").alias("purchase_id"), "ts").withWatermark("ts", "2 hours")
+    return clicks.join(bought, F.expr("user_id = u AND ts >= clicked AND ts <= clicked + INTERVAL 1 HOUR"), "left_outer").select("user_id", "click_id", "purchase_id")
+
+
+def stream_join_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A left outer join of two streams; clicks that the final watermark leaves open are not there yet."""
+    return finished(clicks_with_purchases(timed_stream(spark, sf_dir), timed_stream(spark, sf_dir)), "append")
+
+
 def stream_stateful(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A running count of each user's events, kept in custom state; the last one of each user is its total."""
 
@@ -162,15 +182,127 @@ class Totals(StatefulProcessor):
 
 def stream_processor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals of each user by a stateful processor, whose state lies in RocksDB."""
-    setting, store = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    before = spark.conf.get(setting, None)
-    spark.conf.set(setting, store)
-    try:
+    with settings(spark, **ROCKSDB):
         events = timed_stream(spark, sf_dir).select("user_id", "value")
         totals = events.groupBy("user_id").transformWithStateInPandas(Totals(), "user_id long, n long, top double", "Update", "None")
         return finished(totals, "update", ["user_id"])
+
+
+class Sessions(StatefulProcessor):
+    """Sessions of a key, kept as a list until an event-time timer says that no row can join them any more.
+
+    Rows may come in any order within the watermark: what they bring together is merged. A key's
+    state are its open sessions, and it has one timer, for the one that ends first.
+    """
+
+    def __init__(self, gap_ms: int):
+        self.gap = gap_ms * 1000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.open = handle, handle.getListState("open", "begin long, finish long, n long")
+
+    def _wait(self, found: list[tuple[int, int, int]]) -> None:
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        if found:
+            self.open.put(found)
+            self.handle.registerTimer((min(f for _, f, _ in found) + self.gap) // 1000 + 1)
+        elif self.open.exists():
+            self.open.clear()
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        found = [tuple(x) for x in self.open.get()] if self.open.exists() else []
+        for frame in rows:
+            found += [(int(t), int(t), 1) for t in frame["at"]]
+        merged: list[tuple[int, int, int]] = []
+        for begin, finish, n in sorted(found):
+            if merged and begin - merged[-1][1] <= self.gap:
+                a, b, m = merged[-1]
+                merged[-1] = a, max(b, finish), m + n
+            else:
+                merged.append((begin, finish, n))
+        self._wait(merged)
+        yield pd.DataFrame({"user_id": [], "begin": [], "finish": [], "n": []}, dtype="Int64")
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now, found = timerValues.getCurrentWatermarkInMs() * 1000, [tuple(x) for x in self.open.get()] if self.open.exists() else []
+        closed = [x for x in found if x[1] + self.gap < now]
+        self._wait([x for x in found if x[1] + self.gap >= now])
+        yield pd.DataFrame({"user_id": [key[0]] * len(closed), "begin": [x[0] for x in closed], "finish": [x[1] for x in closed], "n": [x[2] for x in closed]}, dtype="Int64")
+
+    def close(self) -> None:
+        pass
+
+
+class Recent(StatefulProcessor):
+    """Events of each key and type so far, in a map whose entries are forgotten ``ttl_ms`` after their last change."""
+
+    def __init__(self, ttl_ms: int):
+        self.ttl = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.counts = handle.getMapState("counts", "event_type string", "n long", self.ttl)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        found: dict[str, int] = {}
+        for frame in rows:
+            for name, n in frame["event_type"].value_counts().items():
+                found[name] = found.get(name, 0) + int(n)
+        for name in found:
+            if self.counts.containsKey((name,)):
+                found[name] += self.counts.getValue((name,))[0]
+            self.counts.updateValue((name,), (found[name],))
+        yield pd.DataFrame({"user_id": pd.array([key[0]] * len(found), "Int64"), "event_type": list(found), "n": list(found.values())})
+
+    def close(self) -> None:
+        pass
+
+
+@contextmanager
+def settings(spark: SparkSession, **given: str) -> Iterator[None]:
+    """Settings of ``spark.sql.streaming`` that hold while a query is planned and run."""
+    names = {f"spark.sql.streaming.{k.replace('_', '.')}": v for k, v in given.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
     finally:
-        spark.conf.set(setting, before) if before else spark.conf.unset(setting)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v else spark.conf.unset(k)
+
+
+#: Named state variables and timers need state in RocksDB.
+ROCKSDB = {"stateStore_providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
+def timed_sessions(events: DataFrame, gap_ms: int, late: list[int] | None = None) -> DataFrame:
+    """Sessions of each user that a timer has closed."""
+    with settings(events.sparkSession, **ROCKSDB):
+        rows = events.withWatermark("ts", "1 hour").select("user_id", "ts", F.unix_micros("ts").alias("at"))
+        closed = rows.groupBy("user_id").transformWithStateInPandas(Sessions(gap_ms), "user_id long, begin long, finish long, n long", "Append", "EventTime")
+        return finished(closed, "append", late=late)
+
+
+def stream_timers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions with gaps of an hour, each given out by its timer."""
+    out = timed_sessions(timed_stream(spark, sf_dir), 3_600_000)
+    return out.select("user_id", *(F.timestamp_micros(c).cast("timestamp_ntz").alias(c) for c in ("begin", "finish")), "n")
+
+
+def recent_counts(events: DataFrame, ttl_ms: int) -> DataFrame:
+    """The last word on how many events of each type a user had, without those forgotten.
+
+    With processing time there is always another batch, so one without data would never let the stream end.
+    """
+    with settings(events.sparkSession, noDataMicroBatches_enabled="false", **ROCKSDB):
+        counts = events.select("user_id", "event_type").groupBy("user_id").transformWithStateInPandas(Recent(ttl_ms), "user_id long, event_type string, n long", "Update", "ProcessingTime")
+        return finished(counts, "update", ["user_id", "event_type"])
+
+
+def stream_map_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by user and type in a map state whose entries live for a day without a change, longer than the stream runs."""
+    return recent_counts(timed_stream(spark, sf_dir), 86_400_000)
 
 
 def stream_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,7 +315,7 @@ def stream_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (stream_filter, stream_tumbling, stream_tumbling_append, stream_tumbling_update, stream_sliding, stream_session, stream_session_append, stream_dedup, stream_dedup_watermark, stream_join, stream_stateful, stream_processor, stream_memory)
+    for f in (stream_filter, stream_tumbling, stream_tumbling_append, stream_tumbling_update, stream_sliding, stream_session, stream_session_append, stream_dedup, stream_dedup_watermark, stream_join, stream_join_outer, stream_stateful, stream_processor, stream_timers, stream_map_state, stream_memory)
 }
 
 _SESSIONS = "WITH m AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM m) SELECT user_id, min(ts) AS begin, count(*) AS n FROM s GROUP BY user_id, s"
@@ -200,6 +332,9 @@ ORACLE_SQL = {
     "stream_dedup": "SELECT DISTINCT user_id, event_type FROM events",
     "stream_dedup_watermark": "SELECT event_id FROM events",
     "stream_join": "SELECT a.user_id, a.event_id AS click_id, b.event_id AS purchase_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 1 HOUR WHERE a.event_type = 'click' AND b.event_type = 'purchase'",
+    "stream_join_outer": "WITH c AS (SELECT * FROM events WHERE event_type = 'click'), p AS (SELECT * FROM events WHERE event_type = 'purchase'), w AS (SELECT least((SELECT max(ts) FROM c), (SELECT max(ts) FROM p)) - INTERVAL 2 HOUR AS w), j AS (SELECT c.user_id, c.event_id AS click_id, p.event_id AS purchase_id, c.ts FROM c LEFT JOIN p ON p.user_id = c.user_id AND p.ts BETWEEN c.ts AND c.ts + INTERVAL 1 HOUR) SELECT user_id, click_id, purchase_id FROM j, w WHERE purchase_id IS NOT NULL OR ts + INTERVAL 1 HOUR < w",
+    "stream_timers": f"SELECT user_id, begin, finish, n FROM (WITH m AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM m) SELECT user_id, min(ts) AS begin, max(ts) AS finish, count(*) AS n FROM s GROUP BY user_id, s) WHERE finish + INTERVAL 1 HOUR < {_CLOSED}",
+    "stream_map_state": "SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "stream_stateful": "SELECT user_id, count(*) AS n FROM events GROUP BY 1",
     "stream_processor": "SELECT user_id, count(*) AS n, max(value) AS top FROM events GROUP BY 1",
     "stream_memory": "SELECT event_type, count(*) AS n FROM events GROUP BY 1",
