@@ -37,6 +37,12 @@ def test_asof_join_edges(spark):
     assert got == {"x": 50, "y": None, "z": None, "n": None, "m": None, "o": None}
 
 
+def test_user_functions_take_nulls(spark):
+    given = spark.createDataFrame([("AEx",), (None,), ("",)], "s string")
+    assert [r[0] for r in given.select(scalar.vowels("s")).collect()] == [2, None, 0]
+    assert given.lateralJoin(scalar.Pieces(F.col("s").outer())).where("s IS NULL").count() == 0
+
+
 def test_range_join_names_its_times(spark):
     left = spark.createDataFrame([(1, datetime(2024, 1, 1, 10))], "k long, began timestamp")
     right = spark.createDataFrame([(1, datetime(2024, 1, 1, 10, 59)), (1, datetime(2024, 1, 1, 11, 1)), (1, datetime(2024, 1, 1, 9, 59)), (1, None), (None, datetime(2024, 1, 1, 10))], "k long, ended timestamp")

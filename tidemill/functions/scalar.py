@@ -83,19 +83,19 @@ def udf_vectorized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fn_hash64(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spark's own 64-bit hash and a phonetic key, which no SQL of another engine has."""
-    return table(spark, sf_dir, "nation").select("n_nationkey", F.xxhash64("n_name", "n_regionkey").alias("h"), F.soundex("n_name").alias("sound"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.xxhash64("p_name", "p_size").alias("h"), F.soundex("p_name").alias("sound"))
 
 
 def fn_to_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Columns to JSON and fields out of it."""
-    made = table(spark, sf_dir, "nation").select("n_nationkey", F.to_json(F.struct("n_name", "n_regionkey")).alias("j"))
-    return made.select("n_nationkey", "j", F.json_tuple("j", "n_name", "n_regionkey").alias("name", "region"))
+    made = table(spark, sf_dir, "customer").select("c_custkey", F.to_json(F.struct("c_name", "c_nationkey")).alias("j"))
+    return made.select("c_custkey", "j", F.json_tuple("j", "c_name", "c_nationkey").alias("name", "nation"))
 
 
 def fn_array_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items of two arrays side by side, a slice, and an array of arrays made flat."""
     v = F.transform("embedding", lambda x: x.cast("double"))
-    moved = F.zip_with(F.slice(v, 1, 63), F.slice(v, 2, 63), lambda a, b: b - a)
+    moved = F.zip_with(F.slice(v, F.lit(1), F.greatest(F.size(v) - 1, F.lit(0))), F.slice(v, F.lit(2), F.greatest(F.size(v) - 1, F.lit(0))), lambda a, b: b - a)
     total = F.aggregate(moved, F.lit(0.0), lambda a, x: a + F.abs(x))
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(total, 4).alias("path"), F.size(F.flatten(F.array(v, F.slice(v, 1, 3)))).alias("n"), F.round(F.slice(v, 60, 2)[1], 5).alias("late"))
 
@@ -108,12 +108,12 @@ def fn_map_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @F.udf(T.IntegerType())
 def vowels(text: str) -> int:
-    """A function of one row; the slow kind, for what nothing else expresses."""
-    return sum(c in "AEIOU" for c in text)
+    """A function of one row; the slow kind, for what nothing else expresses. Null for null."""
+    return None if text is None else sum(c in "AEIOU" for c in text)
 
 
 def udf_row(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "nation").select("n_nationkey", vowels(F.upper("n_name")).alias("n"))
+    return table(spark, sf_dir, "part").select("p_partkey", vowels(F.upper("p_name")).alias("n"))
 
 
 @F.pandas_udf(T.DoubleType())
@@ -138,15 +138,18 @@ def udf_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
 def udf_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame({"n_nationkey": frame["n_nationkey"], "n": frame["n_name"].str.len().astype("int64")})
+            yield pd.DataFrame({"c_custkey": frame["c_custkey"], "n": frame["c_name"].str.len().astype("Int64")})
 
-    return table(spark, sf_dir, "nation").mapInPandas(work, "n_nationkey int, n long")
+    return table(spark, sf_dir, "customer").select("c_custkey", "c_name").mapInPandas(work, "c_custkey long, n long")
 
 
 @F.udtf(returnType=T.StructType([T.StructField("k", T.IntegerType()), T.StructField("piece", T.StringType())]))
 class Pieces:
+    """The words of a text with their places; nothing for null."""
+
     def eval(self, text: str) -> Iterator[tuple[int, str]]:
-        yield from enumerate(text.split(" "))
+        if text is not None:
+            yield from enumerate(text.split(" "))
 
 
 def udf_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,12 +173,12 @@ ORACLE_SQL = {
     "fn_variant": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
     "fn_posexplode": "SELECT vec_id, CAST(i - 1 AS INTEGER) AS place, round(CAST(embedding[i] AS DOUBLE), 5) AS item FROM embeddings, (SELECT unnest(range(1, 65)) AS i) WHERE i <= len(embedding)",
     "udf_vectorized": "SELECT doc_id, md5(strip_accents(text)) AS plain_md5, strip_accents(text) = text AS was_plain FROM documents",
-    "fn_to_json": """SELECT n_nationkey, '{"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}' AS j, n_name AS name, CAST(n_regionkey AS VARCHAR) AS region FROM nation""",
-    "fn_array_pairs": "SELECT vec_id, round(list_sum(list_transform(range(1, 64), lambda i: abs(CAST(embedding[i + 1] AS DOUBLE) - CAST(embedding[i] AS DOUBLE)))), 4) AS path, CAST(len(embedding) + 3 AS INTEGER) AS n, round(CAST(embedding[61] AS DOUBLE), 5) AS late FROM embeddings",
+    "fn_to_json": """SELECT c_custkey, '{"c_name":"' || c_name || '","c_nationkey":' || c_nationkey || '}' AS j, c_name AS name, CAST(c_nationkey AS VARCHAR) AS nation FROM customer""",
+    "fn_array_pairs": "SELECT vec_id, round(list_sum(list_transform(range(1, len(embedding)), lambda i: abs(CAST(embedding[i + 1] AS DOUBLE) - CAST(embedding[i] AS DOUBLE)))), 4) AS path, CAST(len(embedding) + 3 AS INTEGER) AS n, round(CAST(embedding[61] AS DOUBLE), 5) AS late FROM embeddings",
     "fn_map_arrays": "SELECT p_partkey, 'size' AS name, CAST(p_size AS DOUBLE) AS amount FROM part UNION ALL SELECT p_partkey, 'price', p_retailprice FROM part",
-    "udf_row": "SELECT n_nationkey, CAST(len(regexp_extract_all(upper(n_name), '[AEIOU]')) AS INTEGER) AS n FROM nation",
+    "udf_row": "SELECT p_partkey, CAST(len(regexp_extract_all(upper(p_name), '[AEIOU]')) AS INTEGER) AS n FROM part",
     "udf_aggregate": "SELECT s_nationkey, round(quantile_cont(s_acctbal, 0.75) - quantile_cont(s_acctbal, 0.25), 4) AS spread FROM supplier GROUP BY 1",
     "udf_grouped": "SELECT s_suppkey, round(s_acctbal - avg(s_acctbal) OVER (PARTITION BY s_nationkey), 4) AS off FROM supplier",
-    "udf_partition": "SELECT n_nationkey, length(n_name) AS n FROM nation",
+    "udf_partition": "SELECT c_custkey, length(c_name) AS n FROM customer",
     "udf_table": "SELECT p_partkey, CAST(i - 1 AS INTEGER) AS k, p[i] AS piece FROM (SELECT p_partkey, string_split(p_name, ' ') AS p, unnest(range(1, len(string_split(p_name, ' ')) + 1)) AS i FROM part)",
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemill.operators.slices import fresh
 from tidemill.sources.tables import table
 
 
@@ -85,6 +86,13 @@ def join_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").join(urgent, "c_custkey", "left_anti").select("c_custkey")
 
 
+def join_lateral(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each customer a subquery of their orders, which Spark turns into an aggregate and a join."""
+    orders = table(spark, sf_dir, "orders").where(F.col("o_custkey") == F.col("c_custkey").outer())
+    found = orders.select(F.count("*").alias("n"), F.max("o_totalprice").alias("top"), F.max_by("o_orderkey", F.struct("o_totalprice", "o_orderkey")).alias("dearest"))
+    return table(spark, sf_dir, "customer").lateralJoin(found).select("c_custkey", "n", "top", "dearest")
+
+
 def join_theta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations and regions by inequality; both sides have a fixed number of rows, and Spark sees to it that a small one is broadcast."""
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
@@ -98,10 +106,11 @@ def range_join(left: DataFrame, right: DataFrame, key: str, time: str, other: st
     and no others; ``left`` and ``right`` must have different columns but for the key.
     """
     bucket = lambda c: F.floor(F.unix_timestamp(F.col(c).cast("timestamp")) / seconds)
-    a = left.withColumn("bucket", bucket(time))
-    b = right.withColumn("bucket", F.explode(F.array(bucket(other), bucket(other) - 1)))
+    (name,) = fresh([*left.columns, *right.columns], "bucket")
+    a = left.withColumn(name, bucket(time))
+    b = right.withColumn(name, F.explode(F.array(bucket(other), bucket(other) - 1)))
     gap = F.col(other) - F.col(time)
-    return a.join(b, [key, "bucket"]).where((F.col(other) >= F.col(time)) & (gap <= F.make_dt_interval(secs=F.lit(seconds)))).drop("bucket")
+    return a.join(b, [key, name]).where((F.col(other) >= F.col(time)) & (gap <= F.make_dt_interval(secs=F.lit(seconds)))).drop(name)
 
 
 def join_range(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,7 +160,7 @@ def set_except_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (filter_project, exists_correlated, scalar_subquery, pivot_events, unpivot_lines, explode_words, join_inner, join_left, join_full, join_full_bounded, join_right, join_cross, join_anti, join_theta, join_range, sort_top, sort_top_by_group, set_union_all, set_union, set_intersect, set_except, set_except_all)
+    for f in (filter_project, exists_correlated, scalar_subquery, pivot_events, unpivot_lines, explode_words, join_inner, join_left, join_full, join_full_bounded, join_right, join_cross, join_anti, join_lateral, join_theta, join_range, sort_top, sort_top_by_group, set_union_all, set_union, set_intersect, set_except, set_except_all)
 }
 
 _A, _B = "SELECT c_nationkey AS k FROM customer", "SELECT s_nationkey AS k FROM supplier WHERE s_acctbal > 3000"
@@ -169,6 +178,7 @@ ORACLE_SQL = {
     "join_right": "SELECT n_name, s_suppkey FROM (SELECT * FROM supplier WHERE s_acctbal > 8000) RIGHT JOIN nation ON s_nationkey = n_nationkey",
     "join_cross": "SELECT a.r_name AS a, b.r_name AS b FROM region a, region b",
     "join_anti": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 250000)",
+    "join_lateral": "SELECT c_custkey, n, top, dearest FROM customer, LATERAL (SELECT count(*) AS n, max(o_totalprice) AS top, arg_max(o_orderkey, (o_totalprice, o_orderkey)) AS dearest FROM orders WHERE o_custkey = c_custkey)",
     "join_theta": "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey < r_regionkey",
     "join_range": "SELECT a.user_id, a.event_id AS click_id, b.event_id AS purchase_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 6 HOUR WHERE a.event_type = 'click' AND b.event_type = 'purchase'",
     "sort_top": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10",

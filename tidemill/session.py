@@ -40,6 +40,11 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+def application_folder(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables; other applications may share the root."""
+    return f"{shared_root(spark)}/tidemill/{spark.sparkContext.applicationId}"
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path below the folder that all executors share."""
-    return f"{shared_root(spark)}/tidemill/{name}-{uuid.uuid4().hex}"
+    return f"{application_folder(spark)}/{name}-{uuid.uuid4().hex}"

@@ -30,7 +30,7 @@ def source_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def source_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return through(table(spark, sf_dir, "nation").select(F.col("n_name").alias("value")), "text")
+    return through(table(spark, sf_dir, "part").select(F.col("p_name").alias("value")), "text")
 
 
 def source_partitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,14 +40,15 @@ def source_partitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def source_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return through(table(spark, sf_dir, "region"), "xml", rowTag="region")
+    return through(table(spark, sf_dir, "supplier"), "xml", rowTag="supplier")
 
 
 def source_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole files as bytes: the size of each text file written, one for each region."""
+    """Whole files as bytes: the size of the text files of the customers of each nation."""
     path = shared_folder(spark, "binary")
-    table(spark, sf_dir, "region").select(F.col("r_name").alias("value"), "r_regionkey").repartition("r_regionkey").write.partitionBy("r_regionkey").text(path)
-    return spark.read.format("binaryFile").load(path).select("r_regionkey", F.length("content").cast("long").alias("bytes"))
+    table(spark, sf_dir, "customer").select(F.col("c_name").alias("value"), "c_nationkey").repartition("c_nationkey").write.partitionBy("c_nationkey").text(path)
+    files = spark.read.format("binaryFile").load(path).select("c_nationkey", F.length("content").cast("long").alias("bytes"))
+    return files.groupBy("c_nationkey").agg(F.sum("bytes").alias("bytes"))
 
 
 QUERIES = {f.__name__: f for f in (source_csv, source_json, source_orc, source_text, source_partitioned, source_xml, source_binary)}
@@ -56,8 +57,8 @@ ORACLE_SQL = {
     "source_csv": "SELECT * FROM customer",
     "source_json": "SELECT * FROM supplier",
     "source_orc": "SELECT * FROM part",
-    "source_text": "SELECT n_name AS value FROM nation",
-    "source_xml": "SELECT * FROM region",
-    "source_binary": "SELECT r_regionkey, strlen(r_name) + 1 AS bytes FROM region",
+    "source_text": "SELECT p_name AS value FROM part",
+    "source_xml": "SELECT * FROM supplier",
+    "source_binary": "SELECT c_nationkey, CAST(sum(strlen(c_name) + 1) AS BIGINT) AS bytes FROM customer GROUP BY 1",
     "source_partitioned": "SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag FROM lineitem WHERE l_returnflag = 'R'",
 }
