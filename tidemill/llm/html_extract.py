@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -52,14 +53,63 @@ PRIOR_ELSE = 0.6
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)"
+    r"|<(script|style)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)"
     r"|([^<]+|<)",
     re.S | re.I,
 )
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 
+#: What stands for a tag that doesn't end; groups as in ``_TOKEN``.
+_NO_TAG = re.compile(r"()()()()</[^>]*(?:>|\Z)|(<)")
+
+
+class Ends:
+    """Which tags of a page end, when some don't: each quote and each ``>`` outside of quotes is looked at once for all that fail."""
+
+    def __init__(self, page: str):
+        self.names = [m.start() for m in re.finditer(r"[\s/>]", page)]
+        self.marks = [m.start() for m in re.finditer("[>\"']", page)]
+        self.signs = [page[x] for x in self.marks]
+        self.size = len(page)
+        self.closing, last = [-1] * len(self.marks), {}
+        for k in range(len(self.marks) - 1, -1, -1):
+            self.closing[k] = last.get(self.signs[k], -1)
+            last[self.signs[k]] = k
+        self.lost: set[int] = set()
+
+    def fails(self, at: int) -> bool:
+        """Whether the attributes of the tag that begins at ``at`` run into a quote that isn't closed."""
+        end = bisect_left(self.names, at + 2)
+        k, path = bisect_left(self.marks, self.names[end] if end < len(self.names) else self.size), []
+        while k < len(self.marks) and self.signs[k] != ">" and k not in self.lost:
+            path.append(k)
+            if self.closing[k] < 0:
+                break
+            k = self.closing[k] + 1
+        else:
+            if k >= len(self.marks) or self.signs[k] == ">":
+                return False
+        self.lost.update(path)
+        return True
+
+
+def _found(page: str) -> Iterator[re.Match]:
+    """The tokens of a page, in time in proportion to its length also where tags don't end."""
+    at, ends = 0, None
+    while at < len(page):
+        tag = page[at] == "<" and page[at + 1 : at + 3].lstrip("/")[:1].isalpha() and page[at + 1 : at + 3].isascii()
+        if tag and ends and ends.fails(at):
+            m = _NO_TAG.match(page, at)
+        else:
+            m = _TOKEN.match(page, at)
+            if tag and not ends and (m.end() == at + 1 or m[3] is None and m[1] is None and page[at + 1] == "/"):
+                ends = Ends(page)
+        yield m
+        at = m.end()
+
+
 #: Kind (``<`` or ``w``), label of the (innermost) element, label of the nearest marked one around it.
 Feature = tuple[str, str, str]
 
@@ -68,7 +118,8 @@ def tokens(page: str) -> Iterator[tuple[Feature, str, bool]]:
     """Feature, text (of a run of words or of white space), and whether it breaks the line; unshown text is none."""
     # label, name, nearest marked label around what stands in the element, whether its text is shown
     stack: list[tuple[str, str, str, bool]] = [("", "", "", True)]
-    for m in _TOKEN.finditer(page):
+    held: Counter = Counter()  # by name, so that an end tag without a start is known at once
+    for m in _found(page):
         label, _, around, shown = stack[-1]
         if m[5] is not None:
             if shown:
@@ -79,22 +130,26 @@ def tokens(page: str) -> Iterator[tuple[Feature, str, bool]]:
             continue
         if m[2]:
             label = name
-            for at in range(len(stack) - 1, 0, -1):
-                if stack[at][1] == name:
-                    label, around = stack[at][0] or name, stack[at - 1][2]
-                    del stack[at:]
-                    break
+            if held[name]:
+                while True:
+                    own, closed, _, _ = stack.pop()
+                    held[closed] -= 1
+                    if closed == name:
+                        break
+                label, around = own or name, stack[-1][2]
             yield ("<", "/" + (MARK if name == MARK else label), around), "", name not in INLINE
             continue
         if stack[-1][1] == "head" and name not in HEAD_PARTS:
-            stack.pop()
+            held[stack.pop()[1]] -= 1
             label, _, around, shown = stack[-1]
         names = " ".join(x.strip("\"'") for x in _NAMES.findall(m[4])) if m[4] else ""
         own = f"{name}.{names}" if names else name
         yield ("<", MARK if name == MARK else own, around), "", name not in INLINE
         if name == MARK:
+            held[name] += 1
             stack.append((label, name, around, shown))
         elif name not in VOID:
+            held[name] += 1
             stack.append((own, name, own if names or name in SECTIONS else around, shown and name not in UNSHOWN))
 
 
@@ -106,20 +161,22 @@ def count(page: str) -> Counter:
     such parts count as inside: content goes on behind them.
     """
     seen: Counter = Counter()
-    inside, beside = 0, []
+    inside, beside, held = 0, [], Counter()
     for feature, text, _ in tokens(page):
         kind, label, _around = feature
         name = label.lstrip("/").split(".")[0]
         if kind == "<" and name == MARK:
             inside = max(0, inside + (-1 if label[0] == "/" else 1))
-            beside = []
+            beside, held = [], Counter()
             continue
         if kind == "<" and inside and name in BESIDE and label[0] != "/":
             beside.append(name)
+            held[name] += 1
         if kind == "<" or not text.isspace():
             seen[feature, inside > 0 if kind == "<" else inside == 1 and not beside] += len(text.split()) if kind == "w" else 1
-        if kind == "<" and label[0] == "/" and name in beside:
-            del beside[beside.index(name) :]
+        if kind == "<" and label[0] == "/" and held[name]:
+            while held[name]:  # to the first of that name
+                held[beside.pop()] -= 1
     return seen
 
 
