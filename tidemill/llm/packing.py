@@ -5,8 +5,9 @@ histogram of at most ``capacity`` bins. A configuration linear program over it
 (which multisets of lengths fill a sequence, and how often each is used) is
 solved by multiplicative weights: each length has a price that falls as it gets
 covered, and a knapsack dynamic program finds the dearest configurations. The
-solution is rounded down, what is left is packed best-fit decreasing, and the
-pieces of each length are dealt to the slots by rank.
+solution is rounded down and what is left is packed best-fit decreasing; if all pieces
+packed best-fit decreasing need fewer sequences, that plan is taken. The pieces of
+each length are dealt to the slots by rank.
 
 Only the histogram and the configurations, both bounded by the capacity, are on
 the driver; pieces stay on the executors.
@@ -114,7 +115,7 @@ def knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[np
     for room in range(1, capacity + 1):
         if fits[room]:
             worth = best[room - lengths[: fits[room]]] + prices[: fits[room]]
-            k = int(worth.argmax())
+            k = len(worth) - 1 - int(worth[::-1].argmax())  # of equal ones the longest, so that short lengths are left to fill up with
             best[room], take[room] = worth[k], lengths[k]
     return best, take
 
@@ -155,7 +156,14 @@ def configurations(histogram: dict[int, int], capacity: int = CAPACITY, rounds:
             out.append((key, n))
             for a, b in zip(held.tolist(), times.tolist(), strict=True):
                 left[a] -= n * b
-    return out + best_fit(left, capacity)
+    solved, plain = out + best_fit(left, capacity), best_fit(histogram, capacity)
+    # rounding may cost more than the program gains, as where lengths are so spread that best-fit leaves next to nothing
+    return min(solved, plain, key=lambda plan: sum(times for _, times in plan))
+
+
+def least_sequences(histogram: dict[int, int], capacity: int = CAPACITY) -> int:
+    """A bound from below: as many sequences as the tokens fill, and no fewer than pieces of over half the capacity."""
+    return max(-(-sum(n * k for n, k in histogram.items()) // capacity), sum(k for n, k in histogram.items() if 2 * n > capacity))
 
 
 def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
