@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that results or intermediate tables have; the input's columns of that name must not matter.
-CLASHING = ("kept", "shard", "slot", "sequence_id", "length", "n_lines", "row", "key", "id", "bucket", "ids", "h", "line", "turn", "score")
+CLASHING = ("kept", "shard", "slot", "sequence_id", "length", "n_lines", "row", "key", "id", "bucket", "ids", "h", "line", "turn", "score", "gone", "gone_id", "gone_xh", "xh", "at", "times", "r1", "r2", "r", "copy", "other_id", "other_hash", "comp", "text_hash", "scored", "_scored", "part", "fp", "owner", "piece", "start", "rank", "before", "first", "late")
 
 
 def words(rng, n, letters="abcdefghij"):

@@ -17,7 +17,7 @@ from .test_dedup import brute_components, distance
 
 def test_registered():
     found = __spark_entry__.queries()
-    assert "pipeline" in found and sum(k.startswith("op") for k in found) == 10
+    assert "pipeline" in found and sum(k.startswith("op") for k in found) == 13
     assert [k for k, _ in corpus_pipeline.STAGES] == ["language ID", "line dedup", "MinHash near-dedup", "best-fit packing"]
 
 
@@ -107,3 +107,12 @@ def test_run_against_brute_force(spark, small, tmp_path):
 def test_run(spark, small):
     got = corpus_pipeline.run(spark, small).collect()
     assert len({r.doc_id for r in got}) > 100 and sum(r.length for r in got) <= 2048 * len({r.sequence_id for r in got})
+
+
+def test_pipeline_of_nothing(spark, nothing, tmp_path):
+    """An empty table goes through all stages."""
+    from .conftest import SCHEMA
+
+    nothing.select(*(c.split()[0] for c in SCHEMA.split(", "))).write.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == 0 and "sequence_id" in out.columns

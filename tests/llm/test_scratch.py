@@ -24,8 +24,8 @@ def test_only_measured_tables_are_broadcast(spark):
 
 def test_clear(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(session, "shared_root", lambda _: str(tmp_path))
-    monkeypatch.setattr(scratch, "shared_root", lambda _: str(tmp_path))
+    (tmp_path / "tidemill" / "other").mkdir(parents=True)  # another application's
     table = scratch.table(spark.range(3), "numbers")
-    assert table.count() == 3 and os.listdir(tmp_path / "tidemill")
+    assert table.count() == 3 and len(os.listdir(tmp_path / "tidemill")) == 2
     scratch.clear(spark)
-    assert not (tmp_path / "tidemill").exists()
+    assert os.listdir(tmp_path / "tidemill") == ["other"]

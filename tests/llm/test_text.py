@@ -67,6 +67,47 @@ def test_configurations_hold_the_histogram(seed):
     assert sum(t for _, t in plan) <= least * 1.02 + 2
 
 
+@pytest.mark.parametrize("histogram", [{n: 50 for n in range(1, 257)}, {85: 90, 86: 70, 171: 60, 40: 300, 1: 5}, {100: 9, 70: 9, 43: 9, 30: 7}, {256: 3}, {1: 1000}])
+def test_packing_is_no_worse_than_best_fit(histogram):
+    used = sum(k for _, k in packing.configurations(histogram, 256))
+    assert packing.least_sequences(histogram, 256) <= used <= sum(k for _, k in packing.best_fit(histogram, 256))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 12), min_size=1, max_size=8))
+def test_packing_of_few_pieces_against_every_way(lengths):
+    """At most one sequence more than the fewest of all ways."""
+
+    def fewest(rest, rooms):
+        if not rest:
+            return len(rooms)
+        n, after = rest[0], rest[1:]
+        best = fewest(after, [*rooms, 12 - n])
+        for k in {r: i for i, r in enumerate(rooms) if r >= n}.values():
+            best = min(best, fewest(after, [*rooms[:k], rooms[k] - n, *rooms[k + 1 :]]))
+        return best
+
+    used = sum(k for _, k in packing.configurations(Counter(lengths), 12))
+    assert packing.least_sequences(Counter(lengths), 12) <= fewest(lengths, []) <= used <= fewest(lengths, []) + 1
+
+
+@pytest.mark.parametrize("page", ["<p>word " * 80_000 + "</b>" * 80_000, "<a " * 300_000 + "'", "<a \"" * 200_000 + "'", "<li>x " * 160_000, "<" + "a" * 900_000 + " '", "<a" * 400_000 + " '", "</a " * 200_000 + "'", "<article>" + "<form>" * 70_000 + "</nav>" * 70_000, "<a b=\"c' d>" * 80_000 + '"'])
+def test_broken_markup_takes_time_in_proportion(page):
+    """Pages of about a megabyte that took minutes to hours when each tag looked for its own end."""
+    import time
+
+    start = time.time()
+    html_extract.count(page)
+    html_extract.main_text(page, html_extract.Shares())
+    assert time.time() - start < 60
+
+
+def test_tags_without_an_end_are_text():
+    seen = [text for f, text, _ in html_extract.tokens("<p>one <a 'two <b>three") if f[0] == "w"]
+    assert "".join(seen) == "one <a 'two three"
+    assert [f[1] for f, _, _ in html_extract.tokens("<div><p>a</b></p></div>") if f[0] == "<"] == ["div", "p", "/b", "/p", "/div"]
+
+
 def test_packing_of_odd_rows(odd):
     from tokenizers import Tokenizer
 

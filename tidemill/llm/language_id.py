@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm import scratch, words
+from tidemill.operators.slices import fresh
 
 MARK = "▁"
 #: Labelled rows of a language in training; rounds of expectation maximisation.
@@ -332,8 +333,9 @@ def annotate(docs: DataFrame, model: Model | None) -> DataFrame:
     # said to be nondeterministic, or a filter on the result would score each text again
     score = F.arrow_udf(work, "struct<lang_pred string, score double>").asNondeterministic()
     docs = docs.drop("lang_pred", "score")
-    found = docs.withColumn("_scored", score(F.col("text").cast("string")))
-    return found.select(*docs.columns, "_scored.lang_pred", "_scored.score")
+    (name,) = fresh(docs.columns, "scored")
+    found = docs.withColumn(name, score(F.col("text").cast("string")))
+    return found.select(*docs.columns, f"{name}.lang_pred", f"{name}.score")
 
 
 def predict(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:

@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm import scratch
+from tidemill.operators.slices import fresh
 
 EDITS = 2
 #: The least that can be cut into EDITS + 1 segments.
@@ -212,14 +213,15 @@ def deduplicate(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CH
     again = repeated.join(late.withColumn("late", F.lit(True)), ["l1", "l2"], "full")
     again = scratch.table(again, "lines_to_drop")
     gone = seen.join(scratch.sized(again, limit=200_000), ["l1", "l2"]).where(F.coalesce("late", F.lit(False)) | ~place.eqNullSafe(F.col("first")))
-    gone = gone.groupBy("doc_id", "xh").agg(F.collect_set("at").alias("gone"))
-    gone = scratch.table(gone.select(F.col("doc_id").alias("gone_id"), F.col("xh").alias("gone_xh"), "gone"), "dropped_lines")
-
     docs = docs.drop("n_lines", "n_dropped")
+    places, gone_id, gone_xh = fresh(docs.columns, "gone", "gone_id", "gone_xh")
+    gone = gone.groupBy("doc_id", "xh").agg(F.collect_set("at").alias(places))
+    gone = scratch.table(gone.select(F.col("doc_id").alias(gone_id), F.col("xh").alias(gone_xh), places), "dropped_lines")
+
     text = F.col("text").cast("string")
-    same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64(text) == F.col("gone_xh"))
+    same = F.col("doc_id").eqNullSafe(F.col(gone_id)) & (F.xxhash64(text) == F.col(gone_xh))
     joined = docs.join(scratch.sized(gone, limit=200_000), same, "left")
     parts = F.split(text, "\n")
-    kept = F.concat_ws("\n", F.filter(parts, lambda x, i: ~F.array_contains("gone", i)))
-    cleaned = F.when(F.col("gone").isNull(), text).otherwise(kept).alias("text")
-    return joined.select(*(cleaned if c == "text" else docs[c] for c in docs.columns), F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"))
+    kept = F.concat_ws("\n", F.filter(parts, lambda x, i: ~F.array_contains(places, i)))
+    cleaned = F.when(F.col(places).isNull(), text).otherwise(kept).alias("text")
+    return joined.select(*(cleaned if c == "text" else docs[c] for c in docs.columns), F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size(places), F.lit(0)).cast("long").alias("n_dropped"))

@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm import graph, scratch, words
+from tidemill.operators.slices import fresh
 
 SHINGLE, PERCENT = 5, 80
 BANDS, ROWS = 24, 4
@@ -299,11 +300,12 @@ def distinct(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
     best = scratch.table(best.select("comp", F.col("best.doc_id").alias("best_id"), F.col("best.text_hash").alias("best_hash"), F.col("best.n").alias("times")), "kept_rows")
     is_best = F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("text_hash") == F.col("best_hash"))
     gone = pairs.join(scratch.sized(best.select("comp", "best_id", "best_hash")), "comp").where(~is_best)
-    gone = scratch.table(gone.select(F.col("doc_id").alias("other_id"), F.col("text_hash").alias("other_hash")), "dropped_rows")
-    again = scratch.table(best.where("times > 1").select(F.col("best_id").alias("other_id"), F.col("best_hash").alias("other_hash")), "repeated_rows")
+    other_id, other_hash = fresh(docs.columns, "other_id", "other_hash")
+    gone = scratch.table(gone.select(F.col("doc_id").alias(other_id), F.col("text_hash").alias(other_hash)), "dropped_rows")
+    again = scratch.table(best.where("times > 1").select(F.col("best_id").alias(other_id), F.col("best_hash").alias(other_hash)), "repeated_rows")
 
     text_hash = F.xxhash64(F.col("text").cast("string"))
-    same = F.col("doc_id").eqNullSafe(F.col("other_id")) & (text_hash == F.col("other_hash"))
+    same = F.col("doc_id").eqNullSafe(F.col(other_id)) & (text_hash == F.col(other_hash))
     single = docs.join(scratch.sized(gone.union(again)), same, "left_anti")
     repeated = docs.join(scratch.sized(again), same, "left_semi").groupBy("doc_id", text_hash.alias("h")).agg(F.min(F.struct(*docs.columns)).alias("r"))
     return single.union(repeated.select("r.*"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemill.session import shared_folder, shared_root
+from tidemill.session import application_folder, shared_folder
 
 #: A side of a join with at most so many bytes, as counted in all its rows, may be broadcast.
 BROADCAST_BYTES = 16 << 20
@@ -26,8 +26,8 @@ def table(df: DataFrame, name: str) -> DataFrame:
 
 
 def clear(spark: SparkSession) -> None:
-    """Delete all intermediate tables in the session's shared folder; results that still read them must be written before."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/tidemill")
+    """Delete all intermediate tables of this application; results that still read them must be written before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(application_folder(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

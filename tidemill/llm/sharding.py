@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemill.llm import scratch
+from tidemill.operators.slices import fresh
 
 SHARDS = 8
 SEED = 20_240_229
@@ -42,29 +43,31 @@ def rendezvous(key: Column, shards: int, seed: int) -> Column:
     return F.greatest(*(F.struct(F.xxhash64(key, F.lit(seed), F.lit(k)).alias("h"), F.lit(k).alias("k")) for k in range(shards)))["k"] if shards > 1 else F.lit(0)
 
 
-def apart(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``copy``: 0, and for the copies of a record that is there n times 0 to n - 1."""
+def apart(docs: DataFrame, copy: str) -> DataFrame:
+    """``docs`` with a column ``copy``: 0, and for the copies of a record that is there n times 0 to n - 1."""
     names = docs.columns
-    marks = [F.xxhash64(*names).alias("r1"), F.xxhash64(F.lit(SEED), *names).alias("r2")]
-    times = docs.select(*marks).groupBy("r1", "r2").agg(F.count("*").alias("times")).where("times > 1")
+    r1, r2, n = fresh([*names, copy], "r1", "r2", "times")
+    marks = [F.xxhash64(*names).alias(r1), F.xxhash64(F.lit(SEED), *names).alias(r2)]
+    times = docs.select(*marks).groupBy(r1, r2).agg(F.count("*").alias(n)).where(F.col(n) > 1)
     times = scratch.table(times, "repeated_records")
     if times.isEmpty():
-        return docs.withColumn("copy", F.lit(0).cast("long"))
+        return docs.withColumn(copy, F.lit(0).cast("long"))
     marked, known = docs.select("*", *marks), scratch.sized(times)
-    single = marked.join(known, ["r1", "r2"], "left_anti").select(*names, F.lit(0).cast("long").alias("copy"))
+    single = marked.join(known, [r1, r2], "left_anti").select(*names, F.lit(0).cast("long").alias(copy))
     # collapses before its shuffle
-    one = marked.join(known, ["r1", "r2"]).groupBy("r1", "r2", "times").agg(F.first(F.struct(*names)).alias("r"))
-    return single.unionByName(one.select("r.*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)).alias("copy")))
+    one = marked.join(known, [r1, r2]).groupBy(r1, r2, n).agg(F.first(F.struct(*names)).alias("r"))
+    return single.unionByName(one.select("r.*", F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).alias(copy)))
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """The rows of ``docs`` with ``shard``, ``slot`` (gapless from 0 in each shard), ``grown_shard`` and ``bucket``, a partition for each bucket."""
-    docs = docs.drop("shard", "slot", "grown_shard", "bucket", "copy")
+    docs = docs.drop("shard", "slot", "grown_shard", "bucket")
     names = docs.columns
+    (copy,) = fresh(names, "copy")
     total = docs.agg(F.sum(size_of()).alias("n")).first()["n"] or 0
     buckets = max(1, round(total / shards / bucket_bytes))
-    docs = apart(docs)
-    own, other = (F.xxhash64(F.lit(seed + k), *names, "copy") for k in (0, 1))
+    docs = apart(docs, copy)
+    own, other = (F.xxhash64(F.lit(seed + k), *names, copy) for k in (0, 1))
     bucket = (rendezvous(F.col("doc_id"), shards, seed) * buckets + F.pmod(own, F.lit(buckets))).cast("int").alias("bucket")
     counts = scratch.table(docs.select(bucket).groupBy("bucket").count(), "bucket_sizes")
     before = Window.partitionBy(F.floor(F.col("bucket") / buckets)).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
