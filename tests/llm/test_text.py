@@ -357,6 +357,31 @@ def test_hot_group_keeps_its_lexicon_terms(spark, changed):
     assert not whole.startswith("=") and fingerprint.likeness(whole, near) > 0.5 > fingerprint.likeness(whole, far)
 
 
+@pytest.mark.parametrize("n", [1, 30, 1000, 50_000])
+def test_group_sketch_counts_keys(spark, n):
+    """Distinct keys by the sketch, against their number; merged of two halves that overlap, it is the same."""
+    keys = np.random.default_rng(n).integers(0, 2**64, n, np.uint64)
+
+    def counted(places):
+        rows = Counter(int(p) // fingerprint.BITS for p in set(places.tolist()))
+        levels = spark.createDataFrame(list(rows.items()), "level int, filled long")
+        return levels.agg(fingerprint.sketched_groups(F.col("filled"), F.col("level"))).first()[0]
+
+    places = fingerprint.sketch_places(keys)
+    assert abs(counted(places) - n) <= max(1, 0.25 * n)
+    assert counted(np.concatenate((places[n // 3 :], places[: 2 * n // 3]))) == counted(places)
+
+
+def test_fingerprints_dont_depend_on_partitions(spark, small):
+    """In 1, 7 and 40 partitions, in any order: the lexicon and all fingerprints are the same."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    dealt = [docs.coalesce(1), docs.repartition(7), docs.repartition(40).sortWithinPartitions(F.xxhash64("doc_id"))]
+    lexicons = [fingerprint.lexicon(d).tolist() for d in dealt]
+    assert lexicons[0] and lexicons[0] == lexicons[1] == lexicons[2]
+    found = [{r.doc_id: r[1:] for r in fingerprint.fingerprint(d).select("doc_id", "fingerprint", "edited_fingerprint", "next_fingerprint").collect()} for d in dealt]
+    assert len(found[0]) == docs.count() and found[0] == found[1] == found[2]
+
+
 def test_every_subset_is_hashed_whole():
     """The hashes against sets: equal exactly where the terms of a text in a subset are equal, whatever their number."""
     rng = random.Random(5)
