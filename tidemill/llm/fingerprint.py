@@ -6,7 +6,9 @@ edge is a share of the groups of copies and near copies (rows with equal ``KEY_T
 smallest term hashes): a term counts once for a group in which any row has it, so that a
 group, however large, can't push its own terms out of the band. The groups of a term are
 counted by a sketch of all their keys, bitmaps of falling shares of the keys, that merges
-by OR: about 6 % off, but a function of the rows alone. So the lexicon and the fingerprints
+by OR. The bitmaps that all keys together fill too much are useless for any term, and what fills them
+in a part of the rows fills them in all; so a task drops them early. An estimate is about 5 % off
+at the edge, but a function of the rows alone: the lexicon and the fingerprints
 don't depend on how rows are dealt to partitions or in what order they come.
 
 From the lexicon come random subsets: ``CHAINS`` chains of nested ones with falling
@@ -47,7 +49,7 @@ CHAINS, SHARES = 32, (1 / 8, 1 / 64, 1 / 512)
 #: Smallest term hashes that make the key of a group of near copies.
 KEY_TERMS = 4
 #: A sketch of group keys has so many levels of so many bits; a level with a larger share of its bits set isn't read.
-LEVELS, BITS, FULL = 32, 128, 0.7
+LEVELS, BITS, FULL = 32, 512, 0.7
 #: Text bytes looked at together, and bytes of terms that a worker remembers: small, as each text is there twice.
 SLICE_BYTES, REMEMBERED = 2 << 20, 48 << 20
 _M = np.random.default_rng(7)
@@ -115,59 +117,75 @@ def sketch_places(keys: np.ndarray) -> np.ndarray:
     return level * BITS + (mixed % np.uint64(BITS)).astype(np.int64)
 
 
-def sketched_groups(filled: Column, level: Column) -> Column:
+def base_level(filled: np.ndarray) -> int:
+    """The first level that is read, from the number of set bits by level in the sketch of all keys: that above the last one that is too full."""
+    return int(np.flatnonzero(np.append(True, filled > FULL * BITS))[-1])
+
+
+def sketched_groups(filled: Column, level: Column, base: int) -> Column:
     """Aggregate: the number of keys in a sketch, from a row for each level with the number of its bits that are set.
 
-    The levels above the last one that is too full are read: each by its empty bits, in whole
-    millionths, so that the sum doesn't depend on the order; together they have a known share of the keys.
+    The levels from ``base`` on are read: each by its empty bits, in whole millionths, so that the
+    sum doesn't depend on the order; together they have 2**-base of the keys.
     """
-    base = F.max(F.when(filled > FULL * BITS, level + 1).otherwise(0))
-    keys = F.when(filled < BITS, F.round(F.log1p(-filled / BITS) * (-BITS * 1_000_000))).cast("long")
-    read = F.filter(F.collect_list(F.struct(level.alias("level"), keys.alias("keys"))), lambda x: x["level"] >= base)
-    total = F.aggregate(read, F.lit(0).cast("long"), lambda sum_, x: sum_ + x["keys"])
-    return F.round(F.pow(F.lit(2.0), base) * total / 1_000_000).cast("long")
+    keys = F.round(F.log1p(-filled / BITS) * (-BITS * 1_000_000)).cast("long")
+    return F.round(F.coalesce(F.sum(F.when(level >= base, keys)), F.lit(0)) * 2.0**base / 1_000_000).cast("long")
 
 
 def lexicon(docs: DataFrame, least: float = LEAST_SHARE, most: float = MOST_SHARE) -> np.ndarray:
     """Sorted hashes of the terms within the band: in enough of all rows, and in not too many groups of near copies."""
-    places, words_of = LEVELS * BITS, LEVELS * BITS // 64
+    places, cells_each = LEVELS * BITS, LEVELS * BITS // 64
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, df, pairs = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        waiting: list[tuple[np.ndarray, ...]] = []
+        everyone, base = np.zeros((LEVELS, BITS), bool), 0
 
         def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            values, at = np.unique(np.concatenate([seen, *(x for x, _ in waiting)]), return_inverse=True)
+            values, at = np.unique(np.concatenate([seen, *(x for x, _, _ in waiting)]), return_inverse=True)
             own, new = at[: len(seen)], at[len(seen) :]
             times = np.bincount(new, minlength=len(values))
             times[own] += df
-            where = np.concatenate([pairs[:0], *(x for _, x in waiting)])
-            return values, times, np.unique(np.concatenate((own[pairs // places] * places + pairs % places, new * places + where)))
+            ends = np.cumsum([0, *(len(x) for x, _, _ in waiting)])
+            found = [own[pairs // places] * places + pairs % places, *(new[start + at] * places + where for start, (_, at, where) in zip(ends, waiting))]
+            pairs_ = np.unique(np.concatenate(found))
+            return values, times, pairs_[pairs_ % places >= base * BITS]
 
         for batch in batches:
             for part in words.slices(batch, "text", SLICE_BYTES):
                 owner, term = distinct_terms(words.texts(part, "text"))
                 place = sketch_places(group_keys(owner, term, part.num_rows))
+                everyone.flat[place] = True
+                base = base_level(everyone.sum(1))
                 # term 0, which is no term, stands for all rows
-                waiting.append((np.append(term, np.zeros(part.num_rows, np.uint64)), np.append(place[owner], place)))
-                if sum(len(x) for x, _ in waiting) > 1_000_000:
+                term, place = np.append(term, np.zeros(part.num_rows, np.uint64)), np.append(place[owner], place)
+                read = np.flatnonzero(place >= base * BITS)
+                waiting.append((term, read, place[read]))
+                if sum(len(x) for x, _, _ in waiting) > 1_000_000:
                     seen, df, pairs = merged()
                     waiting = []
         seen, df, pairs = merged()
-        if len(pairs):
+        if len(seen):
+            # a row of cell -1 for each term with its number of rows, then one for each 64 bits of a sketch that aren't empty
             first = np.flatnonzero(np.diff(pairs // 64, prepend=-1))
-            bits = np.bitwise_or.reduceat(np.uint64(1) << (pairs % 64).astype(np.uint64), first).view(np.int64)
-            at, cell = np.divmod(pairs[first] // 64, words_of)
-            rows = np.where(np.diff(at, prepend=-1) != 0, df[at], 0)  # with a term's first cell alone
-            yield pa.RecordBatch.from_arrays([pa.array(seen[at].view(np.int64)), pa.array(cell.astype(np.int32)), pa.array(rows.astype(np.int64)), pa.array(bits)], names=["term", "cell", "df", "bits"])
+            bits = np.bitwise_or.reduceat(np.uint64(1) << (pairs % 64).astype(np.uint64), first) if len(pairs) else np.zeros(0, np.uint64)
+            at, cell = np.divmod(pairs[first] // 64, cells_each)
+            terms = np.concatenate((seen, seen[at])).view(np.int64)
+            cell = np.concatenate((np.full(len(seen), -1), cell)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(cell), pa.array(np.append(df, np.zeros(len(at), np.int64))), pa.array(np.append(np.zeros(len(seen), np.uint64), bits).view(np.int64))], names=["term", "cell", "df", "bits"])
 
     counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(words.returning(count), "term long, cell int, df long, bits long")
-    cells = scratch.table(counts.groupBy("term", "cell").agg(F.sum("df").alias("df"), F.bit_or("bits").alias("bits")), "cells")
-    total = cells.where("term = 0").agg(F.sum("df").alias("n")).first()["n"] or 0
-    often = scratch.table(cells.groupBy("term").agg(F.sum("df").alias("df")).where(F.col("df") >= max(2, least * total)).select("term"), "often")
+    cells = scratch.table(counts.groupBy("term", "cell").agg(F.sum("df").alias("df"), F.bit_or("bits").alias("bits")).where("df > 1 OR cell >= 0 OR term = 0"), "cells")
+    total = (cells.where("term = 0 AND cell = -1").first() or {"df": 0})["df"]
+    often = scratch.table(cells.where((F.col("cell") == -1) & (F.col("df") >= max(2, least * total))).select("term"), "often")
     level = F.floor(F.col("cell") * 64 / BITS).cast("int").alias("level")
-    levels = cells.join(scratch.sized(often), "term", "left_semi").groupBy("term", level).agg(F.sum(F.bit_count("bits")).alias("filled"))
-    groups = scratch.table(levels.groupBy("term").agg(sketched_groups(F.col("filled"), F.col("level")).alias("groups")), "groups")
+    levels = cells.where("cell >= 0").join(scratch.sized(often), "term", "left_semi").groupBy("term", level).agg(F.sum(F.bit_count("bits")).alias("filled"))
+    levels = scratch.table(levels, "levels")
+    everyone = np.zeros(LEVELS)
+    for row in levels.where("term = 0").collect():
+        everyone[row["level"]] = row["filled"]
+    groups = often.join(levels, "term", "left").groupBy("term").agg(sketched_groups(F.col("filled"), F.col("level"), base_level(everyone)).alias("groups"))
+    groups = scratch.table(groups, "groups")
     apart = groups.where("term = 0").first()
     kept = groups.where((F.col("groups") <= max(2, most * (apart["groups"] if apart else 0))) & (F.col("term") != 0)).select("term")
     return np.sort(kept.toPandas()["term"].to_numpy(np.int64).view(np.uint64))
