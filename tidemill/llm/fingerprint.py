@@ -7,7 +7,7 @@ smallest term hashes): a term counts once for a group in which any row has it, s
 group, however large, can't push its own terms out of the band. The groups of a term are
 counted by a sketch of all their keys, bitmaps of falling shares of the keys, that merges
 by OR. The bitmaps that all keys together fill too much are useless for any term, and what fills them
-in a part of the rows fills them in all; so a task drops them early. An estimate is about 5 % off
+in a part of the rows fills them in all; so a task drops them early. An estimate is some 7 % off
 at the edge, but a function of the rows alone: the lexicon and the fingerprints
 don't depend on how rows are dealt to partitions or in what order they come.
 
