@@ -42,6 +42,19 @@ def test_exact_dedup_with_short_fingerprints(odd):
     assert sorted(map(key, exact_dedup.deduplicate(odd, bits=12).collect())) == sorted(map(key, exact_dedup.deduplicate(odd).collect()))
 
 
+def test_exact_dedup_in_small_parts(odd):
+    """A partition in many parts: copies within a part, between the parts of a partition and between partitions."""
+    key = lambda r: (str(r.doc_id), str(r.keep_id), r.group_size, r.kept, r.text_sha256)
+    want = sorted(map(key, exact_dedup.deduplicate(odd).collect()))
+    for parts in (1, 5):
+        assert sorted(map(key, exact_dedup.deduplicate(odd, part_rows=parts).collect())) == want
+
+
+def test_owners_follow_the_rows():
+    assert [exact_dedup.owners_of(n, 8) for n in (0, 10**6, 8 * exact_dedup.OWNER_ROWS, 8 * exact_dedup.OWNER_ROWS + 1)] == [8, 8, 8, 16]
+    assert 10**10 / exact_dedup.owners_of(10**10, 200) <= exact_dedup.OWNER_ROWS
+
+
 def brute_components(rows, k, percent):
     sets = []
     for _, t in rows:

@@ -1,13 +1,15 @@
 """Exact deduplication by an exchange of Golomb-coded fingerprints.
 
-Each partition hashes its normalised texts, sorts the distinct fingerprints and
-sends them, Golomb-Rice coded, to the owners of their ranges. An owner decodes
-what it got and answers each partition with a bitmap of the fingerprints that
-another partition has too. Only the rows so suspected are then grouped by the
+Each part of a partition (``PART_ROWS`` rows or little more) hashes its normalised
+texts, sorts the distinct fingerprints and sends them, Golomb-Rice coded, to the
+owners of their ranges, of which there are as many as the rows need. An owner decodes
+what it got and answers each part with a bitmap of the fingerprints that
+another part has too. Only the rows so suspected are then grouped by the
 bytes of their normalised texts; all other rows are known to be unique.
 
 Texts never move for the comparison of fingerprints, a group of copies collapses
-before its shuffle, and what is exchanged is a few bytes a row.
+before its shuffle, and what is exchanged is a few bytes a row. A task holds the fingerprints of one part or
+one owner, however large the table and its partitions are.
 
 Defined results: null counts as the empty text; texts that are equal after white
 space ``[\\x20\\x09-\\x0D]`` is deleted are copies, empty ones too; of copies the
@@ -32,6 +34,10 @@ from tidemill.llm import scratch, words
 WHITE = b" \t\n\x0b\x0c\r"
 #: A shorter fingerprint means fewer bytes exchanged and more rows suspected in vain.
 BITS = 48
+#: Rows after which a partition begins a new part.
+PART_ROWS = 1 << 20
+#: Fingerprints of an owner, on average, at most.
+OWNER_ROWS = 1 << 21
 
 
 def code(values: np.ndarray) -> tuple[int, bytes, bytes]:
@@ -54,16 +60,33 @@ def decode(count: int, width: int, unary: bytes, rest: bytes) -> np.ndarray:
     return np.cumsum(gaps + 1) - 1
 
 
-def hashed(docs: DataFrame, owners: int, bits: int = BITS) -> DataFrame:
-    """A row for each document (``row`` numbers them), and for each partition and owner a coded list (``owner`` is not null)."""
+def owners_of(rows: int, least: int) -> int:
+    """Owners for a table of so many rows: a power of two, at least ``least``, with no more than ``OWNER_ROWS`` rows for each."""
+    return 1 << (max(least, -(-rows // OWNER_ROWS), 1) - 1).bit_length()
+
+
+def hashed(docs: DataFrame, owners: int, bits: int = BITS, part_rows: int = PART_ROWS) -> DataFrame:
+    """A row for each document (``row`` numbers them), and for each part and owner a coded list (``owner`` is not null)."""
     doc_id = docs.schema["doc_id"].dataType
     share = bits - (owners.bit_length() - 1)  # bits within an owner's range
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, row, seen, ids = TaskContext.get().partitionId(), 0, [], None
+        task, row, seen, waiting, ids = TaskContext.get().partitionId(), 0, [], 0, None
+        part = task << 24
         names = ["part", "row", "doc_id", "n_chars", "sha", "fp", "owner", "count", "width", "unary", "rest"]
+
+        def lists() -> pa.RecordBatch:
+            """The coded lists of the part that ends here."""
+            values = np.unique(np.concatenate(seen))
+            owner = values >> share
+            first = np.flatnonzero(np.diff(owner, prepend=-1))
+            coded = [(int(owner[a]), len(x), *code(x - (owner[a] << share))) for a, x in zip(first, np.split(values, first[1:]), strict=True)]
+            n = len(coded)
+            columns = [pa.array(x, t) for x, t in zip(zip(*coded, strict=True), [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int64)), pa.nulls(n, pa.int64()), pa.nulls(n, ids), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), *columns], names=names)
+
         for batch in batches:
             ids = batch["doc_id"].type
             for piece in words.slices(batch, "text"):
@@ -71,24 +94,21 @@ def hashed(docs: DataFrame, owners: int, bits: int = BITS) -> DataFrame:
                 digests = [hashlib.sha256(x.translate(None, WHITE)).digest() for x in text.cast(pa.binary()).to_pylist()]
                 fp = (np.frombuffer(b"".join(digests), ">u8")[::4] >> np.uint64(64 - bits)).astype(np.int64)
                 seen.append(fp)
-                columns = [pa.array(np.full(n, part, np.int32)), pa.array((part << 36) + row + np.arange(n)), piece["doc_id"], pc.utf8_length(text).cast(pa.int64()), pa.array(digests, pa.binary()), pa.array(fp)]
-                row += n
+                columns = [pa.array(np.full(n, part, np.int64)), pa.array((task << 36) + row + np.arange(n)), piece["doc_id"], pc.utf8_length(text).cast(pa.int64()), pa.array(digests, pa.binary()), pa.array(fp)]
+                row, waiting = row + n, waiting + n
                 yield pa.RecordBatch.from_arrays([*columns, pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names=names)
-        if seen:
-            values = np.unique(np.concatenate(seen))
-            owner = values >> share
-            first = np.flatnonzero(np.diff(owner, prepend=-1))
-            coded = [(int(owner[a]), len(x), *code(x - (owner[a] << share))) for a, x in zip(first, np.split(values, first[1:]), strict=True)]
-            n = len(coded)
-            owner, count, width, unary, rest = zip(*coded, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, ids), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.array(owner, pa.int32()), pa.array(count, pa.int32()), pa.array(width, pa.int32()), pa.array(unary, pa.binary()), pa.array(rest, pa.binary())], names=names)
+                if waiting >= part_rows:
+                    yield lists()
+                    part, seen, waiting = part + 1, [], 0
+        if waiting:
+            yield lists()
 
-    schema = f"part int, row long, doc_id {doc_id.simpleString()}, n_chars long, sha binary, fp long, owner int, count int, width int, unary binary, rest binary"
+    schema = f"part long, row long, doc_id {doc_id.simpleString()}, n_chars long, sha binary, fp long, owner int, count int, width int, unary binary, rest binary"
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(words.returning(work), schema)
 
 
 def answer(table: pa.Table) -> pa.Table:
-    """An owner's answers: for each partition that sent a list, a bitmap of the values that other lists have too."""
+    """An owner's answers: for each part that sent a list, a bitmap of the values that other lists have too."""
     lists = [decode(*x) for x in zip(*(table[c].to_pylist() for c in ("count", "width", "unary", "rest")), strict=True)]
     values, times = np.unique(np.concatenate(lists), return_counts=True)
     shared = values[times > 1]
@@ -99,7 +119,7 @@ def answer(table: pa.Table) -> pa.Table:
 
 
 def suspects(rows: pa.Table, answers: pa.Table, share: int) -> pa.Table:
-    """The rows of a partition whose fingerprint occurs again, there or elsewhere."""
+    """The rows of a part whose fingerprint occurs again, there or elsewhere."""
     fp = rows["fp"].to_numpy()
     values, index, times = np.unique(fp, return_inverse=True, return_counts=True)
     again = times > 1
@@ -109,15 +129,15 @@ def suspects(rows: pa.Table, answers: pa.Table, share: int) -> pa.Table:
     return rows.select(["row", "doc_id", "n_chars", "sha"]).filter(pa.array(again[index]) if len(fp) else pa.array([], pa.bool_()))
 
 
-def deduplicate(docs: DataFrame, bits: int = BITS) -> DataFrame:
+def deduplicate(docs: DataFrame, bits: int = BITS, part_rows: int = PART_ROWS) -> DataFrame:
     """``doc_id, keep_id, group_size, kept, text_sha256, n_chars`` of every row; see the module for the defined results."""
     spark = docs.sparkSession
-    owners = 1 << (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
+    owners = owners_of(docs.count(), int(spark.conf.get("spark.sql.shuffle.partitions")))
     share = bits - (owners.bit_length() - 1)
     doc_id = docs.schema["doc_id"].dataType.simpleString()
-    both = scratch.table(hashed(docs, owners, bits), "fingerprints")
+    both = scratch.table(hashed(docs, owners, bits, part_rows), "fingerprints")
     rows = both.where("owner is null").select("part", "row", "doc_id", "n_chars", "sha", "fp")
-    answers = both.where("owner is not null").select("part", "owner", "count", "width", "unary", "rest").groupBy("owner").applyInArrow(answer, "part int, owner int, bitmap binary")
+    answers = both.where("owner is not null").select("part", "owner", "count", "width", "unary", "rest").groupBy("owner").applyInArrow(answer, "part long, owner int, bitmap binary")
     found = rows.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(lambda left, right: suspects(left, right, share), f"row long, doc_id {doc_id}, n_chars long, sha binary")
     found = scratch.table(found, "suspects")
 
