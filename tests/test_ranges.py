@@ -170,6 +170,28 @@ def test_bounds_spare_pairs_of_blocks(spark):
     assert met == sum(1 for i in range(4000) for j in range(i + 1, min(i + 4000, 4000)) if i * 7 % 4000 > j * 7 % 4000)
 
 
+@pytest.mark.parametrize("sent", [0, 20_000, 16 << 20])
+def test_rows_out_of_reach_stay_behind(spark, monkeypatch, sent):
+    """Of two sides of which few rows can meet, no others are written or dealt, whether the small one is sent, in few or many copies, or blocks are."""
+    written = []
+    monkeypatch.setattr(ranges, "SENT_BYTES", sent)
+    monkeypatch.setattr(ranges, "kept", lambda df, name, plain=ranges.kept: written.append(plain(df, name)) or written[-1])
+    left = spark.range(3000).select((F.col("id") * 7 % 3000).alias("p"), (F.col("id") % 50).alias("d"), "id")
+    right = spark.range(3000).select((F.col("id") + 2900).alias("q"), (F.col("id") * 3 % 50).alias("e"), "id")
+    for a, b, conditions in ((left, right, [("p", ">", "q"), ("d", "<", "e")]), (right, left, [("q", "<", "p"), ("e", ">", "d")])):
+        out = ranges.inequality_join(a, b, conditions, block_rows=16)
+        text = plan_text(out)
+        assert "Nested" not in text and "Cartesian" not in text
+        assert sent == 0 or shuffles(out) == 0
+        got = Counter((r.x, r.y) for r in out.select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).collect())
+        met = Counter((i, j) for i in range(3000) for j in range(99) if i * 7 % 3000 > j + 2900 and i % 50 < j * 3 % 50)
+        assert got == (met if a is left else Counter((j, i) for i, j in met))
+    assert [df.count() for df in written] == [97] * 4
+    alike = spark.range(40).select(F.lit(1).alias("p"), "id")
+    one = ranges.inequality_join(alike, alike, [("p", "<=", "p")], block_rows=16)
+    assert "Nested" not in plan_text(one) and "Cartesian" not in plan_text(one) and one.count() == 1600
+
+
 @pytest.mark.parametrize("peers", [1, 2, None])
 def test_global_ranks(spark, peers):
     rng = random.Random(8)
