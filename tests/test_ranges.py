@@ -95,6 +95,29 @@ def test_range_frame_with_a_hot_key(spark, slices):
     assert ranges.range_frame(df.limit(0), "k", "t", 20, {"rows": F.count("*")}).count() == 0
 
 
+@pytest.mark.parametrize("size", [0, 1, 20, 1000])
+def test_range_frame_by_running_aggregates(spark, size):
+    """No frame is gone over again for each row; results are those of the sliding frame, with nulls, ties, times before 0 and exact edges."""
+    rows = [(k, t, None if i % 7 == 0 else i) for k, t, i in hot(4, 600)] + [(11, 5, None), (12, None, None)]
+    df = clashing(spark.createDataFrame(rows, "k long, t long, i long")).repartition(3)
+    parts = {"rows": ("sum", F.lit(1)), "total": ("sum", F.col("i")), "least": ("min", F.col("i")), "top": ("max", F.col("i"))}
+    out = ranges.range_frame(df, "k", "t", size, parts)
+    assert out.columns == [*df.columns, *parts] and out.schema["rows"].dataType.simpleString() == "bigint"
+    want = Counter()
+    for k, t, i in rows:
+        frame = [j for q, u, j in rows if q == k and ((t is None and u is None) or (None not in (t, u) and t - size <= u <= t))]
+        there = [j for j in frame if j is not None]
+        want[k, t, i, len(frame), sum(there) if there else None, min(there, default=None), max(there, default=None)] += 1
+    assert Counter((r.k, r.t, r.i, r.rows, r.total, r.least, r.top) for r in out.collect()) == want
+    assert ranges.range_frame(df.limit(0), "k", "t", size, parts).count() == 0
+
+
+def test_frame_queries_do_not_slide(spark, small):
+    for query in (ranges.window_range, ranges.window_range_hot):
+        text = plan_text(query(spark, small)).lower()
+        assert "unboundedpreceding" in text and "rangeframe, -" not in text
+
+
 @pytest.mark.parametrize("slices", [1, 4, 60])
 def test_sessions_with_a_hot_key(spark, slices):
     rows = hot(5, 400)
