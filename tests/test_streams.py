@@ -1,5 +1,6 @@
 """Streams beyond the catalogue's SQL: late rows, timers with rows out of order, state that is forgotten, and a table function."""
 
+import random
 from collections import Counter
 from datetime import datetime, timedelta
 
@@ -60,6 +61,24 @@ def test_state_is_forgotten(spark, ttl, want):
     assert {(r.user_id, r.event_type): r.n for r in events.recent_counts(stream, ttl).collect()} == want
 
 
+def test_users_share_their_state(spark):
+    """Three buckets hold the state of a hundred users, in all three processors; ids beyond a float's whole numbers and none at all, values that are null."""
+    rng = random.Random(3)
+    users = [None, *(2**60 + k for k in range(100))]
+    at = lambda k, m: BEGIN + timedelta(hours=5 * k, minutes=m)
+    batches = [[(rng.choice(users), rng.choice("ab"), rng.choice((None, rng.random())), at(k, rng.randint(0, 30))) for _ in range(400)] for k in range(3)] + [[(7, "a", None, at(9, 0))], [(7, "b", None, at(9, 1))]]
+    rows = [r for batch in batches for r in batch]
+    stream = files(spark, batches, "user_id long, event_type string, value double, ts timestamp")
+    got = {r.user_id: (r.n, r.top) for r in events.totals(stream, 3).collect()}
+    want = {u: (sum(r[0] == u for r in rows), max((r[2] for r in rows if r[0] == u and r[2] is not None), default=None)) for u in {r[0] for r in rows}}
+    assert got == want
+    got = {(r.user_id, r.event_type): r.n for r in events.recent_counts(stream, 86_400_000, 3).collect()}
+    assert got == Counter(r[:2] for r in rows)
+    late = []
+    got = Counter((r.user_id, r.n) for r in events.timed_sessions(stream, 3_600_000, late, 3).collect())
+    assert late == [0] and got == Counter((u, n) for batch in batches[:3] for u, n in Counter(r[0] for r in batch).items())
+
+
 def test_runs_of_any_table(spark):
     rows = [(None, None, 1), (None, None, 2), (None, 1.5, 3), ("k", 1.5, 2), ("k", 1.5, 1), ("k", None, 3), ("k", 1.5, 4)]
     df = spark.createDataFrame(rows, "who string, what double, i long").withColumns({c: F.lit("clash") for c in ("run", "n", "row")}).repartition(3)

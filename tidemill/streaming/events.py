@@ -163,35 +163,60 @@ def stream_stateful(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finished(counts, "append").groupBy("user_id").agg(F.max("n").alias("n"))
 
 
+#: Users share their state by so many buckets: a call, a state and a timer cost about the same for one user as for hundreds.
+BUCKETS = 256
+
+
+def bucketed(events: DataFrame, buckets: int) -> DataFrame:
+    """The rows with the ``bucket`` of their user, by a hash of it; those without a user have one of their own, as pandas turns whole numbers beside nulls into floats."""
+    return events.withColumn("bucket", F.when(F.col("user_id").isNull(), -1).otherwise(F.pmod(F.xxhash64("user_id"), F.lit(buckets))).cast("int"))
+
+
+def _listed(column: pd.Series) -> list:
+    """The values as Python ones, null as None."""
+    return [None if x is pd.NA else x for x in column.astype("Int64").tolist()]
+
+
 class Totals(StatefulProcessor):
-    """Count and highest value of each user so far, in a named state variable."""
+    """Count and highest value of each user of a bucket so far, in a named state variable."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.total = handle.getValueState("total", "n long, top double")
+        self.total = handle.getValueState("total", "user_id array<bigint>, n array<bigint>, top array<double>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        n, top = self.total.get() if self.total.exists() else (0, float("-inf"))
+        users, ns, tops = self.total.get() if self.total.exists() else ([], [], [])
+        totals = {user: (n, top) for user, n, top in zip(users, ns, tops, strict=True)}
+        changed: dict[int | None, None] = {}
         for frame in rows:
-            n, top = n + len(frame), max(top, float(frame["value"].max()))
-        self.total.update((n, top))
-        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "top": [top]})
+            found = frame.groupby(frame["user_id"].astype("Int64"), dropna=False)["value"].agg(["size", "max"])
+            for user, m, high in zip(_listed(found.index.to_series()), found["size"].tolist(), found["max"].tolist(), strict=True):
+                n, top = totals.get(user, (0, None))
+                totals[user] = n + m, high if top is None and high == high else top if high != high else max(top, high)
+                changed[user] = None
+        self.total.update((list(totals), [n for n, _ in totals.values()], [top for _, top in totals.values()]))
+        yield pd.DataFrame({"user_id": pd.array(list(changed), "Int64"), "n": [totals[u][0] for u in changed], "top": pd.array([totals[u][1] for u in changed], "Float64")})
 
     def close(self) -> None:
         pass
 
 
+def totals(events: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """The last word on each user's number of events and highest value (null if none has one)."""
+    with settings(events.sparkSession, **ROCKSDB):
+        rows = bucketed(events.select("user_id", "value"), buckets)
+        found = rows.groupBy("bucket").transformWithStateInPandas(Totals(), "user_id long, n long, top double", "Update", "None")
+        return finished(found, "update", ["user_id"])
+
+
 def stream_processor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals of each user by a stateful processor, whose state lies in RocksDB."""
-    with settings(spark, **ROCKSDB):
-        events = timed_stream(spark, sf_dir).select("user_id", "value")
-        totals = events.groupBy("user_id").transformWithStateInPandas(Totals(), "user_id long, n long, top double", "Update", "None")
-        return finished(totals, "update", ["user_id"])
+    return totals(timed_stream(spark, sf_dir))
 
 
 class Sessions(StatefulProcessor):
-    """Sessions of a key, kept as a list until an event-time timer says that no row can join them any more.
+    """Sessions of the users of a bucket, kept as a list until an event-time timer says that no row can join them any more.
 
-    Rows may come in any order within the watermark: what they bring together is merged. A key's
+    Rows may come in any order within the watermark: what they bring together is merged. A bucket's
     state are its open sessions, and it has one timer, for the one that ends first.
     """
 
@@ -199,60 +224,72 @@ class Sessions(StatefulProcessor):
         self.gap = gap_ms * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.open = handle, handle.getListState("open", "begin long, finish long, n long")
+        self.handle, self.open = handle, handle.getValueState("open", "user_id array<bigint>, begin array<bigint>, finish array<bigint>, n array<bigint>")
 
-    def _wait(self, found: list[tuple[int, int, int]]) -> None:
+    def _found(self) -> list[tuple]:
+        return list(zip(*self.open.get(), strict=True)) if self.open.exists() else []
+
+    def _wait(self, found: list[tuple]) -> None:
         for at in list(self.handle.listTimers()):
             self.handle.deleteTimer(at)
         if found:
-            self.open.put(found)
-            self.handle.registerTimer((min(f for _, f, _ in found) + self.gap) // 1000 + 1)
+            self.open.update(tuple(map(list, zip(*found, strict=True))))
+            self.handle.registerTimer((min(f for _, _, f, _ in found) + self.gap) // 1000 + 1)
         elif self.open.exists():
             self.open.clear()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        found = [tuple(x) for x in self.open.get()] if self.open.exists() else []
+        found = self._found()
         for frame in rows:
-            found += [(int(t), int(t), 1) for t in frame["at"]]
-        merged: list[tuple[int, int, int]] = []
-        for begin, finish, n in sorted(found):
-            if merged and begin - merged[-1][1] <= self.gap:
-                a, b, m = merged[-1]
-                merged[-1] = a, max(b, finish), m + n
+            found += [(user, at, at, 1) for user, at in zip(_listed(frame["user_id"]), frame["at"].tolist(), strict=True)]
+        merged: list[tuple] = []
+        for user, begin, finish, n in sorted(found, key=lambda x: (x[0] is None, x[0] or 0, x[1:])):
+            if merged and user == merged[-1][0] and begin - merged[-1][2] <= self.gap:
+                _, a, b, m = merged[-1]
+                merged[-1] = user, a, max(b, finish), m + n
             else:
-                merged.append((begin, finish, n))
+                merged.append((user, begin, finish, n))
         self._wait(merged)
         yield pd.DataFrame({"user_id": [], "begin": [], "finish": [], "n": []}, dtype="Int64")
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now, found = timerValues.getCurrentWatermarkInMs() * 1000, [tuple(x) for x in self.open.get()] if self.open.exists() else []
-        closed = [x for x in found if x[1] + self.gap < now]
-        self._wait([x for x in found if x[1] + self.gap >= now])
-        yield pd.DataFrame({"user_id": [key[0]] * len(closed), "begin": [x[0] for x in closed], "finish": [x[1] for x in closed], "n": [x[2] for x in closed]}, dtype="Int64")
+        now, found = timerValues.getCurrentWatermarkInMs() * 1000, self._found()
+        closed = [x for x in found if x[2] + self.gap < now]
+        self._wait([x for x in found if x[2] + self.gap >= now])
+        yield pd.DataFrame({name: pd.array([x[k] for x in closed], "Int64") for k, name in enumerate(("user_id", "begin", "finish", "n"))})
 
     def close(self) -> None:
         pass
 
 
 class Recent(StatefulProcessor):
-    """Events of each key and type so far, in a map whose entries are forgotten ``ttl_ms`` after their last change."""
+    """Events of each user of a bucket and type so far, in a map by type, whose users are forgotten ``ttl_ms`` after their last change.
+
+    A type's entry of the map is forgotten as a whole once none of its users has changed for so long.
+    """
 
     def __init__(self, ttl_ms: int):
         self.ttl = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.counts = handle.getMapState("counts", "event_type string", "n long", self.ttl)
+        self.counts = handle.getMapState("counts", "event_type string", "user_id array<bigint>, n array<bigint>, changed_ms array<bigint>", self.ttl)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        found: dict[str, int] = {}
+        now = timerValues.getCurrentProcessingTimeInMs()
+        found: dict[str | None, dict[int | None, int]] = {}
         for frame in rows:
-            for name, n in frame["event_type"].value_counts().items():
-                found[name] = found.get(name, 0) + int(n)
-        for name in found:
-            if self.counts.containsKey((name,)):
-                found[name] += self.counts.getValue((name,))[0]
-            self.counts.updateValue((name,), (found[name],))
-        yield pd.DataFrame({"user_id": pd.array([key[0]] * len(found), "Int64"), "event_type": list(found), "n": list(found.values())})
+            times = frame.groupby([frame["event_type"], frame["user_id"].astype("Int64")], dropna=False).size()
+            names, users = (times.index.get_level_values(k) for k in (0, 1))
+            for name, user, n in zip(names, _listed(users.to_series()), times.tolist(), strict=True):
+                own = found.setdefault(name, {})
+                own[user] = own.get(user, 0) + n
+        out: list[tuple] = []
+        for name, own in found.items():
+            kept = {u: (n, at) for u, n, at in zip(*self.counts.getValue((name,)), strict=True) if at + self.ttl > now} if self.counts.containsKey((name,)) else {}
+            kept |= {user: (n + kept.get(user, (0, 0))[0], now) for user, n in own.items()}
+            self.counts.updateValue((name,), (list(kept), [n for n, _ in kept.values()], [at for _, at in kept.values()]))
+            out += [(user, name, kept[user][0]) for user in own]
+        yield pd.DataFrame({"user_id": pd.array([x[0] for x in out], "Int64"), "event_type": [x[1] for x in out], "n": [x[2] for x in out]})
 
     def close(self) -> None:
         pass
@@ -276,11 +313,11 @@ def settings(spark: SparkSession, **given: str) -> Iterator[None]:
 ROCKSDB = {"stateStore_providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
 
-def timed_sessions(events: DataFrame, gap_ms: int, late: list[int] | None = None) -> DataFrame:
+def timed_sessions(events: DataFrame, gap_ms: int, late: list[int] | None = None, buckets: int = BUCKETS) -> DataFrame:
     """Sessions of each user that a timer has closed."""
     with settings(events.sparkSession, **ROCKSDB):
-        rows = events.withWatermark("ts", "1 hour").select("user_id", "ts", F.unix_micros("ts").alias("at"))
-        closed = rows.groupBy("user_id").transformWithStateInPandas(Sessions(gap_ms), "user_id long, begin long, finish long, n long", "Append", "EventTime")
+        rows = bucketed(events.withWatermark("ts", "1 hour").select("user_id", "ts", F.unix_micros("ts").alias("at")), buckets)
+        closed = rows.groupBy("bucket").transformWithStateInPandas(Sessions(gap_ms), "user_id long, begin long, finish long, n long", "Append", "EventTime")
         return finished(closed, "append", late=late)
 
 
@@ -290,13 +327,13 @@ def stream_timers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("user_id", *(F.timestamp_micros(c).cast("timestamp_ntz").alias(c) for c in ("begin", "finish")), "n")
 
 
-def recent_counts(events: DataFrame, ttl_ms: int) -> DataFrame:
+def recent_counts(events: DataFrame, ttl_ms: int, buckets: int = BUCKETS) -> DataFrame:
     """The last word on how many events of each type a user had, without those forgotten.
 
     With processing time there is always another batch, so one without data would never let the stream end.
     """
     with settings(events.sparkSession, noDataMicroBatches_enabled="false", **ROCKSDB):
-        counts = events.select("user_id", "event_type").groupBy("user_id").transformWithStateInPandas(Recent(ttl_ms), "user_id long, event_type string, n long", "Update", "ProcessingTime")
+        counts = bucketed(events.select("user_id", "event_type"), buckets).groupBy("bucket").transformWithStateInPandas(Recent(ttl_ms), "user_id long, event_type string, n long", "Update", "ProcessingTime")
         return finished(counts, "update", ["user_id", "event_type"])
 
 
