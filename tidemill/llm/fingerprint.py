@@ -191,15 +191,15 @@ def lexicon(docs: DataFrame, least: float = LEAST_SHARE, most: float = MOST_SHAR
     return np.sort(kept.toPandas()["term"].to_numpy(np.int64).view(np.uint64))
 
 
-def _sorted_hashes(owner: np.ndarray, term: np.ndarray, n: int) -> np.ndarray:
-    """For each of ``n`` texts a 32-bit hash of its terms in their order (not 0); 0 without terms."""
+def _sorted_hashes(owner: np.ndarray, mixed: np.ndarray, n: int) -> np.ndarray:
+    """For each of ``n`` texts a 32-bit hash of its terms (mixed, in the terms' order; not 0); 0 without terms."""
     out = np.zeros(n, np.uint32)
     if len(owner):
-        first = np.flatnonzero(np.diff(owner, prepend=-1))
+        first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
         size = np.diff(np.append(first, len(owner)))
         place = np.arange(len(owner)) - np.repeat(first, size)
         powers = np.cumprod(np.full(int(size.max()), _BASE))
-        total = np.add.reduceat((term ^ (term >> np.uint64(31))) * powers[place], first)
+        total = np.add.reduceat(mixed * powers[place], first)
         total = (total ^ (total >> np.uint64(29))) * _MUL[0]
         out[owner[first]] = (total >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
     return out
@@ -212,17 +212,21 @@ def prints(texts: pa.Array, terms: np.ndarray) -> np.ndarray:
     at = np.minimum(np.searchsorted(terms, values), max(0, len(terms) - 1))
     known = terms[at] == values if len(terms) else np.zeros(len(values), bool)
     keep = known[index]
-    owner, term, index = owner[keep], term[keep], index[keep]
+    owner, term, index = owner[keep], term[keep], index[keep].astype(np.int32)
+    mixed = term ^ (term >> np.uint64(31))
     out = np.zeros((len(texts), 1 + CHAINS * len(SHARES)), np.uint32)
-    out[:, 0] = _sorted_hashes(owner, term, len(texts))
+    out[:, 0] = _sorted_hashes(owner, mixed, len(texts))
     for chain in range(CHAINS):
         rank = (values ^ _XOR[chain]) * _MUL[chain]
         rank ^= rank >> np.uint64(32)
-        depth = (rank[:, None] <= _EDGES).sum(1).astype(np.int8)[index]
-        rows = np.arange(len(index))
+        # the terms of the largest subset alone are looked at for the smaller ones, which it holds
+        rows = np.flatnonzero((rank <= _EDGES[0])[index])
+        own, some, ranks = owner[rows], mixed[rows], rank[index[rows]]
         for level in range(len(SHARES)):
-            rows = rows[depth[rows] > level]
-            out[:, 1 + chain * len(SHARES) + level] = _sorted_hashes(owner[rows], term[rows], len(texts))
+            if level:
+                inside = np.flatnonzero(ranks <= _EDGES[level])
+                own, some, ranks = own[inside], some[inside], ranks[inside]
+            out[:, 1 + chain * len(SHARES) + level] = _sorted_hashes(own, some, len(texts))
     return out
 
 
