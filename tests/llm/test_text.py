@@ -233,6 +233,16 @@ def test_language_query_against_brute_force(spark, small):
             assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
 
 
+def test_new_words_are_scored_in_small_slices():
+    """However many strings of a batch are new, about a megabyte of them is looked at together."""
+    rng = random.Random(6)
+    texts = pa.array([" ".join("".join(rng.choices("xyz", k=12)) for _ in range(400)) for _ in range(600)])
+    batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+    sizes = [sum(len(x) for x in part["text"].to_pylist()) for part in fast.slices(batch, "text", language_id.SLICE_BYTES)]
+    assert sum(sizes) > 3_000_000 and max(sizes) <= (1 << 20)
+    assert language_id.REMEMBERED <= fast.CACHE_BYTES // 2
+
+
 def test_language_of_odd_rows(odd, nothing):
     got = language_id.predict(odd)
     assert got.columns == ["doc_id", "held_out", "lang_pred", "score"]
@@ -372,6 +382,42 @@ def test_group_sketch_counts_keys(spark, n):
     assert counted(np.concatenate((places[n // 3 :], places[: 2 * n // 3]))) == counted(places)
 
 
+def test_subsets_are_hashed_once_narrowed():
+    """The hashes are those of a plain version, which goes over all terms for each chain."""
+    rng = random.Random(5)
+    texts = pa.array([" ".join(str(rng.randint(0, 5000)) for _ in range(rng.randint(0, 300))) for _ in range(2000)])
+    owner, term = fingerprint.distinct_terms(texts)
+    lexicon = np.unique(term)[::2]
+
+    def plain():
+        values, index = np.unique(term, return_inverse=True)
+        keep = np.isin(values, lexicon)[index]
+        own, some, at = owner[keep], term[keep], index[keep]
+        hashed = lambda o, t: plain_hashes(o, t, len(texts))
+        out = [hashed(own, some)]
+        for chain in range(fingerprint.CHAINS):
+            rank = (values ^ fingerprint._XOR[chain]) * fingerprint._MUL[chain]
+            rank ^= rank >> np.uint64(32)
+            depth, rows = (rank[:, None] <= fingerprint._EDGES).sum(1).astype(np.int8)[at], np.arange(len(at))
+            for level in range(len(fingerprint.SHARES)):
+                rows = rows[depth[rows] > level]
+                out.append(hashed(own[rows], some[rows]))
+        return np.stack(out, 1)
+
+    def plain_hashes(o, t, n):
+        out = np.zeros(n, np.uint32)
+        if len(o):
+            first = np.flatnonzero(np.diff(o, prepend=-1))
+            size = np.diff(np.append(first, len(o)))
+            powers = np.cumprod(np.full(int(size.max()), fingerprint._BASE))
+            total = np.add.reduceat((t ^ (t >> np.uint64(31))) * powers[np.arange(len(o)) - np.repeat(first, size)], first)
+            total = (total ^ (total >> np.uint64(29))) * fingerprint._MUL[0]
+            out[o[first]] = (total >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+        return out
+
+    assert (fingerprint.prints(texts, lexicon) == plain()).all()
+
+
 def test_fingerprints_dont_depend_on_partitions(spark, small):
     """In 1, 7 and 40 partitions, in any order: the lexicon and all fingerprints are the same."""
     docs = spark.read.parquet(f"{small}/documents.parquet")

@@ -41,6 +41,8 @@ TRAIN_ROWS, ITERATIONS = 3000, 3
 UNKNOWN = 1e-8
 #: Words up to this length can't underflow; the sums of longer ones are kept as logarithms, in blocks of so many letters.
 SHORT, BLOCK = 24, 4096
+#: Text bytes that are scored together, whose words may all be new, and bytes that a worker remembers of strings.
+SLICE_BYTES, REMEMBERED = 1 << 20, 48 << 20
 #: Training rows are chosen by a hash of so many values.
 HASHES = 1 << 48
 _LETTERS = regex.compile(r"\p{L}+")
@@ -295,7 +297,7 @@ class Scorer:
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Log likelihood by language, and the number of words, of each text."""
         words.hold(self)
-        if self.bytes > words.CACHE_BYTES:
+        if self.bytes > REMEMBERED:
             self.forget()
         strings, index, begin = words.split(texts, None)
         if new := [x for x in strings if x not in self.slot]:
@@ -321,7 +323,7 @@ def annotate(docs: DataFrame, model: Model | None) -> DataFrame:
     def work(column: pa.Array) -> pa.Array:
         names, scores = [], []
         batch = pa.RecordBatch.from_arrays([column], names=["text"])
-        for part in words.slices(batch, "text") if model else ():
+        for part in words.slices(batch, "text", SLICE_BYTES) if model else ():
             total, count = _scorer(model)(words.texts(part, "text"))
             odds = np.exp(total - total.max(1, keepdims=True))
             names += [model.languages[b] if n else "und" for b, n in zip(odds.argmax(1).tolist(), count.tolist(), strict=True)]
