@@ -163,6 +163,18 @@ def test_one_long_interval_takes_few_bins(spark):
     assert out.count() == 2000
 
 
+def test_overlapping_rows_are_joined_by_blocks(spark, monkeypatch):
+    """A thousand points beside some long intervals in wide bins, in slices of time: blocks are joined, and each pair of rows comes once."""
+    monkeypatch.setattr(ranges, "SLICE_ROWS", 500)
+    rows = [(i, i, i) for i in range(1000)] + [(5 * i, 5 * i + 300, 1000 + i) for i in range(200)]
+    df = spark.createDataFrame(rows, "x long, y long, i long")
+    out = ranges.overlap_join(df, df, "x", "y", residual=F.col("a.i") < F.col("b.i"), wanted=["i"])
+    assert out.select("a.*").columns == ["i"]
+    got = Counter((r.a.i, r.b.i) for r in out.collect())
+    assert got == Counter((a[2], b[2]) for a in rows for b in rows if a[0] <= b[1] and b[0] <= a[1] and a[2] < b[2])
+    assert "collect_list" in plan_text(out), "rows are joined, not blocks"
+
+
 @pytest.mark.parametrize(("conditions", "rows"), [([("p", "<", "q")], 40), ([("p", ">=", "q"), ("d", "<", "e")], 16), ([("p", "<=", "q"), ("d", ">", "e"), ("p", "<", "e")], 1000)])
 def test_inequality_join(spark, conditions, rows):
     rng = random.Random(7)
