@@ -1,5 +1,7 @@
 """Streams beyond the catalogue's SQL: late rows, timers with rows out of order, state that is forgotten, and a table function."""
 
+import itertools
+import math
 import random
 from collections import Counter
 from datetime import datetime, timedelta
@@ -88,3 +90,24 @@ def test_runs_of_any_table(spark):
     assert tables.runs(df.limit(0), "who", "what", "i").count() == 0
     with pytest.raises(Exception, match="no column of the table"):
         tables.runs(df, "who", "else", "i").collect()
+
+
+def test_runs_over_batches(spark):
+    """Runs that go on over many Arrow batches, several keys in one partition of the table; NaN equals NaN, also as a key; nested values and times keep their kinds."""
+    rng = random.Random(8)
+    rows = [(k, i, rng.choice((math.nan, None, 1.5)) if k != 2.0 else 7.0, [1, None] if i < 30 else None, {"a": i // 20}, BEGIN + timedelta(hours=i // 25)) for k in (math.nan, None, 2.0, -1.0, *map(float, range(10, 40))) for i in range(50)]
+    df = spark.createDataFrame(rows, "k double, i long, d double, l array<int>, m map<string,int>, t timestamp").repartition(5)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "7")
+    try:
+        for c, value in (("d", 2), ("l", 3), ("m", 4), ("t", 5)):
+            out = tables.runs(df, "k", c, "i")
+            assert dict(out.dtypes)[c] == dict(df.dtypes)[c]
+            want = Counter()
+            for k in {repr(r[0]) for r in rows}:
+                for run, (v, of) in enumerate(itertools.groupby(repr(r[value]) for r in rows if repr(r[0]) == k), 1):
+                    want[k, run, v, sum(1 for _ in of)] += 1
+            assert Counter((repr(r.k), r.run, repr(r[c]), r.n) for r in out.collect()) == want
+    finally:
+        spark.conf.set(name, before)

@@ -4,53 +4,83 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import AnalyzeArgument, AnalyzeResult
 
+from tidemill.operators.slices import column
 from tidemill.sources.tables import table
 
+#: Partitions of the table, each with the keys of one hash: a function's call for each key costs more than a short key's rows.
+BUCKETS = 1 << 14
+
+
+def changes(values: pa.Array) -> np.ndarray:
+    """Which values after the first differ from the one before. Null equals null, and NaN equals NaN."""
+    now, before = values.slice(1), values.slice(0, max(0, len(values) - 1))
+    try:
+        differ = pc.not_equal(now, before)
+    except pa.ArrowNotImplementedError:  # nested kinds
+        listed = values.to_pylist()
+        return np.fromiter((x != y for x, y in zip(listed[1:], listed, strict=False)), bool, max(0, len(listed) - 1))
+    if pa.types.is_floating(values.type):
+        differ = pc.and_(differ, pc.invert(pc.and_(pc.is_nan(now), pc.is_nan(before))))
+    return pc.coalesce(differ, pc.not_equal(pc.is_null(now), pc.is_null(before))).to_numpy(zero_copy_only=False)
+
 
 class Runs:
-    """Runs of equal values, one row each, in a table that is partitioned by one column and ordered.
+    """Runs of equal values, one row each, in a table of ``key`` and ``value`` whose rows come by key and in order.
 
-    Called with the table, the names of its key and of a value column. The output has both under their own names
-    and kinds, ``run`` (from 1 in each key) and ``n`` (rows). Null equals null, and a table may have any other
-    columns. A partition of the table is read as a stream; a key is a task.
+    The output has both, ``run`` (from 1 in each key) and ``n`` (rows). A partition of the table is read as a stream of
+    Arrow batches; the last run of a batch, which may go on in the next one, is all that is held.
     """
 
     def __init__(self) -> None:
-        self.run, self.row, self.n = 0, None, 0
+        self.last, self.run, self.n = None, 1, 1
 
-    @staticmethod
-    def analyze(rows: AnalyzeArgument, key: AnalyzeArgument, value: AnalyzeArgument) -> AnalyzeResult:
-        if not rows.isTable or not isinstance(rows.dataType, T.StructType):
-            raise ValueError("the first argument has to be a table")
-        fields = {f.name: f for f in rows.dataType}
-        for name in (key, value):
-            if not name.isConstantExpression or name.value not in fields:
-                raise ValueError(f"{name.value} is no column of the table, which has {', '.join(fields)}")
-        kinds = [T.StructField(name.value, fields[name.value].dataType) for name in (key, value)]
-        return AnalyzeResult(T.StructType([kinds[0], T.StructField("run", T.IntegerType()), kinds[1], T.StructField("n", T.LongType())]))
-
-    def eval(self, rows: Row, key: str, value: str) -> Iterator[tuple]:
-        now = rows[key], rows[value]
-        if self.n and now == self.row:
-            self.n += 1
+    def eval(self, rows: pa.RecordBatch) -> Iterator[pa.Table]:
+        key, value = rows.column("key"), rows.column("value")
+        if self.last:
+            key, value = (pa.concat_arrays(pair) for pair in zip(self.last, (key, value), strict=True))
+        if not len(key):
             return
-        yield from self.terminate()
-        self.run, self.row, self.n = self.run + 1, now, 1
+        new_key = np.concatenate(([False], changes(key)))
+        begins = np.concatenate(([0], np.flatnonzero(new_key[1:] | changes(value)) + 1))
+        sizes = np.diff(begins, append=len(key))
+        sizes[0] += self.n - 1  # the first row is that of the last run
+        at = np.arange(len(begins))
+        first = np.maximum.accumulate(np.where(new_key[begins], at, 0))
+        run = at - first + np.where(first == 0, self.run, 1)
+        self.last, self.run, self.n = (key.slice(begins[-1], 1), value.slice(begins[-1], 1)), int(run[-1]), int(sizes[-1])
+        if len(begins) > 1:
+            yield self.table(key.take(pa.array(begins[:-1])), run[:-1], value.take(pa.array(begins[:-1])), sizes[:-1])
+
+    def terminate(self) -> Iterator[pa.Table]:
+        if self.last:
+            yield self.table(self.last[0], [self.run], self.last[1], [self.n])
 
-    def terminate(self) -> Iterator[tuple]:
-        if self.n:
-            yield self.row[0], self.run, self.row[1], self.n
+    @staticmethod
+    def table(key: pa.Array, run: np.ndarray | list, value: pa.Array, n: np.ndarray | list) -> pa.Table:
+        return pa.table([key, pa.array(run, pa.int32()), value, pa.array(n, pa.int64())], ["key", "run", "value", "n"])
 
 
 def runs(df: DataFrame, key: str, value: str, *order: str) -> DataFrame:
-    """The runs of ``value`` in each ``key``, in the order of the columns ``order``."""
-    function = F.udtf(Runs)
-    return function(df.asTable().partitionBy(key).orderBy(*order), F.lit(key), F.lit(value))
+    """The runs of ``value`` in each ``key``, in the order of the columns ``order``.
+
+    The output has both under their own names and kinds, ``run`` (from 1 in each key) and ``n`` (rows). Null equals null, NaN
+    equals NaN, and a table may have any other columns. The keys of one hash are one partition, sorted by key, so a key is in one task.
+    """
+    for name in (key, value):
+        if name not in df.columns:
+            raise ValueError(f"{name} is no column of the table, which has {', '.join(df.columns)}")
+    kinds = [T.StructField("key", df.schema[key].dataType), T.StructField("run", T.IntegerType()), T.StructField("value", df.schema[value].dataType), T.StructField("n", T.LongType())]
+    ranks = [f"order{i}" for i in range(len(order))]
+    rows = df.select(column(key).alias("key"), column(value).alias("value"), *(column(c).alias(o) for c, o in zip(order, ranks, strict=True)), F.pmod(F.xxhash64(column(key)), F.lit(BUCKETS)).alias("bucket"))
+    found = F.arrow_udtf(Runs, returnType=T.StructType(kinds))(rows.asTable().partitionBy("bucket").orderBy("key", *ranks))
+    return found.toDF(key, "run", value, "n")
 
 
 def udtf_runs_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
