@@ -227,6 +227,35 @@ def test_rows_out_of_reach_stay_behind(spark, monkeypatch, sent):
     assert "Nested" not in plan_text(one) and "Cartesian" not in plan_text(one) and one.count() == 1600
 
 
+def test_rows_sent_are_met_by_sorted_chunks(spark, tmp_path):
+    """Rows near each other follow each other, with nearly equal lists of the rows they meet, of which files take few bytes."""
+    left = spark.range(4000).select((F.hash("id") % 1000).alias("p"), (F.hash(F.col("id") + 7) % 1000).alias("d"), F.hash("id", F.lit(1)).alias("i")).repartition(1)
+    right = spark.range(1500).select((F.hash(F.col("id") * 3) % 1000).alias("q"), (F.hash(F.col("id") * 5) % 1000).alias("e"), F.hash("id", F.lit(2)).alias("j"))
+    out = ranges.inequality_join(left, right, [("p", ">", "q"), ("d", "<", "e")], block_rows=250).select("a.i", "b.j")
+    out.coalesce(1).write.parquet(f"file://{tmp_path}/out")
+    rights = [(r.q, r.e, r.j) for r in right.collect()]
+    want = Counter((r.i, j) for r in left.collect() for q, e, j in rights if r.p > q and r.d < e)
+    assert Counter((r.i, r.j) for r in spark.read.parquet(f"file://{tmp_path}/out").collect()) == want
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 0.9 * want.total()
+
+
+def test_rows_sent_meet_whatever_their_types(spark):
+    """Types that Arrow has and one that it hasn't, decimals and no rows at all; a cell's rows over several chunks."""
+    kinds = {"t": F.expr("TIMESTAMP'1969-12-31 23:59:59.999999'"), "m": F.create_map(F.lit("a"), F.lit(None).cast("date")), "z": F.lit(None).cast("binary"), "y": F.expr("array(named_struct('x', 1.5BD))")}
+    df = spark.range(300).select("id", (F.col("id") % 50).cast("decimal(9,2)").alias("p"), F.when(F.col("id") % 9 > 0, F.col("id") % 7).alias("d"))
+    want = Counter((i, j) for i in range(300) for j in range(20) if i % 50 >= j % 50 and i % 9 and j % 9 and i % 7 < j % 7)
+    for more in (kinds, kinds | {"u": F.expr("INTERVAL '3' MONTH")}):
+        wide = df.withColumns(more)
+        for conditions, a, b in (([("p", ">=", "p"), ("d", "<", "d")], wide, wide.where("id < 20")), ([("p", "<=", "p"), ("d", ">", "d")], wide.where("id < 20"), wide)):
+            out = ranges.inequality_join(a, b, conditions, block_rows=64)
+            assert out.schema["a"].dataType.names == wide.columns
+            got = Counter(((r.a.id, r.b.id) if b is not wide else (r.b.id, r.a.id)) for r in out.select(F.struct("a.id").alias("a"), F.struct("b.id").alias("b")).collect())
+            assert got == want
+            row = out.select("a.t", "a.m", "b.z", "b.y").first()
+            assert (row.t.microsecond, row.m, row.z, float(row.y[0].x)) == (999_999, {"a": None}, None, 1.5)
+    assert ranges.inequality_join(df.where("d > 99"), df, [("p", "<", "p")]).count() == 0
+
+
 @pytest.mark.parametrize("peers", [1, 2, None])
 def test_global_ranks(spark, peers):
     rng = random.Random(8)
