@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import Counter
 from datetime import date, datetime, timedelta
 
@@ -175,6 +176,30 @@ def test_overlapping_rows_are_joined_by_blocks(spark, monkeypatch):
     assert "collect_list" in plan_text(out), "rows are joined, not blocks"
 
 
+def test_pairs_of_two_blocks_are_held_at_once_and_no_more(spark):
+    """Generated code that joins doesn't also give out the pairs: it would keep those of a row with all that it meets in memory."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = spark.range(300).select((F.col("id") * 7).alias("x"), (F.col("id") * 7 + 500).alias("y"), "id")
+        for out in (ranges.overlap_join(df, df, "x", "y"), ranges.inequality_join(df, df, [("x", "<", "x"), ("y", ">", "y")])):
+            joins, gives = (set(re.findall(rf"^\(\d+\) {kind} \[codegen id : (\d+)\]", plan_text(out), re.M)) for kind in (r"\w+Join", "Generate"))
+            assert max(gives, key=int) not in joins
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_rows_of_blocks_come_in_their_order(spark):
+    """Of intervals that all overlap, those that a row meets in a block ascend, so that lists of neighbours are alike; rows without an order are pairs too."""
+    df = spark.range(300).select((F.col("id") * 101 % 300).alias("x"), F.lit(5000).alias("y"), (F.col("id") * 7 % 300).alias("i"))
+    out = ranges.overlap_join(df, df, "x", "y", residual=F.col("a.i") < F.col("b.i"), wanted=["i"])
+    pairs = [(r.a.i, r.b.i) for r in out.coalesce(1).collect()]
+    assert sorted(pairs) == [(i, j) for i in range(300) for j in range(i + 1, 300)]
+    assert sum(b < a for (i, a), (j, b) in zip(pairs, pairs[1:]) if i == j) <= 300 * 3
+    unordered = df.withColumn("m", F.create_map(F.lit("a"), F.col("i")))
+    met = ranges.overlap_join(unordered, unordered, "x", "y", residual=F.col("a.i") < F.col("b.i"))
+    assert met.where("b.m['a'] = b.i").count() == 300 * 299 // 2
+
+
 @pytest.mark.parametrize(("conditions", "rows"), [([("p", "<", "q")], 40), ([("p", ">=", "q"), ("d", "<", "e")], 16), ([("p", "<=", "q"), ("d", ">", "e"), ("p", "<", "e")], 1000)])
 def test_inequality_join(spark, conditions, rows):
     rng = random.Random(7)
